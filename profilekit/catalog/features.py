@@ -210,17 +210,16 @@ def poly_degree2(spark, sf_dir):
 
 @query(
     "poly_degree3",
-    f"""SELECT p_partkey, {rd('p_size::DOUBLE ** 2', 2)} AS p_size_pow_2, {rd('p_size * p_retailprice', 2)} AS p_size_p_retailprice,
-    {rd('p_retailprice * p_retailprice', 2)} AS p_retailprice_pow_2, {rd('p_size::DOUBLE ** 3', 2)} AS p_size_pow_3,
-    {rd('p_size::DOUBLE * p_size * p_retailprice', 1)} AS p_size_pow_2_p_retailprice,
-    {rd('p_size * p_retailprice * p_retailprice', 1)} AS p_size_p_retailprice_pow_2,
-    {rd('p_retailprice * p_retailprice * p_retailprice', 1)} AS p_retailprice_pow_3 FROM part""",
+    f"""SELECT p_partkey, {rd('p_size::DOUBLE ** 2', 4)} AS p_size_pow_2, {rd('p_size * p_retailprice', 4)} AS p_size_p_retailprice,
+    {rd('p_retailprice * p_retailprice', 4)} AS p_retailprice_pow_2, {rd('p_size::DOUBLE ** 3', 4)} AS p_size_pow_3,
+    {rd('p_size::DOUBLE * p_size * p_retailprice', 4)} AS p_size_pow_2_p_retailprice,
+    {rd('p_size * p_retailprice * p_retailprice', 4)} AS p_size_p_retailprice_pow_2,
+    {rd('p_retailprice * p_retailprice * p_retailprice', 4)} AS p_retailprice_pow_3 FROM part""",
 )
 def poly_degree3(spark, sf_dir):
     columns = ["p_size", "p_retailprice"]
     parts = table(spark, sf_dir, "part").select("p_partkey", *columns)
-    out = encode.polynomial(parts, columns, 3).drop(*columns)
-    return rounded(out, 2, p_size_pow_2_p_retailprice=1, p_size_p_retailprice_pow_2=1, p_retailprice_pow_3=1)
+    return rounded(encode.polynomial(parts, columns, 3).drop(*columns), 4)
 
 
 # One-hot columns are scaled too, and the later steps see scaled values.

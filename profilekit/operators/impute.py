@@ -132,9 +132,9 @@ def evaluate_imputation(
     # Means: totals minus the fold's own part.
     parts = long.groupBy("variable", "fold", "grp").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
     parts, _ = settle(parts)
-    every_fold = F.sequence(F.lit(0), F.lit(folds - 1))
-    test_folds = parts.select("variable", F.explode(every_fold).cast("long").alias("fold"), F.col("fold").alias("from_fold"), "grp", "s", "n")
-    train = test_folds.where(F.col("fold") != F.col("from_fold"))
+    every_fold = F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long"))
+    others = F.filter(every_fold, lambda f: f != F.col("fold"))
+    train = parts.select("variable", F.explode(others).alias("fold"), "grp", "s", "n")
     group_means = train.where(F.col("grp").isNotNull()).groupBy("variable", "fold", "grp").agg(
         fitted(F.sum("s") / F.sum("n")).alias("group_mean")
     )
@@ -142,7 +142,6 @@ def evaluate_imputation(
     complete = parts.groupBy("variable").agg(F.sum("n").alias("complete_cases"))
 
     # Medians: each row trains the folds it is not tested in.
-    others = F.filter(every_fold.cast("array<bigint>"), lambda f: f != F.col("fold"))
     train_rows = long.select("variable", F.explode(others).alias("fold"), "grp", "value")
     group_medians = grouped_quantiles(
         train_rows.where(F.col("grp").isNotNull()), ["variable", "fold", "grp"], [0.5]

@@ -119,7 +119,8 @@ def histogram(df: DataFrame, columns: Mapping[str, Column] | Sequence[str], bins
             continue
         low, high = (m.minimum - 0.5, m.maximum + 0.5) if m.constant else (m.minimum, m.maximum)
         width = (high - low) / bins
-        bin_no = F.least(F.floor((e.cast("double") - low) / width), F.lit(bins - 1)).cast("int")
+        slot = F.floor((e.cast("double") - low) / width)
+        bin_no = F.when(slot.isNotNull(), F.least(slot, F.lit(bins - 1))).cast("int")
         cells.append(
             F.struct(
                 F.lit(n).alias("variable"), bin_no.alias("bin"), F.lit(low).alias("low"),
