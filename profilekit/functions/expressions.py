@@ -37,7 +37,15 @@ def gaussian(x: Column, mean: Column, std: Column) -> Column:
 
 def yeo_johnson(x: Column, lam: Column) -> Column:
     """Yeo-Johnson transform (Yeo and Johnson, Biometrika 2000) for a literal or per-row lambda."""
-    mirrored = F.lit(2.0) - lam
-    positive = F.when(lam == 0, F.log1p(x)).otherwise(F.try_divide(F.pow(x + 1, lam) - 1, lam))
-    negative = F.when(mirrored == 0, -F.log1p(-x)).otherwise(-F.try_divide(F.pow(1 - x, mirrored) - 1, mirrored))
-    return F.when(x >= 0, positive).when(x < 0, negative)
+    return yeo_johnson_of_log(x >= 0, F.log1p(F.abs(x)), lam)
+
+
+def yeo_johnson_of_log(positive: Column, log_size: Column, lam: Column) -> Column:
+    """The transform from the sign of x and ``ln(1 + |x|)``, so one exponential serves each lambda.
+
+    Both branches are ``(e^(k g) - 1) / k``, with k = lambda above zero and
+    k = 2 - lambda, mirrored, below; k = 0 is the logarithm itself.
+    """
+    k = F.when(positive, lam).otherwise(2.0 - lam)
+    size = F.when(k == 0, log_size).otherwise(F.try_divide(F.expm1(k * log_size), k))
+    return F.when(positive, size).otherwise(-size)

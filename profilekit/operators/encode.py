@@ -22,7 +22,7 @@ from profilekit.operators.schema import (
     categorical_columns,
     columns_with_keyword,
 )
-from profilekit.runtime import Lookup, col
+from profilekit.runtime import Lookup, col, settle
 
 # StringIndexer keeps its labels on the driver, so the sparse path has a checked bound.
 MAX_INDEXED = 1_000_000
@@ -176,13 +176,9 @@ class TargetEncode(Learner):
             encoding = (F.col("count") * F.col("mean") + self.k * literal(overall)) / (F.col("count") + self.k)
         else:
             encoding = F.col("median")
-        stats = stats.withColumn("__encoding", encoding)
-        lookups = {
-            c: Lookup(
-                stats.where(F.col("variable") == c).select(F.col("category").alias("__category"), "__encoding")
-            )
-            for c in self.columns
-        }
+        # Computed once for all columns; each column then keeps its own part.
+        stats, _ = settle(stats.select("variable", F.col("category").alias("__category"), encoding.alias("__encoding")))
+        lookups = {c: Lookup(stats.where(F.col("variable") == c).drop("variable")) for c in self.columns}
         return TargetEncodingModel(self.columns, lookups)
 
 

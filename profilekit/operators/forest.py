@@ -35,6 +35,11 @@ MAX_SAMPLED_ROWS = 1_000_000
 # hash per row deals the rows out, so the trees get disjoint samples.
 MAX_DRAW_PAIRS = 20_000_000
 
+# Scoring and growing are bound by CPU, not by bytes. A table up to this size
+# often arrives in one or two file splits and is spread over all cores first;
+# a larger one has enough splits of its own.
+SPREAD_ROWS = 5_000_000
+
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, size int, depth int, expected double"
 )
@@ -113,6 +118,9 @@ def _draw(features: DataFrame, trees: int, per_tree: int, n: int, seed: int) ->
     found = chosen.limit(int(3 * expected)).count()
     if not expected / 2 <= found <= 2 * expected:
         chosen = candidates(F.xxhash64("key_hash", F.monotonically_increasing_id()))
+    # A fixed partition count: adaptive coalescing goes by bytes and would put all trees in one task.
+    cores = features.sparkSession.sparkContext.defaultParallelism
+    chosen = chosen.repartition(min(trees, max(cores, 8)), "tree")
     order = Window.partitionBy("tree").orderBy("share", *[c for c in features.columns if c.startswith("f")])
     return chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree).drop("key_hash", "row_id")
 
@@ -198,7 +206,14 @@ class ForestModel(Fitted):
     def attribution(self, spark) -> Column:
         return self._per_batch(spark, "array<double>", lambda forest, x: list(forest.attributions(x)))
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows of a small table over all cores, before a step that scores them."""
+        if self.rows > SPREAD_ROWS:
+            return df
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *[col(c) for c in self.features.columns])
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
+        dataset = self.spread(dataset)
         distance = F.col("__score") - F.lit(float(self.threshold))
         scored = dataset.withColumn("__score", self.score(dataset.sparkSession))
         outlier = distance > 0
@@ -291,7 +306,10 @@ class IsolationForest(Learner):
         model = self.grow(dataset)
         if self.contamination != "auto":
             model.threshold = _thresholds(
-                dataset.select(model.score(dataset.sparkSession).alias("s0")), ["s0"], [self.contamination]
+                model.spread(dataset.select(*[col(c) for c in model.features.columns])).select(
+                    model.score(dataset.sparkSession).alias("s0")
+                ),
+                ["s0"], [self.contamination],
             )["s0"][0]
         return model
 
@@ -354,7 +372,7 @@ def _grid_block(df, model: ForestModel, sizes: Sequence[int], contamination: Seq
     spark = df.sparkSession
     names = [f"s{i}" for i in range(len(sizes))]
     d = len(model.features.columns)
-    scored = df.select(
+    scored = model.spread(df.select(*[col(c) for c in model.features.columns])).select(
         *[e.alias(f"f{i}") for i, e in enumerate(model.features.exprs())],
         model.prefix_scores(spark, sizes).alias("scores"),
     ).select(*[f"f{i}" for i in range(d)], *[F.col("scores")[i].alias(s) for i, s in enumerate(names)])
@@ -522,12 +540,12 @@ def attribution(df: DataFrame, model: ForestModel, key: str) -> DataFrame:
     spark = df.sparkSession
     names = F.array(*[F.lit(c) for c in model.features.columns])
     pairs = F.arrays_zip(names.alias("feature"), F.col("parts").alias("value"))
-    return df.select(col(key), model.attribution(spark).alias("parts")).select(col(key), F.inline(pairs))
+    return model.spread(df).select(col(key), model.attribution(spark).alias("parts")).select(col(key), F.inline(pairs))
 
 
 def global_importance(df: DataFrame, model: ForestModel, k: int = 30) -> DataFrame:
     """``(feature, importance)``: mean absolute attribution, the ``k`` largest; one aggregation without exploding."""
-    parts = df.select(model.attribution(df.sparkSession).alias("parts"))
+    parts = model.spread(df.select(*[col(c) for c in model.features.columns])).select(model.attribution(df.sparkSession).alias("parts"))
     row = parts.agg(*[F.avg(F.abs(F.col("parts")[i])).alias(f"a{i}") for i in range(len(model.features.columns))])
     rows = F.array(
         *[F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("importance")) for i, c in enumerate(model.features.columns)]

@@ -143,10 +143,11 @@ def evaluate_imputation(
 
     # Medians: each row trains the folds it is not tested in.
     train_rows = long.select("variable", F.explode(others).alias("fold"), "grp", "value")
+    trained = (parts.agg(F.sum("n")).first()[0] or 0) * (folds - 1)
     group_medians = grouped_quantiles(
-        train_rows.where(F.col("grp").isNotNull()), ["variable", "fold", "grp"], [0.5]
+        train_rows.where(F.col("grp").isNotNull()), ["variable", "fold", "grp"], [0.5], rows=trained
     ).select("variable", "fold", "grp", fitted(F.col("quantiles")[0]).alias("group_median"))
-    global_medians = grouped_quantiles(train_rows, ["variable", "fold"], [0.5]).select(
+    global_medians = grouped_quantiles(train_rows, ["variable", "fold"], [0.5], rows=trained).select(
         "variable", "fold", fitted(F.col("quantiles")[0]).alias("global_median")
     )
 

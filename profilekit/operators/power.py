@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilekit.functions.expressions import literal, yeo_johnson
+from profilekit.functions.expressions import literal, yeo_johnson, yeo_johnson_of_log
 from profilekit.operators.base import Fitted, Learner
 from profilekit.operators.moments import column_moments
 from profilekit.operators.quantiles import column_quantiles, to_long
@@ -27,29 +27,36 @@ COARSE = tuple(-2.0 + 0.25 * i for i in range(17))
 WIDEST = 32.0
 
 
-def log_likelihood(long: DataFrame, center: Column, offsets: Sequence[float]) -> DataFrame:
-    """``(variable, lambda, llf)`` for ``center + offset`` per variable.
+def log_likelihood(long: DataFrame, lambdas: Column) -> DataFrame:
+    """``(variable, lambda, llf)`` for every lambda in the array ``lambdas`` of a variable.
 
     llf = -n/2 * ln(var_pop(y)) + (lambda - 1) * sum(sign(x) * ln(1 + |x|)); a
-    likelihood that is not finite is null.
+    likelihood that is not finite is null. The candidates are exploded inside
+    the task and combined before the shuffle, which carries one row per
+    variable and lambda.
     """
     x = F.col("value")
-    lams = [center + F.lit(float(o)) for o in offsets]
-    scored = long.where(x.isNotNull()).groupBy("variable").agg(
+    rows = long.where(x.isNotNull()).select(
+        "variable", (x >= 0).alias("positive"), F.log1p(F.abs(x)).alias("g"), F.explode(lambdas).alias("lambda")
+    )
+    positive, g, lam = F.col("positive"), F.col("g"), F.col("lambda")
+    scored = rows.groupBy("variable", "lambda").agg(
         F.count("*").alias("n"),
-        F.sum(F.signum(x) * F.log1p(F.abs(x))).alias("jacobian"),
-        *[F.var_pop(yeo_johnson(x, lam)).alias(f"v{i}") for i, lam in enumerate(lams)],
+        F.sum(F.when(positive, g).otherwise(-g)).alias("jacobian"),
+        F.var_pop(yeo_johnson_of_log(positive, g, lam)).alias("v"),
     )
-    rows = F.array(*[F.struct(lam.alias("lambda"), F.col(f"v{i}").alias("v")) for i, lam in enumerate(lams)])
-    out = scored.select("variable", "n", "jacobian", F.inline(rows))
-    llf = -0.5 * F.col("n") * F.ln("v") + (F.col("lambda") - 1) * F.col("jacobian")
+    llf = -0.5 * F.col("n") * F.ln("v") + (lam - 1) * F.col("jacobian")
     finite = (F.col("v") > 0) & (F.col("v") < F.lit(float("inf"))) & ~F.isnan("v")
-    return out.select("variable", "lambda", F.when(finite, llf).alias("llf"))
+    return scored.select("variable", "lambda", F.when(finite, llf).alias("llf"))
+
+
+def _candidates(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(float(v)) for v in values])
 
 
 def lambda_grid(df: DataFrame, columns: Sequence[str], grid: Sequence[float] = GRID) -> DataFrame:
     """Likelihood of every candidate lambda for every column."""
-    return log_likelihood(to_long(df, {c: col(c) for c in columns}), F.lit(0.0), grid)
+    return log_likelihood(to_long(df, {c: col(c) for c in columns}), _candidates(grid))
 
 
 def _best(rows) -> dict[str, tuple[float, list]]:
@@ -83,18 +90,21 @@ def fit_lambdas(long: DataFrame, columns: Sequence[str], grid: Sequence[float] |
     [-2, 2], widened while the best value sits on its edge, then three finer
     rounds around the best point, each ended by a parabola.
     """
-    def center_of(values: Mapping[str, float]) -> Column:
-        return F.create_map(*[x for c, v in values.items() for x in (F.lit(c), F.lit(float(v)))])[F.col("variable")]
+    def score(centers: Mapping[str, float], offsets: Sequence[float]) -> dict:
+        lambdas = F.create_map(
+            *[x for c, v in centers.items() for x in (F.lit(c), _candidates([v + o for o in offsets]))]
+        )[F.col("variable")]
+        return _best(log_likelihood(long.where(F.col("variable").isin(list(centers))), lambdas).collect())
 
     if grid is not None:
-        found = _best(log_likelihood(long, F.lit(0.0), grid).collect())
+        found = _best(log_likelihood(long, _candidates(grid)).collect())
         return {c: found[c][0] if c in found else 1.0 for c in columns}
 
     lams = {c: 0.0 for c in columns}
     settled: dict[str, float] = {}
     edge = 2.0
     while lams:
-        found = _best(log_likelihood(long.where(F.col("variable").isin(list(lams))), center_of(lams), COARSE).collect())
+        found = score(lams, COARSE)
         moved = {}
         for c, start in lams.items():
             if c not in found:
@@ -111,10 +121,7 @@ def fit_lambdas(long: DataFrame, columns: Sequence[str], grid: Sequence[float] |
     for step in (0.0625, 0.01, 0.001):
         if not fitted:
             break
-        wide = [step * i for i in range(-5, 6)]
-        found = _best(
-            log_likelihood(long.where(F.col("variable").isin(list(fitted))), center_of(fitted), wide).collect()
-        )
+        found = score(fitted, [step * i for i in range(-5, 6)])
         fitted = {c: _vertex(found[c][1], found[c][0]) if c in found else v for c, v in fitted.items()}
     return {c: fitted.get(c, 1.0) for c in columns}
 

@@ -58,11 +58,15 @@ def grouped_quantiles(
     keys: Sequence[str],
     probs: Sequence[float],
     *,
+    rows: int | None = None,
     direct_rows: int | None = None,
 ) -> DataFrame:
-    """``(keys..., quantiles array<double>)`` of the column ``value``; keys must not be null."""
+    """``(keys..., quantiles array<double>)`` of the column ``value``; keys must not be null.
+
+    ``rows`` saves a count when the caller knows how many rows there are.
+    """
     direct_rows = DIRECT_ROWS if direct_rows is None else direct_rows
-    if long.count() <= direct_rows:
+    if (long.count() if rows is None else rows) <= direct_rows:
         return _direct(long, keys, probs)
     return _select(long, keys, probs, direct_rows)
 

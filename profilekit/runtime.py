@@ -41,16 +41,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def bounded_rows(df: DataFrame, limit: int = LOOKUP_ROWS):
-    """All rows of ``df`` when there are at most ``limit`` of them, else None."""
-    rows = df.limit(limit + 1).collect()
-    return rows if len(rows) <= limit else None
+    """All rows of ``df`` as an Arrow table when there are at most ``limit`` of them, else None."""
+    rows = df.limit(limit + 1).toArrow()
+    return rows if rows.num_rows <= limit else None
 
 
 def settle(table: DataFrame, limit: int = LOOKUP_ROWS) -> tuple[DataFrame, bool]:
     """Compute ``table`` once: a local relation when it has at most ``limit`` rows, else a checkpoint."""
     rows = bounded_rows(table, limit)
     if rows is not None:
-        return table.sparkSession.createDataFrame(rows, table.schema), True
+        return table.sparkSession.createDataFrame(rows, schema=table.schema), True
     return cut_lineage(table), False
 
 
