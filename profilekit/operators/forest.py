@@ -27,7 +27,7 @@ from profilekit.operators.profile import histogram
 from profilekit.operators.quantiles import column_quantiles
 from profilekit.operators.schema import numeric_columns
 from profilekit.operators.trees import NodeArrays, average_path, grow_tree
-from profilekit.runtime import col
+from profilekit.runtime import col, spread
 
 # Trees x rows per tree. Keeps the node arrays at a few tens of megabytes.
 MAX_SAMPLED_ROWS = 1_000_000
@@ -35,11 +35,6 @@ MAX_SAMPLED_ROWS = 1_000_000
 # hash per row deals the rows out, so the trees get disjoint samples.
 MAX_DRAW_PAIRS = 20_000_000
 
-# Scoring and growing are bound by CPU, not by bytes. A table up to this size
-# often arrives in one or two file splits and is spread over all cores first;
-# a larger one has enough splits of its own.
-SPREAD_ROWS = 5_000_000
-
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, size int, depth int, expected double"
 )
@@ -207,10 +202,8 @@ class ForestModel(Fitted):
         return self._per_batch(spark, "array<double>", lambda forest, x: list(forest.attributions(x)))
 
     def spread(self, df: DataFrame) -> DataFrame:
-        """Rows of a small table over all cores, before a step that scores them."""
-        if self.rows > SPREAD_ROWS:
-            return df
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *[col(c) for c in self.features.columns])
+        """Rows of a small table over all cores: scoring is bound by CPU, not by bytes."""
+        return spread(df, self.rows, *[col(c) for c in self.features.columns])
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         dataset = self.spread(dataset)

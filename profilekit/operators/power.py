@@ -18,7 +18,7 @@ from profilekit.operators.base import Fitted, Learner
 from profilekit.operators.moments import column_moments
 from profilekit.operators.quantiles import column_quantiles, to_long
 from profilekit.operators.schema import numeric_columns
-from profilekit.runtime import col
+from profilekit.runtime import col, spread
 
 PREFIX = "yeo_joh_"
 # The candidate grid -2.0, -1.9, ... 2.0.
@@ -175,7 +175,9 @@ class YeoJohnson(Learner):
         if self.lambdas is not None:
             lams = {c: float(self.lambdas[c]) for c in columns}
         else:
-            lams = fit_lambdas(to_long(dataset, filled), columns, self.grid)
+            narrow = dataset.select(*[e.alias(c) for c, e in filled.items()])
+            narrow = spread(narrow, dataset.count(), *[col(c) for c in columns])
+            lams = fit_lambdas(to_long(narrow, {c: col(c) for c in columns}), columns, self.grid)
         parameters = {c: {"lambda": lams[c], "median": medians[c], "mean": 0.0, "std": 1.0} for c in columns}
         if self.standardize:
             unscaled = PowerModel(parameters, self.prefix)

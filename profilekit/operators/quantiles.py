@@ -1,8 +1,8 @@
 """Exact quantiles with linear interpolation, at any size.
 
-``percentile`` keeps one value -> count map per group, so it is only used while
-the input has at most ``DIRECT_ROWS`` rows. Larger inputs are solved by
-selection: a quantile sketch gives pivots that enclose each wanted order
+While the input has at most ``DIRECT_ROWS`` rows, the values of a group are
+sorted in one array, which is several times faster than ``percentile`` and its
+map of boxed values. Larger inputs are solved by selection: a quantile sketch gives pivots that enclose each wanted order
 statistic, one aggregation counts what lies below and between the pivots, and
 the bracket shrinks about two hundred times per scan until it is small enough
 to sort. Every step is a partial/final aggregation, so a group holding a third
@@ -44,9 +44,6 @@ def column_quantiles(
     direct_rows = DIRECT_ROWS if direct_rows is None else direct_rows
     names = list(exprs)
     small = df.count() <= direct_rows
-    if small and len(names) == 1:
-        row = df.agg(F.percentile(exprs[names[0]].cast("double"), _literal_array(probs)).alias("q")).first()
-        return {names[0]: list(row.q) if row.q is not None else [None] * len(probs)}
     long = to_long(df, exprs)
     table = _direct(long, ["variable"], probs) if small else _select(long, ["variable"], probs, direct_rows)
     found = {r["variable"]: r["quantiles"] for r in table.collect()}
@@ -71,12 +68,20 @@ def grouped_quantiles(
     return _select(long, keys, probs, direct_rows)
 
 
-def _literal_array(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
+def _interpolated(at, n: Column, prob: float) -> Column:
+    """Quantile from ``at(rank)``, the value at a zero-based rank among ``n``."""
+    position = (n - 1) * F.lit(float(prob))
+    low = F.floor(position)
+    below, above = at(low), at(F.ceil(position))
+    return below + (above - below) * (position - low)
 
 
 def _direct(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    return long.groupBy(*keys).agg(F.percentile("value", _literal_array(probs)).alias("quantiles"))
+    """Sort each group's values in an array; only called for inputs of bounded size."""
+    ordered = long.groupBy(*keys).agg(F.sort_array(F.collect_list("value")).alias("v"))
+    n = F.size("v")
+    found = F.array(*[_interpolated(lambda rank: F.get("v", rank.cast("int")), n, p) for p in probs])
+    return ordered.select(*keys, F.when(n > 0, found).alias("quantiles"))
 
 
 def _select(long: DataFrame, keys: Sequence[str], probs: Sequence[float], direct_rows: int) -> DataFrame:
@@ -93,9 +98,7 @@ def _select(long: DataFrame, keys: Sequence[str], probs: Sequence[float], direct
 def _refine(long: DataFrame, sizes: DataFrame, keys: Sequence[str], probs: Sequence[float], direct_rows: int) -> DataFrame:
     keys = list(keys)
     position = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
-    wanted = F.array_distinct(
-        F.flatten(F.array(*[F.array(F.floor(h).cast("long"), F.ceil(h).cast("long")) for h in position]))
-    )
+    wanted = F.array_distinct(F.array(*[r.cast("long") for h in position for r in (F.floor(h), F.ceil(h))]))
     sketch = F.percentile_approx("value", [i / PIVOTS for i in range(PIVOTS + 1)], SKETCH_ACCURACY)
 
     # Round zero: one sketch per key, shared by all wanted ranks of the key.
@@ -122,11 +125,7 @@ def _refine(long: DataFrame, sizes: DataFrame, keys: Sequence[str], probs: Seque
             break
 
     ranked = solved.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at"))
-    quantiles = []
-    for h in position:
-        low = F.floor(h).cast("long")
-        share = h - low
-        quantiles.append(F.col("at")[low] * (1 - share) + F.col("at")[F.ceil(h).cast("long")] * share)
+    quantiles = [_interpolated(lambda rank: F.col("at")[rank.cast("long")], F.col("n"), p) for p in probs]
     return sizes.join(ranked, keys).select(*keys, F.array(*quantiles).alias("quantiles"))
 
 
