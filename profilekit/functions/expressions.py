@@ -20,9 +20,9 @@ def clip(value: Column, low: float | None, high: float | None) -> Column:
     return F.when(value.isNotNull(), F.least(F.greatest(value, literal(low)), literal(high)))
 
 
-def hash_share(key: Column, seed: object) -> Column:
-    """Uniform value in [0, 1) that depends only on the key and the seed."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(str(seed)), key), 11) / F.lit(float(1 << 53))
+def hash_share(seed: object, *parts: Column) -> Column:
+    """Uniform value in [0, 1) that depends only on the seed and the parts."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(str(seed)), *parts), 11) / F.lit(float(1 << 53))
 
 
 def md5_number(text: Column, start: int) -> Column:

@@ -35,6 +35,9 @@ MAX_SAMPLED_ROWS = 1_000_000
 # hash per row deals the rows out, so the trees get disjoint samples.
 MAX_DRAW_PAIRS = 20_000_000
 
+# Share of distinct rows from which rows are drawn by their hash alone.
+DISTINCT_SHARE = 0.95
+
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, size int, depth int, expected double"
 )
@@ -90,34 +93,31 @@ class _Features:
         return out
 
 
-def _draw(features: DataFrame, trees: int, per_tree: int, n: int, seed: int) -> DataFrame:
-    """``(tree, share, f0..)``: ``per_tree`` rows for each tree, chosen by hash of the row key.
+def _draw(rows: DataFrame, trees: int, per_tree: int, n: int, seed: int, distinct: bool) -> DataFrame:
+    """``(tree, share, rank, f0..)``: ``per_tree`` rows for each tree, chosen by hash of ``row_hash``.
 
-    The choice depends on the keys alone, not on the partitioning. When keys
-    repeat so often that hashing them would not give a fair sample, the row
-    number is mixed in.
+    With mostly distinct hashes the choice depends on the rows alone, not on
+    the partitioning. Copies share a hash and would be drawn all or none, so
+    where they are many the row number is mixed in.
     """
-    def candidates(row_id: Column) -> DataFrame:
-        if n * trees <= MAX_DRAW_PAIRS:
-            pairs = features.withColumn("row_id", row_id).withColumn(
-                "tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-            )
-            share = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("row_id"), F.col("tree")), 11) / F.lit(float(1 << 53))
-            return pairs.withColumn("share", share).where(F.col("share") < _slack(per_tree) / n)
-        dealt = features.withColumn("row_id", row_id).withColumn("share", hash_share(F.col("row_id"), seed))
+    names = [c for c in rows.columns if c != "row_hash"]
+    if not distinct:
+        rows = rows.withColumn("row_hash", F.xxhash64("row_hash", F.monotonically_increasing_id()))
+    if n * trees <= MAX_DRAW_PAIRS:
+        pairs = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        drawn = pairs.withColumn("share", hash_share(seed, F.col("row_hash"), F.col("tree")))
+        drawn = drawn.where(F.col("share") < _slack(per_tree) / n)
+    else:
+        dealt = rows.withColumn("share", hash_share(seed, F.col("row_hash")))
         dealt = dealt.where(F.col("share") < trees * _slack(per_tree) / n)
-        return dealt.withColumn("tree", F.pmod(F.xxhash64(F.lit("tree"), F.lit(seed), F.col("row_id")), F.lit(trees)).cast("int"))
-
-    chosen = candidates(F.col("key_hash"))
-    expected = trees * min(n, _slack(per_tree))
-    found = chosen.limit(int(3 * expected)).count()
-    if not expected / 2 <= found <= 2 * expected:
-        chosen = candidates(F.xxhash64("key_hash", F.monotonically_increasing_id()))
+        drawn = dealt.withColumn(
+            "tree", F.pmod(F.xxhash64(F.lit("tree"), F.lit(seed), F.col("row_hash")), F.lit(trees)).cast("int")
+        )
     # A fixed partition count: adaptive coalescing goes by bytes and would put all trees in one task.
-    cores = features.sparkSession.sparkContext.defaultParallelism
-    chosen = chosen.repartition(min(trees, max(cores, 8)), "tree")
-    order = Window.partitionBy("tree").orderBy("share", *[c for c in features.columns if c.startswith("f")])
-    return chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree).drop("key_hash", "row_id")
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    drawn = drawn.repartition(min(trees, max(cores, 8)), "tree")
+    order = Window.partitionBy("tree").orderBy("share", *names)
+    return drawn.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree).drop("row_hash")
 
 
 def _grow(sample: DataFrame, n_features: int, depth_limit: int, seed: int, max_features: float, bootstrap: bool) -> DataFrame:
@@ -234,7 +234,7 @@ class ForestModel(Fitted):
 class IsolationForest(Learner):
     """Fit trees and, for a numeric ``contamination``, the score threshold.
 
-    ``key`` names the columns whose hash decides which rows are drawn.
+    The hash of the ``key`` columns and the features decides which rows are drawn.
     ``max_samples`` as a share of the table must stay within
     ``MAX_SAMPLED_ROWS`` over all trees; a larger request is an error, because
     a tree is grown in one task.
@@ -274,7 +274,9 @@ class IsolationForest(Learner):
         )
         if not columns:
             raise ValueError("no feature columns")
-        n = dataset.count()
+        row_hash = F.xxhash64(*[col(c) for c in [*self.key, *columns]])
+        seen = dataset.agg(F.count("*").alias("n"), F.approx_count_distinct(row_hash, 0.01).alias("hashes")).first()
+        n = seen["n"]
         if n == 0:
             raise ValueError("table is empty")
         per_tree = sample_rows(self.max_samples, n)
@@ -284,10 +286,10 @@ class IsolationForest(Learner):
             )
         features = _Features(dataset, columns, self.fill, self.scale)
         frame = dataset.select(
-            F.xxhash64(*[col(k) for k in self.key]).alias("key_hash"),
+            row_hash.alias("row_hash"),
             *[e.alias(f"f{i}") for i, e in enumerate(features.exprs())],
         )
-        sample = _draw(frame, self.n_trees, per_tree, n, self.seed)
+        sample = _draw(frame, self.n_trees, per_tree, n, self.seed, seen["hashes"] >= DISTINCT_SHARE * n)
         depth_limit = max(1, math.ceil(math.log2(max(per_tree, 2))))
         nodes = _grow(sample, len(columns), depth_limit, self.seed, self.max_features, self.bootstrap).toArrow()
         arrays = {name: nodes.column(name).to_numpy() for name in nodes.column_names}
