@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from profilekit.catalog.registry import cte, planted, query, rd, rounded, table, union_all
 from profilekit.operators import outliers as out
-from profilekit.operators import profile, treat
+from profilekit.operators import profile, schema, treat
+from profilekit.operators.moments import moments_table
 from profilekit.plans.analysis import analyse_outliers
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -81,6 +82,22 @@ def iqr_flags_multiplier(spark, sf_dir):
     return out.IqrDetector(["c_acctbal"], multiplier=0.25).fit_transform(customers).drop("c_acctbal")
 
 
+@query(
+    "zscore_parameters",
+    f"WITH {cte('ev')} "
+    + union_all(
+        [
+            f"""SELECT '{c}' AS variable, count({c}) AS count, {rd(f'avg({c})')} AS mean, {rd(f'stddev_pop({c})')} AS std_pop,
+            {rd(f'stddev_samp({c})')} AS std_samp, {rd(f'min({c})::DOUBLE')} AS minimum, {rd(f'max({c})::DOUBLE')} AS maximum FROM ev"""
+            for c in ("value", "user_no", "score")
+        ]
+    ),
+)
+def zscore_parameters(spark, sf_dir):
+    columns = ["value", "user_no", "score"]
+    return rounded(moments_table(planted(spark, sf_dir, "ev"), {c: F.col(c) for c in columns}))
+
+
 @query(
     "zscore_flags",
     f"""WITH {cte('ev')}, v AS ({moments('ev', 'value')}), s AS (SELECT avg(score) AS smu, stddev_pop(score) AS ssd FROM ev)
@@ -225,6 +242,20 @@ def iqr_flagged_events(spark, sf_dir):
     return out.IqrDetector(["value", "score"]).fit_transform(events)
 
 
+@query("flagged_filter", f"WITH {FLAGS_CTE} SELECT event_id, value FROM flags WHERE iqr_value = 1")
+def flagged_filter(spark, sf_dir):
+    return schema.flagged_rows(flagged(spark, sf_dir)[0], "iqr_out_value").select("event_id", "value")
+
+
+@query(
+    "trimmed_stats",
+    f"""WITH {FLAGS_CTE} SELECT {rd('avg(value)')} AS mean, {rd('quantile_cont(value, 0.5)')} AS median,
+    {rd('quantile_cont(value, 0.05)')} AS p05, {rd('quantile_cont(value, 0.95)')} AS p95 FROM flags WHERE iqr_value = 0""",
+)
+def trimmed_stats(spark, sf_dir):
+    return rounded(treat.trimmed_statistics(iqr_flagged_events(spark, sf_dir), "iqr_out_", ["value"]).drop("variable"))
+
+
 def replaced(statistic: str) -> str:
     fill = {"mean": "avg({c})", "median": "quantile_cont({c}, 0.5)"}[statistic]
     v, s = fill.format(c="value"), fill.format(c="score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from profilekit.catalog.features import PRIORITIES, STATUSES, dummies, yj_sql
 from profilekit.catalog.registry import query, rd, rounded, table
 from profilekit.config import Config
@@ -108,6 +110,28 @@ def tree_table(spark, sf_dir):
     )
 
 
+@query(
+    "encoded_table",
+    f"SELECT o_orderkey, o_custkey, {dummies('o_orderpriority', PRIORITIES[1:])} FROM orders",
+)
+def encoded_table(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(KEY, "o_custkey", "o_orderstatus", "o_orderpriority")
+    return assemble.encoded_table(orders, KEY, ["o_orderstatus", "isin"])
+
+
+@query(
+    "attach_columns",
+    """SELECT c_custkey, c_acctbal, largest FROM customer
+    LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS largest FROM orders WHERE o_totalprice > 400000 GROUP BY o_custkey)
+    ON c_custkey = o_custkey""",
+)
+def attach_columns(spark, sf_dir):
+    base = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    large = table(spark, sf_dir, "orders").where("o_totalprice > 400000").selectExpr("o_custkey AS c_custkey", "o_totalprice")
+    largest = large.groupBy("c_custkey").agg(F.max("o_totalprice").alias("largest"))
+    return assemble.attach_columns(base, largest, "c_custkey", ["largest"])
+
+
 @query("prepared_tree_table")
 def prepared_tree_table(spark, sf_dir):
     """The whole chain over the parts table: fill, flags, power transform, native categories."""

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from profilekit.operators.encode import OneHot
 from profilekit.operators.schema import assert_no_target, columns_with_prefix, drop_columns
 from profilekit.runtime import col
 
@@ -35,6 +36,24 @@ def join_features(left: DataFrame, right: DataFrame, key: str, check_keys: bool
     return left.join(right, key, "inner")
 
 
+def attach_columns(base: DataFrame, other: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """Add or replace columns of ``base`` by those of ``other`` with the same key; absent keys get nulls.
+
+    Only needed when ``other`` does not come from ``base``; transforms of the
+    same frame are chained instead, which takes no join.
+    """
+    kept = [col(c) for c in base.columns if c not in columns]
+    return base.select(*kept).join(other.select(col(key), *[col(c) for c in columns]), key, "left")
+
+
+def encoded_table(
+    df: DataFrame, key: str, dropped: Sequence[str] = IDENTIFIERS, drop_first: bool = True, max_categories: int = 50
+) -> DataFrame:
+    """One-hot table of all categorical columns, identifiers left out."""
+    kept = drop_columns(df, dropped)
+    return OneHot(exclude=[key], drop_first=drop_first, max_categories=max_categories).fit_transform(kept)
+
+
 def _numerical(df: DataFrame, target: str | None) -> DataFrame:
     return drop_columns(df, [target] if target else [])
 

@@ -275,7 +275,8 @@ class IsolationForest(Learner):
         if not columns:
             raise ValueError("no feature columns")
         row_hash = F.xxhash64(*[col(c) for c in [*self.key, *columns]])
-        seen = dataset.agg(F.count("*").alias("n"), F.approx_count_distinct(row_hash, 0.01).alias("hashes")).first()
+        hashes = F.hll_sketch_estimate(F.hll_sketch_agg(row_hash, F.lit(12)))
+        seen = dataset.agg(F.count("*").alias("n"), hashes.alias("hashes")).first()
         n = seen["n"]
         if n == 0:
             raise ValueError("table is empty")

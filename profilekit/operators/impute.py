@@ -12,7 +12,7 @@ from profilekit.operators.base import Fitted, Learner
 from profilekit.operators.moments import column_moments
 from profilekit.operators.quantiles import column_quantiles, grouped_quantiles, to_long
 from profilekit.operators.schema import is_whole, numeric_columns
-from profilekit.runtime import Lookup, col, join_side, settle
+from profilekit.runtime import Lookup, col, settle
 
 METHODS = ("global_mean", "global_median", "group_mean", "group_median")
 
@@ -130,8 +130,7 @@ def evaluate_imputation(
         return F.when(F.col("variable").isin(whole), F.bround(value, 0)).otherwise(value) if whole else value
 
     # Means: totals minus the fold's own part.
-    parts = long.groupBy("variable", "fold", "grp").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-    parts, _ = settle(parts)
+    parts, few_parts = settle(long.groupBy("variable", "fold", "grp").agg(F.sum("value").alias("s"), F.count("*").alias("n")))
     every_fold = F.sequence(F.lit(0).cast("long"), F.lit(folds - 1).cast("long"))
     others = F.filter(every_fold, lambda f: f != F.col("fold"))
     train = parts.select("variable", F.explode(others).alias("fold"), "grp", "s", "n")
@@ -141,18 +140,30 @@ def evaluate_imputation(
     global_means = train.groupBy("variable", "fold").agg(fitted(F.sum("s") / F.sum("n")).alias("global_mean"))
     complete = parts.groupBy("variable").agg(F.sum("n").alias("complete_cases"))
 
-    # Medians: each row trains the folds it is not tested in.
-    train_rows = long.select("variable", F.explode(others).alias("fold"), "grp", "value")
-    trained = (parts.agg(F.sum("n")).first()[0] or 0) * (folds - 1)
-    group_medians = grouped_quantiles(
-        train_rows.where(F.col("grp").isNotNull()), ["variable", "fold", "grp"], [0.5], rows=trained
-    ).select("variable", "fold", "grp", fitted(F.col("quantiles")[0]).alias("group_median"))
-    global_medians = grouped_quantiles(train_rows, ["variable", "fold"], [0.5], rows=trained).select(
-        "variable", "fold", fitted(F.col("quantiles")[0]).alias("global_median")
+    # Medians: each row trains the folds it is not tested in, once for its group and once for the whole.
+    scopes = F.array(
+        F.struct(F.lit("all").alias("scope"), F.lit("").alias("grp")),
+        F.struct(F.lit("group").alias("scope"), F.col("grp")),
     )
-
-    by_group = join_side(group_means.join(group_medians, ["variable", "fold", "grp"], "full"))
-    by_fold = join_side(global_means.join(global_medians, ["variable", "fold"]).join(complete, "variable"))
+    train_rows = (
+        long.select("variable", F.explode(others).alias("fold"), "value", scopes.alias("scopes"))
+        .select("variable", "fold", "value", F.inline("scopes"))
+        .where(F.col("grp").isNotNull())
+    )
+    trained = (parts.agg(F.sum("n")).first()[0] or 0) * (folds - 1) * 2
+    medians, few_medians = settle(
+        grouped_quantiles(train_rows, ["variable", "fold", "scope", "grp"], [0.5], rows=trained).select(
+            "variable", "fold", "scope", "grp", fitted(F.col("quantiles")[0]).alias("median")
+        )
+    )
+    group_medians = medians.where("scope = 'group'").select("variable", "fold", "grp", F.col("median").alias("group_median"))
+    global_medians = medians.where("scope = 'all'").select("variable", "fold", F.col("median").alias("global_median"))
+
+    by_group = group_means.join(group_medians, ["variable", "fold", "grp"])
+    if few_parts and few_medians:
+        by_group = F.broadcast(by_group)
+    # One row per variable and fold.
+    by_fold = F.broadcast(global_means.join(global_medians, ["variable", "fold"]).join(complete, "variable"))
     test = (
         long.where("masked")
         .join(by_fold, ["variable", "fold"])

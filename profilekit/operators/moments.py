@@ -52,3 +52,12 @@ def column_moments(df: DataFrame, exprs: Mapping[str, Column]) -> dict[str, Mome
     aggregates = [a for i, n in enumerate(names) for a in _aggregates(exprs[n].cast("double"), f"_{i}")]
     row = df.agg(*aggregates).first()
     return {n: Moments(*[row[f"{f}_{i}"] for f in fields]) for i, n in enumerate(names)}
+
+
+def moments_table(df: DataFrame, exprs: Mapping[str, Column]) -> DataFrame:
+    """The same as a table ``(variable, count, mean, std_pop, std_samp, minimum, maximum)``."""
+    rows = [(n, *[getattr(m, f) for f in Moments.__dataclass_fields__]) for n, m in column_moments(df, exprs).items()]
+    return df.sparkSession.createDataFrame(
+        rows,
+        "variable string, count bigint, mean double, std_pop double, std_samp double, minimum double, maximum double",
+    )

@@ -26,6 +26,20 @@ def _unflagged(prefix: str, name: str) -> Column:
     return F.when(col(prefix + name) == 0, col(name))
 
 
+def trimmed_statistics(
+    df: DataFrame, flag_prefix: str, columns: Sequence[str] | None = None, limits: tuple[float, float] = (0.05, 0.95)
+) -> DataFrame:
+    """``(variable, mean, median, p05, p95)`` over the unflagged cells of each column."""
+    names = _flagged_columns(df, flag_prefix, columns)
+    kept = {c: _unflagged(flag_prefix, c) for c in names}
+    means = column_moments(df, kept)
+    quantiles = column_quantiles(df, kept, [0.5, *limits])
+    return df.sparkSession.createDataFrame(
+        [(c, means[c].mean, *quantiles[c]) for c in names],
+        "variable string, mean double, median double, p05 double, p95 double",
+    )
+
+
 class FillModel(Fitted):
     """Flagged cells get one number per column; the result column is double."""
 

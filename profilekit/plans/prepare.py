@@ -50,11 +50,12 @@ class Prepared:
         return self.model.transform(df)
 
 
-def prepare(df: DataFrame, cfg: Config) -> Prepared:
+def prepare(df: DataFrame, cfg: Config, cache: StorageLevel | None = None) -> Prepared:
     """Fit the chain on ``df``.
 
-    The filled table is persisted while the later stages read it, because each
-    of them fits its own statistics on it.
+    Each fit is its own pass over the filled table. From a columnar source that
+    pass reads only the columns it needs and filling is a broadcast join, so
+    nothing is persisted unless ``cache`` is given (useful over CSV).
     """
     skip = [cfg.key] + ([cfg.target_col] if cfg.target_col else [])
     clean = Step(null_if_nan)
@@ -63,13 +64,14 @@ def prepare(df: DataFrame, cfg: Config) -> Prepared:
     categorical = categorical_columns(source, skip)
 
     fill = FillMissing(cfg.imputation, cfg.group_col, numerical).fit(source)
-    filled = fill.transform(source).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        iqr = IqrDetector(numerical, cfg.iqr_multiplier).fit(filled)
-        zscore = ZScoreDetector(numerical, cfg.z_threshold).fit(filled)
-        power = YeoJohnson(numerical).fit(filled)
-        encode = OneHot(categorical, drop_first=cfg.drop_first, max_categories=cfg.max_categories).fit(filled)
-    finally:
+    filled = fill.transform(source)
+    if cache is not None:
+        filled = filled.persist(cache)
+    iqr = IqrDetector(numerical, cfg.iqr_multiplier).fit(filled)
+    zscore = ZScoreDetector(numerical, cfg.z_threshold).fit(filled)
+    power = YeoJohnson(numerical).fit(filled)
+    encode = OneHot(categorical, drop_first=cfg.drop_first, max_categories=cfg.max_categories).fit(filled)
+    if cache is not None:
         filled.unpersist()
 
     # One-hot replaces the categorical columns, so the tree table is read off before it.

@@ -65,12 +65,6 @@ def settle(table: DataFrame, limit: int = LOOKUP_ROWS) -> tuple[DataFrame, bool]
     return cut_lineage(table), False
 
 
-def join_side(table: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
-    """A settled table for the small side of a join; hinted for broadcast only when proven small."""
-    settled, small = settle(table, limit)
-    return F.broadcast(settled) if small else settled
-
-
 class Lookup:
     """A fitted lookup table: local and broadcast when small, checkpointed when not."""
 

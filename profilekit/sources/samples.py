@@ -34,7 +34,7 @@ def choice(name: str, values, seed: int = 42) -> Column:
 
 
 def company_table(spark: SparkSession, rows: int = 1000, seed: int = 42) -> DataFrame:
-    """Wide table with 10% missing scores, 30 points more for one sector, and 5% inflated emissions."""
+    """Wide table with 10% missing scores, a further 30% of one score missing in one sector, and 5% inflated emissions."""
     df = spark.range(rows).withColumnRenamed("id", "company_id").withColumn("gics_sector", choice("sector", SECTORS, seed))
 
     def score(name: str, extra: Column | None = None) -> Column:
@@ -48,7 +48,7 @@ def company_table(spark: SparkSession, rows: int = 1000, seed: int = 42) -> Data
         F.exp(20 + 2 * normal("cap", seed)).alias("market_cap"),
         F.exp(18 + 2 * normal("revenue", seed)).alias("revenue"),
         F.exp(8 + 1.5 * normal("employees", seed)).cast("bigint").alias("employees"),
-        score("environmental", F.when(F.col("gics_sector") == "IT", 0.4).otherwise(0.1)).alias("environmental_score"),
+        score("environmental", F.when(F.col("gics_sector") == "IT", 0.37).otherwise(0.1)).alias("environmental_score"),
         score("social").alias("social_score"),
         score("governance").alias("governance_score"),
         F.when(uniform("spike", seed) < 0.05, emissions * 10).otherwise(emissions).alias("carbon_emissions"),

@@ -112,6 +112,30 @@ def test_metadata(spark, prepared):
     assert table.groupBy("dataset").count().collect() and table.where("kind = 'one_hot'").count() == 20
 
 
+def test_exports(spark, prepared, companies, tmp_path):
+    from profilekit.plans import analysis, export, forest_job
+    from profilekit.sources.readers import read_params, read_table
+
+    folder = str(tmp_path)
+    export.export_feature_tables(prepared, CFG, folder)
+    assert read_table(spark, f"{folder}/linear").count() == 1000
+    assert read_params(spark, f"{folder}/metadata/yeo_johnson_mapping")["revenue"] == "yeo_joh_revenue"
+    assert read_params(spark, f"{folder}/metadata/linear_model_columns")["target"] == "social_score"
+    lists = read_table(spark, f"{folder}/column_lists", "json")
+    assert lists.where("list_name = 'base_columns'").count() == len(prepared.numerical)
+    summary = export.export_target(companies, CFG, folder)
+    assert summary["count"] < 1000 and summary["violations"] > 0
+    assert read_table(spark, f"{folder}/score_zscore").columns == ["company_id", "social_score_zscore"]
+    result = analysis.analyse_outliers(companies, "company_id", add_forest=False)
+    export.export_outliers(result, folder)
+    assert read_table(spark, f"{folder}/outlier_report", "json").where("variable = 'total'").count() == 2
+    export.export_missing(analysis.analyse_missing(companies, "company_id", "gics_sector"), folder)
+    assert read_table(spark, f"{folder}/imputation_results", "csv").count() == 3
+    job = forest_job.run_forest_job(companies, "company_id", "social_score", tune=False)
+    export.export_forest(job, "company_id", folder)
+    assert read_table(spark, f"{folder}/isolation_forest_outliers", "csv").count() == 10
+
+
 # --- plans ---------------------------------------------------------------------------
 
 
