@@ -103,15 +103,24 @@ class IqrModel(OutlierModel):
 
 
 class IqrDetector(Learner):
-    """Quartile fences; ``multiplier`` times the interquartile range on each side."""
-
-    def __init__(self, columns: Sequence[str] | None = None, multiplier: float = 1.5, prefix: str = IQR_PREFIX):
+    """Quartile fences; ``multiplier`` times the interquartile range on each side.
+
+    Quartiles are exact unless ``accuracy`` asks for a one-scan approximation.
+    """
+
+    def __init__(
+        self,
+        columns: Sequence[str] | None = None,
+        multiplier: float = 1.5,
+        prefix: str = IQR_PREFIX,
+        accuracy: int | None = None,
+    ):
         super().__init__()
-        self.columns, self.multiplier, self.prefix = columns, multiplier, prefix
+        self.columns, self.multiplier, self.prefix, self.accuracy = columns, multiplier, prefix, accuracy
 
     def _fit(self, dataset: DataFrame) -> IqrModel:
         columns = list(self.columns) if self.columns is not None else numeric_columns(dataset)
-        quartiles = column_quantiles(dataset, {c: col(c) for c in columns}, [0.25, 0.75])
+        quartiles = column_quantiles(dataset, {c: col(c) for c in columns}, [0.25, 0.75], accuracy=self.accuracy)
         return IqrModel({c: (q[0], q[1]) for c, q in quartiles.items()}, self.multiplier, self.prefix)
 
 

@@ -36,16 +36,25 @@ def column_quantiles(
     exprs: Mapping[str, Column],
     probs: Sequence[float],
     *,
+    accuracy: int | None = None,
     direct_rows: int | None = None,
 ) -> dict[str, list[float | None]]:
-    """Quantiles of each named expression over the whole table; nulls are skipped."""
+    """Quantiles of each named expression over the whole table; nulls are skipped.
+
+    With ``accuracy`` they are approximate, from one scan: the rank error is at
+    most the row count divided by the accuracy.
+    """
     if not exprs:
         return {}
+    if accuracy is not None:
+        sketches = [F.percentile_approx(e.cast("double"), list(probs), accuracy).alias(f"q{i}") for i, e in enumerate(exprs.values())]
+        row = df.agg(*sketches).first()
+        return {n: list(row[f"q{i}"] or [None] * len(probs)) for i, n in enumerate(exprs)}
     direct_rows = DIRECT_ROWS if direct_rows is None else direct_rows
     names = list(exprs)
     small = df.count() <= direct_rows
     long = to_long(df, exprs)
-    table = _direct(long, ["variable"], probs) if small else _select(long, ["variable"], probs, direct_rows)
+    table = _direct(long, ["variable"], probs) if small else _select(long, ["variable"], probs, direct_rows, few_keys=True)
     found = {r["variable"]: r["quantiles"] for r in table.collect()}
     return {n: list(found[n]) if found.get(n) is not None else [None] * len(probs) for n in names}
 
@@ -84,29 +93,41 @@ def _direct(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> Dat
     return ordered.select(*keys, F.when(n > 0, found).alias("quantiles"))
 
 
-def _select(long: DataFrame, keys: Sequence[str], probs: Sequence[float], direct_rows: int) -> DataFrame:
+def _select(
+    long: DataFrame, keys: Sequence[str], probs: Sequence[float], direct_rows: int, few_keys: bool = False
+) -> DataFrame:
+    """Sort the small groups, narrow the large ones.
+
+    ``few_keys`` says that keys are column names only; then counts and first
+    pivots come from one scan.
+    """
+    keys = list(keys)
     long = long.where(F.col("value").isNotNull())
-    sizes = cut_lineage(long.groupBy(*keys).agg(F.count("*").alias("n")))
+    aggregates = [F.count("*").alias("n")] + ([_pivots(F.col("value"))] if few_keys else [])
+    sizes = cut_lineage(long.groupBy(*keys).agg(*aggregates))
     big = sizes.where(F.col("n") > direct_rows)
     if big.isEmpty():
         return _direct(long, keys, probs)
     big_keys = hint_if_small(big.select(*keys))
-    small = _direct(long.join(big_keys, list(keys), "left_anti"), keys, probs)
-    return small.unionByName(_refine(long.join(big_keys, list(keys), "left_semi"), big, keys, probs, direct_rows))
+    if not few_keys:
+        pivots = long.join(big_keys, keys, "left_semi").groupBy(*keys).agg(_pivots(F.col("value")))
+        big = cut_lineage(big.join(pivots, keys))
+    narrowed = _refine(long, big, keys, probs, direct_rows)
+    if big_keys.count() == sizes.count():
+        return narrowed
+    return _direct(long.join(big_keys, keys, "left_anti"), keys, probs).unionByName(narrowed)
 
 
-def _refine(long: DataFrame, sizes: DataFrame, keys: Sequence[str], probs: Sequence[float], direct_rows: int) -> DataFrame:
-    keys = list(keys)
+def _pivots(value: Column) -> Column:
+    return F.percentile_approx(value, [i / PIVOTS for i in range(PIVOTS + 1)], SKETCH_ACCURACY).alias("pivots")
+
+
+def _refine(long: DataFrame, sizes: DataFrame, keys: list[str], probs: Sequence[float], direct_rows: int) -> DataFrame:
+    """Quantiles of the groups in ``sizes (keys, n, pivots)``, one bracket per wanted rank."""
     position = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
     wanted = F.array_distinct(F.array(*[r.cast("long") for h in position for r in (F.floor(h), F.ceil(h))]))
-    sketch = F.percentile_approx("value", [i / PIVOTS for i in range(PIVOTS + 1)], SKETCH_ACCURACY)
-
-    # Round zero: one sketch per key, shared by all wanted ranks of the key.
-    pivots = long.groupBy(*keys).agg(sketch.alias("pivots"))
-    state = (
-        sizes.join(pivots, keys)
-        .select(*keys, F.explode(wanted).alias("rank"), F.col("n").alias("m"), "pivots")
-        .withColumns({"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"), "below": F.lit(0).cast("long")})
+    state = sizes.select(*keys, F.explode(wanted).alias("rank"), F.col("n").alias("m"), "pivots").withColumns(
+        {"lo": F.lit(None).cast("double"), "hi": F.lit(None).cast("double"), "below": F.lit(0).cast("long")}
     )
     solved = None
     while True:
@@ -154,9 +175,7 @@ def _count_bracket(long: DataFrame, state: DataFrame, keys: list[str]) -> DataFr
         F.count_if(value < a).alias("lt"),
         F.count_if(value == a).alias("at_a"),
         F.count_if(middle).alias("m"),
-        F.percentile_approx(
-            F.when(middle, value), [i / PIVOTS for i in range(PIVOTS + 1)], SKETCH_ACCURACY
-        ).alias("pivots"),
+        _pivots(F.when(middle, value)),
     )
     r = F.col("rank") - F.col("below") - F.col("lt")
     answer = F.when(F.col("r") < F.col("at_a"), a).when(F.col("r") >= F.col("at_a") + F.col("m"), b)

@@ -7,9 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup table with at most this many rows is kept as a local relation and
-# broadcast. Anything larger stays distributed and is joined by shuffle.
-LOOKUP_ROWS = 50_000
+# A lookup table within these bounds is kept as a local relation and broadcast.
+# Anything larger stays distributed and is joined by shuffle.
+LOOKUP_ROWS = 200_000
+LOOKUP_BYTES = 32 << 20
 
 # A table up to this size often arrives in one or two file splits. Steps bound
 # by CPU spread it over all cores first; a larger one has enough splits.
@@ -52,9 +53,9 @@ def spread(df: DataFrame, rows: int, *columns) -> DataFrame:
 
 
 def bounded_rows(df: DataFrame, limit: int = LOOKUP_ROWS):
-    """All rows of ``df`` as an Arrow table when there are at most ``limit`` of them, else None."""
+    """All rows of ``df`` as an Arrow table when they keep to the row and byte bounds, else None."""
     rows = df.limit(limit + 1).toArrow()
-    return rows if rows.num_rows <= limit else None
+    return rows if rows.num_rows <= limit and rows.nbytes <= LOOKUP_BYTES else None
 
 
 def settle(table: DataFrame, limit: int = LOOKUP_ROWS) -> tuple[DataFrame, bool]:

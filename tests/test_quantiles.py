@@ -65,3 +65,21 @@ def test_lookup_above_its_bound_is_not_broadcast(spark):
     for lookup in (small, large):
         joined = lookup.left_join(data, "key", "k").orderBy("key").collect()
         assert [r["v"] for r in joined] == [i * 2 if i < 200 else None for i in range(400)]
+
+
+def test_approximate_quantiles_keep_their_rank_bound(spark):
+    values = list(range(10_000))
+    got = column_quantiles(frame(spark, values), {"x": F.col("x")}, [0.25, 0.75], accuracy=1000)["x"]
+    assert got == pytest.approx([2500, 7500], abs=10_000 / 1000 + 1)
+    assert column_quantiles(frame(spark, [None]), {"x": F.col("x")}, [0.5], accuracy=100) == {"x": [None]}
+
+
+def test_selection_over_several_columns(spark):
+    rng = np.random.default_rng(9)
+    data = {"a": rng.normal(size=2500), "b": rng.integers(0, 4, 2500).astype(float), "c": rng.gamma(1, 3, 2500)}
+    df = spark.createDataFrame(list(zip(*[map(float, v) for v in data.values()])), "a double, b double, c double")
+    df = df.withColumn("few", F.when(F.col("a") > 2.0, F.col("a")))
+    got = column_quantiles(df, {c: F.col(c) for c in df.columns}, PROBS, direct_rows=150)
+    for c, v in data.items():
+        assert got[c] == pytest.approx(expected(v), rel=1e-12)
+    assert got["few"] == pytest.approx(expected([v for v in data["a"] if v > 2.0]), rel=1e-12)
