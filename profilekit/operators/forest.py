@@ -39,7 +39,7 @@ MAX_DRAW_PAIRS = 20_000_000
 DISTINCT_SHARE = 0.95
 
 NODE_SCHEMA = (
-    "tree int, node int, feature int, threshold double, left int, right int, size int, depth int, expected double"
+    "tree int, node int, feature int, threshold double, left int, size int, depth int, expected double"
 )
 
 # The search grids and the parameters used when nothing is tuned.
@@ -157,11 +157,10 @@ class ForestModel(Fitted):
         tree, node = nodes["tree"][order], nodes["node"][order]
         starts = np.flatnonzero(node == 0)
         offset = np.repeat(starts, np.diff(np.append(starts, len(node))))
-        child = np.column_stack([nodes["left"][order] + offset, nodes["right"][order] + offset]).ravel()
         self.node_tree, self.node_feature, self.node_size = tree, nodes["feature"][order], nodes["size"][order]
         self.arrays = NodeArrays(
-            roots=starts, feature=np.maximum(self.node_feature, 0), threshold=nodes["threshold"][order],
-            child=child, expected=nodes["expected"][order], depth_limit=depth_limit,
+            roots=starts, feature=np.maximum(self.node_feature, 0).astype(np.int64), threshold=nodes["threshold"][order],
+            left=nodes["left"][order] + offset, expected=nodes["expected"][order], depth_limit=depth_limit,
             normaliser=float(average_path(per_tree)) or 1.0,
         )
         self._broadcast = None

@@ -131,17 +131,22 @@ def _refine(long: DataFrame, sizes: DataFrame, keys: list[str], probs: Sequence[
     )
     solved = None
     while True:
-        state = cut_lineage(_bracket(state, keys))
-        counted = cut_lineage(_count_bracket(long, state, keys))
+        state = _bracket(state, keys)
+        # A bracket holds about 3 of PIVOTS steps; more pivots are only needed
+        # where that is still too much to sort.
+        deeper = not state.where(F.col("m") * 4 / PIVOTS > direct_rows).isEmpty()
+        counted = cut_lineage(_count_bracket(long, state, keys, deeper))
         if not counted.where(F.col("r") < 0).isEmpty():
             raise RuntimeError("quantile sketch returned pivots outside its error bound")
         hits = counted.where(F.col("answer").isNotNull()).select(*keys, "rank", F.col("answer").alias("value"))
         solved = hits if solved is None else solved.unionByName(hits)
-        open_state = counted.where(F.col("answer").isNull())
-        ready = open_state.where(F.col("m") <= direct_rows)
+        open_ranks = counted.where(F.col("answer").isNull())
+        ready = open_ranks.where(F.col("m") <= direct_rows) if deeper else open_ranks
         if not ready.isEmpty():
             solved = solved.unionByName(_sort_bracket(long, ready, keys))
-        state = open_state.where(F.col("m") > direct_rows)
+        if not deeper:
+            break
+        state = open_ranks.where(F.col("m") > direct_rows)
         if state.isEmpty():
             break
 
@@ -156,7 +161,7 @@ def _bracket(state: DataFrame, keys: list[str]) -> DataFrame:
     left = F.greatest(step - 1, F.lit(0))
     right = F.least(step + 2, F.lit(PIVOTS))
     return state.select(
-        *keys, "rank", "lo", "hi", "below",
+        *keys, "rank", "lo", "hi", "below", "m",
         F.col("pivots")[left].alias("a"), F.col("pivots")[right].alias("b"),
     )
 
@@ -168,22 +173,28 @@ def _inside(long: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     return long.join(hint_if_small(state), keys).where(above & under)
 
 
-def _count_bracket(long: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+def _count_bracket(long: DataFrame, state: DataFrame, keys: list[str], with_pivots: bool) -> DataFrame:
+    """Count below, at and between the pivots of each bracket, and say which ranks that answers.
+
+    Neighbouring ranks mostly share a bracket, which is then counted once.
+    """
     value, a, b = F.col("value"), F.col("a"), F.col("b")
     middle = (value > a) & (value < b)
-    counted = _inside(long, state, keys).groupBy(*keys, "rank", "below", "a", "b").agg(
-        F.count_if(value < a).alias("lt"),
-        F.count_if(value == a).alias("at_a"),
-        F.count_if(middle).alias("m"),
-        _pivots(F.when(middle, value)),
-    )
+    brackets = state.select(*keys, "lo", "hi", "a", "b").distinct()
+    aggregates = [
+        F.count_if(value < a).alias("lt"), F.count_if(value == a).alias("at_a"), F.count_if(middle).alias("m")
+    ]
+    if with_pivots:
+        aggregates.append(_pivots(F.when(middle, value)))
+    counts = _inside(long, brackets, keys).groupBy(*keys, "a", "b").agg(*aggregates)
+    counted = state.drop("m", "lo", "hi").join(counts, [*keys, "a", "b"])
     r = F.col("rank") - F.col("below") - F.col("lt")
     answer = F.when(F.col("r") < F.col("at_a"), a).when(F.col("r") >= F.col("at_a") + F.col("m"), b)
     return (
         counted.withColumn("r", r)
         .withColumn("answer", answer)
         .select(
-            *keys, "rank", "r", "answer", "m", "pivots", a.alias("lo"), b.alias("hi"),
+            *keys, "rank", "r", "answer", "m", *(["pivots"] if with_pivots else []), a.alias("lo"), b.alias("hi"),
             (F.col("below") + F.col("lt") + F.col("at_a")).alias("below"),
         )
     )

@@ -27,21 +27,16 @@ def average_path(n):
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator, depth_limit: int, candidates: np.ndarray):
-    """Node arrays of one isolation tree; a leaf points to itself, children follow their parent."""
-    feature, threshold, left, right, size, depth = [], [], [], [], [], []
-    stack = [(np.arange(len(x)), 0, -1, None)]
+    """Node arrays of one isolation tree.
+
+    ``left`` is the left child, the right one follows it; a leaf is its own
+    left child and has an infinite threshold. Children follow their parent.
+    """
+    feature, threshold, left, size, depth = [-1], [np.inf], [0], [len(x)], [0]
+    stack = [(np.arange(len(x)), 0)]
     while stack:
-        rows, level, parent, side = stack.pop()
-        node = len(feature)
-        if side is not None:
-            side[parent] = node
-        feature.append(-1)
-        threshold.append(np.inf)
-        left.append(node)
-        right.append(node)
-        size.append(len(rows))
-        depth.append(level)
-        if level >= depth_limit or len(rows) <= 1:
+        rows, node = stack.pop()
+        if depth[node] >= depth_limit or len(rows) <= 1:
             continue
         block = x[np.ix_(rows, candidates)]
         low, high = np.fmin.reduce(block), np.fmax.reduce(block)
@@ -52,43 +47,52 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, depth_limit: int, candida
         cut = rng.uniform(low[pick], high[pick])
         if cut >= high[pick]:
             cut = low[pick]
-        goes_left = block[:, pick] <= cut
-        feature[node] = int(candidates[pick])
-        threshold[node] = float(cut)
-        stack.append((rows[~goes_left], level + 1, node, right))
-        stack.append((rows[goes_left], level + 1, node, left))
+        goes_right = block[:, pick] > cut
+        first = len(feature)
+        feature[node], threshold[node], left[node] = int(candidates[pick]), float(cut), first
+        for child, part in ((first, rows[~goes_right]), (first + 1, rows[goes_right])):
+            feature.append(-1)
+            threshold.append(np.inf)
+            left.append(child)
+            size.append(len(part))
+            depth.append(depth[node] + 1)
+            stack.append((part, child))
     value = np.asarray(depth) + average_path(size)
     expected = value.copy()
     for node in range(len(feature) - 1, -1, -1):
         if feature[node] >= 0:
-            a, b = left[node], right[node]
-            expected[node] = (size[a] * expected[a] + size[b] * expected[b]) / size[node]
+            a = left[node]
+            expected[node] = (size[a] * expected[a] + size[a + 1] * expected[a + 1]) / size[node]
     return {
-        "feature": feature, "threshold": threshold, "left": left, "right": right,
-        "size": size, "depth": depth, "expected": expected,
+        "feature": feature, "threshold": threshold, "left": left, "size": size, "depth": depth, "expected": expected,
     }
 
 
 @dataclass
 class NodeArrays:
-    """All trees in flat arrays; ``child[2 * i]`` and ``child[2 * i + 1]`` are the children of node i."""
+    """All trees in flat arrays, each node's children at ``left`` and ``left + 1``."""
 
     roots: np.ndarray
     feature: np.ndarray
     threshold: np.ndarray
-    child: np.ndarray
+    left: np.ndarray
     expected: np.ndarray
     depth_limit: int
     normaliser: float
 
     def walk(self, x: np.ndarray, tree: int):
-        """Yield (node before, feature tested, node after) for every level of one tree."""
+        """Yield (node before, feature tested, node after) for every level of one tree.
+
+        All indexes come from the arrays themselves, so range checks are off.
+        """
         flat = np.ascontiguousarray(x).ravel()
         base = np.arange(len(x)) * x.shape[1]
-        node = np.full(len(x), self.roots[tree], dtype=np.int64)
+        node = np.full(len(x), self.roots[tree])
         for _ in range(self.depth_limit):
-            tested = self.feature[node]
-            after = self.child[2 * node + ~(flat[base + tested] <= self.threshold[node])]
+            tested = self.feature.take(node, mode="clip")
+            value = flat.take(base + tested, mode="clip")
+            after = self.left.take(node, mode="clip")
+            after += value > self.threshold.take(node, mode="clip")
             yield node, tested, after
             node = after
 
@@ -101,7 +105,7 @@ class NodeArrays:
             after = np.full(len(x), self.roots[tree])
             for _, _, after in self.walk(x, tree):
                 pass
-            total += self.expected[after]
+            total += self.expected.take(after, mode="clip")
             if tree + 1 in wanted:
                 out[:, wanted[tree + 1]] = total / (tree + 1)
         return out

@@ -36,7 +36,7 @@ def walk_one(nodes, row):
     node, depth = 0, 0
     while nodes["feature"][node] >= 0:
         go = row[nodes["feature"][node]] <= nodes["threshold"][node]
-        node, depth = nodes["left" if go else "right"][node], depth + 1
+        node, depth = nodes["left"][node] + (0 if go else 1), depth + 1
     return depth + float(average_path(nodes["size"][node]))
 
 
@@ -46,7 +46,7 @@ def test_batched_paths_match_single_steps():
     nodes = grow_tree(x[:200], rng, 8, np.arange(3))
     arrays = NodeArrays(
         roots=np.array([0]), feature=np.maximum(nodes["feature"], 0), threshold=np.array(nodes["threshold"]),
-        child=np.column_stack([nodes["left"], nodes["right"]]).ravel(), expected=nodes["expected"], depth_limit=8,
+        left=np.array(nodes["left"]), expected=nodes["expected"], depth_limit=8,
         normaliser=float(average_path(200)),
     )
     got = arrays.path_lengths(x, [1])[:, 0]
