@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from profilekit.runtime import col, cut_lineage, hint_if_small, quoted
 
-DIRECT_ROWS = 2_000_000
+DIRECT_ROWS = 4_000_000
 PIVOTS = 512
 SKETCH_ACCURACY = 10_000
 
