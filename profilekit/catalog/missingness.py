@@ -236,12 +236,12 @@ def fill_int_rounding(spark, sf_dir):
     f"""WITH {cte('pt')}, g AS (SELECT grp AS gg, avg(p_retailprice) AS gm FROM pt WHERE grp IS NOT NULL GROUP BY grp),
     o AS (SELECT avg(p_retailprice) AS om FROM pt)
     SELECT p_partkey, {rd('coalesce(p_retailprice, gm, om)')} AS p_retailprice
-    FROM pt LEFT JOIN g ON grp = gg, o WHERE grp IS NULL""",
+    FROM pt LEFT JOIN g ON grp = gg, o""",
 )
 def fill_null_group(spark, sf_dir):
     parts = planted(spark, sf_dir, "pt").select("p_partkey", "grp", "p_retailprice")
     filled = impute.FillMissing("group_mean", "grp").fit_transform(parts)
-    return rounded(filled.where("grp IS NULL").drop("grp"))
+    return rounded(filled.drop("grp"))
 
 
 @query(

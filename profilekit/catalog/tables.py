@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from profilekit.catalog.features import PRIORITIES, STATUSES, dummies, yj_sql
-from profilekit.catalog.registry import query, rd, rounded, table
+from profilekit.catalog.registry import cte, planted, query, rd, rounded, table
 from profilekit.config import Config
 from profilekit.operators import assemble, profile, scale, schema
 from profilekit.operators.encode import OneHot
@@ -121,15 +119,13 @@ def encoded_table(spark, sf_dir):
 
 @query(
     "attach_columns",
-    """SELECT c_custkey, c_acctbal, largest FROM customer
-    LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS largest FROM orders WHERE o_totalprice > 400000 GROUP BY o_custkey)
-    ON c_custkey = o_custkey""",
+    f"""WITH {cte('cu')} SELECT c.c_custkey, c.c_name, k.c_acctbal FROM customer c
+    LEFT JOIN (SELECT c_custkey, c_acctbal FROM cu WHERE c_acctbal IS NOT NULL) k ON c.c_custkey = k.c_custkey""",
 )
 def attach_columns(spark, sf_dir):
-    base = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
-    large = table(spark, sf_dir, "orders").where("o_totalprice > 400000").selectExpr("o_custkey AS c_custkey", "o_totalprice")
-    largest = large.groupBy("c_custkey").agg(F.max("o_totalprice").alias("largest"))
-    return assemble.attach_columns(base, largest, "c_custkey", ["largest"])
+    base = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    known = schema.complete_cases(planted(spark, sf_dir, "cu"), "c_acctbal")
+    return assemble.attach_columns(base, known, "c_custkey", ["c_acctbal"])
 
 
 @query("prepared_tree_table")

@@ -12,7 +12,7 @@ from profilekit.operators.base import Fitted, Learner
 from profilekit.operators.moments import column_moments
 from profilekit.operators.quantiles import column_quantiles, grouped_quantiles, to_long
 from profilekit.operators.schema import is_whole, numeric_columns
-from profilekit.runtime import Lookup, col, settle
+from profilekit.runtime import Lookup, col, settle, spread
 
 METHODS = ("global_mean", "global_median", "group_mean", "group_median")
 
@@ -145,14 +145,14 @@ def evaluate_imputation(
         F.struct(F.lit("all").alias("scope"), F.lit("").alias("grp")),
         F.struct(F.lit("group").alias("scope"), F.col("grp")),
     )
+    known = parts.agg(F.sum("n")).first()[0] or 0
     train_rows = (
-        long.select("variable", F.explode(others).alias("fold"), "value", scopes.alias("scopes"))
+        spread(long, known, "variable", "value").select("variable", F.explode(others).alias("fold"), "value", scopes.alias("scopes"))
         .select("variable", "fold", "value", F.inline("scopes"))
         .where(F.col("grp").isNotNull())
     )
-    trained = (parts.agg(F.sum("n")).first()[0] or 0) * (folds - 1) * 2
     medians, few_medians = settle(
-        grouped_quantiles(train_rows, ["variable", "fold", "scope", "grp"], [0.5], rows=trained).select(
+        grouped_quantiles(train_rows, ["variable", "fold", "scope", "grp"], [0.5], rows=known * (folds - 1) * 2).select(
             "variable", "fold", "scope", "grp", fitted(F.col("quantiles")[0]).alias("median")
         )
     )

@@ -90,54 +90,59 @@ def contingency(counts: DataFrame) -> DataFrame:
     )
 
 
-def association_test(counts: DataFrame, significance: float = 0.05) -> DataFrame:
-    """Chi-square independence test of group against missing, per variable.
+def _tested(counts: DataFrame) -> DataFrame:
+    """Rates, difference and test statistic for every named group and variable.
 
-    Only variables with both missing and present cells are tested. With two
-    groups the continuity correction (Yates) is applied.
+    Windows over the small counts table instead of self-joins, so the table
+    behind it is scanned once. ``chi2`` is null where nothing or everything is
+    missing.
     """
     per_variable = Window.partitionBy("variable")
-    table = contingency(counts).withColumns(
+    named = F.col("grp").isNotNull()
+    totals = counts.withColumns(
         {
-            "total_missing": F.sum("missing").over(per_variable),
-            "total": F.sum(F.col("present") + F.col("missing")).over(per_variable),
-            "dof": F.count("*").over(per_variable) - 1,
+            "overall_rate": F.sum("missing").over(per_variable) / F.sum("n").over(per_variable),
+            "total_missing": F.sum(F.when(named, F.col("missing"))).over(per_variable),
+            "total": F.sum(F.when(named, F.col("n"))).over(per_variable),
+            "dof": F.count_if(named).over(per_variable) - 1,
         }
-    )
-    tested = table.where((F.col("total_missing") > 0) & (F.col("total_missing") < F.col("total")))
-    row_total = (F.col("present") + F.col("missing")).cast("double")
+    ).where(named)
 
     def term(observed, column_total):
-        expected = row_total * column_total / F.col("total")
+        expected = F.try_divide(F.col("n").cast("double") * column_total, F.col("total"))
         distance = F.abs(observed - expected)
+        # Two groups: continuity correction (Yates).
         corrected = F.when(F.col("dof") == 1, distance - F.least(F.lit(0.5), distance)).otherwise(distance)
-        return corrected * corrected / expected
+        return F.try_divide(corrected * corrected, expected)
 
-    chi2 = F.sum(
-        term(F.col("missing"), F.col("total_missing"))
-        + term(F.col("present"), F.col("total") - F.col("total_missing"))
+    cells = term(F.col("missing"), F.col("total_missing")) + term(
+        F.col("n") - F.col("missing"), F.col("total") - F.col("total_missing")
     )
-    result = tested.groupBy("variable", "dof").agg(chi2.alias("chi2"))
-    return result.select("variable", "chi2", "dof", chi2_p_value(F.col("chi2"), F.col("dof")).alias("p_value")).withColumn(
-        "significant", F.col("p_value") < significance
+    testable = (F.col("total_missing") > 0) & (F.col("total_missing") < F.col("total"))
+    rate = F.col("missing") / F.col("n")
+    return totals.withColumn("cells", cells).select(
+        "grp", "variable", rate.alias("group_rate"), "overall_rate", (rate - F.col("overall_rate")).alias("difference"),
+        "dof", F.when(testable, F.sum("cells").over(per_variable)).alias("chi2"),
     )
 
 
-def _rated(counts: DataFrame) -> DataFrame:
-    per_variable = Window.partitionBy("variable")
-    overall = F.sum("missing").over(per_variable) / F.sum("n").over(per_variable)
-    return (
-        counts.withColumn("overall_rate", overall)
-        .where(F.col("grp").isNotNull())
-        .withColumn("group_rate", F.col("missing") / F.col("n"))
-        .withColumn("difference", F.col("group_rate") - F.col("overall_rate"))
+def association_test(counts: DataFrame, significance: float = 0.05) -> DataFrame:
+    """Chi-square independence test of group against missing, per variable.
+
+    Only variables with both missing and present cells are tested.
+    """
+    result = _tested(counts).where(F.col("chi2").isNotNull()).groupBy("variable").agg(
+        F.first("chi2").alias("chi2"), F.first("dof").alias("dof")
+    )
+    return result.withColumn("p_value", chi2_p_value(F.col("chi2"), F.col("dof"))).withColumn(
+        "significant", F.col("p_value") < significance
     )
 
 
 def _tested_rates(counts: DataFrame, threshold: float, significance: float) -> DataFrame:
-    tests = association_test(counts, significance)
-    high = F.coalesce(F.col("significant") & (F.col("difference") > threshold), F.lit(False))
-    return _rated(counts).join(tests, "variable", "left").withColumn("elevated", high)
+    rated = _tested(counts).withColumn("p_value", chi2_p_value(F.col("chi2"), F.col("dof")))
+    high = (F.col("p_value") < significance) & (F.col("difference") > threshold)
+    return rated.withColumn("elevated", F.coalesce(high, F.lit(False)))
 
 
 def elevated_missing(counts: DataFrame, threshold: float = 0.05, significance: float = 0.05) -> DataFrame:
@@ -175,7 +180,7 @@ def missing_overall(counts: DataFrame, threshold: float = 0.05, significance: fl
 def missing_rank(counts: DataFrame) -> DataFrame:
     """Rank of each group within each variable, 1 = most missing; equal rates are ordered by group name."""
     order = Window.partitionBy("variable").orderBy(F.desc("group_rate"), "grp")
-    return _rated(counts).select("variable", "grp", "group_rate", F.row_number().over(order).alias("rank"))
+    return _tested(counts).select("variable", "grp", "group_rate", F.row_number().over(order).alias("rank"))
 
 
 def missing_average_rank(counts: DataFrame) -> DataFrame:

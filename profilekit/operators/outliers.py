@@ -39,23 +39,7 @@ class OutlierModel(Fitted):
 
     def counts(self, df: DataFrame) -> DataFrame:
         """``(method, variable, outliers, lower, upper)``, all columns in one aggregation."""
-        aggregates = []
-        for i, c in enumerate(self.columns):
-            aggregates += [F.count_if(self.lower(c)).alias(f"l{i}"), F.count_if(self.upper(c)).alias(f"u{i}")]
-        rows = F.array(
-            *[
-                F.struct(F.lit(c).alias("variable"), F.col(f"l{i}").alias("lower"), F.col(f"u{i}").alias("upper"))
-                for i, c in enumerate(self.columns)
-            ]
-        )
-        return (
-            df.agg(*aggregates)
-            .select(F.inline(rows))
-            .select(
-                F.lit(self.method).alias("method"), "variable",
-                (F.col("lower") + F.col("upper")).alias("outliers"), "lower", "upper",
-            )
-        )
+        return outlier_counts(df, [self])
 
     def tails(self, df: DataFrame, key: str) -> DataFrame:
         """``(key, variable, value, tail)`` for every cell outside the bounds."""
@@ -74,6 +58,25 @@ class OutlierModel(Fitted):
         )
 
 
+def outlier_counts(df: DataFrame, models: Sequence[OutlierModel]) -> DataFrame:
+    """``(method, variable, outliers, lower, upper)`` of several models over one scan."""
+    cells = [(m, c) for m in models for c in m.columns]
+    aggregates = []
+    for i, (m, c) in enumerate(cells):
+        aggregates += [F.count_if(m.lower(c)).alias(f"l{i}"), F.count_if(m.upper(c)).alias(f"u{i}")]
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(m.method).alias("method"), F.lit(c).alias("variable"),
+                (F.col(f"l{i}") + F.col(f"u{i}")).alias("outliers"),
+                F.col(f"l{i}").alias("lower"), F.col(f"u{i}").alias("upper"),
+            )
+            for i, (m, c) in enumerate(cells)
+        ]
+    )
+    return df.agg(*aggregates).select(F.inline(rows))
+
+
 class IqrModel(OutlierModel):
     method = "IQR"
 

@@ -88,7 +88,7 @@ def analyse_outliers(
     zscore = outliers.ZScoreDetector(columns, threshold).fit(df)
     result = OutlierAnalysis(
         flagged=zscore.transform(iqr.transform(df)), iqr=iqr, zscore=zscore,
-        counts=iqr.counts(df).unionByName(zscore.counts(df)),
+        counts=outliers.outlier_counts(df, [iqr, zscore]),
     )
     if add_forest:
         result.forest = forest.IsolationForest(key, columns, contamination=contamination, seed=seed).fit(df)
