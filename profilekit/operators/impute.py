@@ -60,32 +60,49 @@ class FillMissing(Learner):
         self.method, self.group_col, self.columns = method, group_col, columns
 
     def _fit(self, dataset: DataFrame) -> ImputationModel:
+        if self.method == "group_mean":
+            return self._group_means(dataset)
         columns = list(self.columns) if self.columns is not None else columns_with_nulls(dataset)
         exprs = {c: col(c) for c in columns}
         if not columns:
             return ImputationModel({}, None, None)
-        if self.method.endswith("mean"):
-            fallback = {c: m.mean for c, m in column_moments(dataset, exprs).items()}
-        else:
-            fallback = {c: q[0] for c, q in column_quantiles(dataset, exprs, [0.5]).items()}
-        if self.method.startswith("global"):
+        if self.method == "global_mean":
+            return ImputationModel({c: m.mean for c, m in column_moments(dataset, exprs).items()}, None, None)
+        fallback = {c: q[0] for c, q in column_quantiles(dataset, exprs, [0.5]).items()}
+        if self.method == "global_median":
             return ImputationModel(fallback, None, None)
         known = dataset.where(col(self.group_col).isNotNull())
-        if self.method == "group_mean":
-            table = known.groupBy(col(self.group_col).alias("__fill_group")).agg(
-                *[F.avg(e.cast("double")).alias(f"__fill_{i}") for i, e in enumerate(exprs.values())]
-            )
-        else:
-            long = to_long(known, exprs, [col(self.group_col).alias("__fill_group")])
-            medians = grouped_quantiles(long, ["__fill_group", "variable"], [0.5])
-            table = medians.groupBy("__fill_group").agg(
-                *[
-                    F.max(F.when(F.col("variable") == c, F.col("quantiles")[0])).alias(f"__fill_{i}")
-                    for i, c in enumerate(exprs)
-                ]
-            )
+        long = to_long(known, exprs, [col(self.group_col).alias("__fill_group")])
+        medians = grouped_quantiles(long, ["__fill_group", "variable"], [0.5])
+        table = medians.groupBy("__fill_group").agg(
+            *[
+                F.max(F.when(F.col("variable") == c, F.col("quantiles")[0])).alias(f"__fill_{i}")
+                for i, c in enumerate(exprs)
+            ]
+        )
         return ImputationModel(fallback, self.group_col, Lookup(table))
 
+    def _group_means(self, dataset: DataFrame) -> ImputationModel:
+        """One scan: sums and counts per group give the group means, the global means and the null counts."""
+        columns = list(self.columns) if self.columns is not None else numeric_columns(dataset)
+        sums, _ = settle(
+            dataset.groupBy(col(self.group_col).alias("__fill_group")).agg(
+                F.count("*").alias("n"),
+                *[F.sum(col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(columns)],
+                *[F.count(col(c)).alias(f"c{i}") for i, c in enumerate(columns)],
+            )
+        )
+        total = sums.agg(
+            *[F.sum(name).alias(name) for i in range(len(columns)) for name in (f"s{i}", f"c{i}")], F.sum("n").alias("n")
+        ).first()
+        slots = [i for i in range(len(columns)) if self.columns is not None or (total[f"c{i}"] or 0) < (total["n"] or 0)]
+        if not slots:
+            return ImputationModel({}, None, None)
+        fallback = {columns[i]: total[f"s{i}"] / total[f"c{i}"] if total[f"c{i}"] else None for i in slots}
+        means = [F.try_divide(F.col(f"s{i}"), F.col(f"c{i}")).alias(f"__fill_{j}") for j, i in enumerate(slots)]
+        groups = sums.where(F.col("__fill_group").isNotNull()).select("__fill_group", *means)
+        return ImputationModel(fallback, self.group_col, Lookup(groups))
+
 
 def columns_with_nulls(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     """Numeric columns with at least one null, from one aggregation."""

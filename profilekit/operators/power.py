@@ -165,7 +165,10 @@ class PowerModel(Fitted):
 
 
 class YeoJohnson(Learner):
-    """Fit lambda per column, or take given ``lambdas``; output has mean 0 and population std 1 when ``standardize``."""
+    """Fit lambda per column, or take given ``lambdas``; output has mean 0 and population std 1 when ``standardize``.
+
+    Known ``medians`` save their quantile passes.
+    """
 
     def __init__(
         self,
@@ -174,14 +177,17 @@ class YeoJohnson(Learner):
         grid: Sequence[float] | None = None,
         standardize: bool = True,
         prefix: str = PREFIX,
+        medians: Mapping[str, float | None] | None = None,
     ):
         super().__init__()
-        self.columns, self.lambdas, self.grid = columns, lambdas, grid
+        self.columns, self.lambdas, self.grid, self.medians = columns, lambdas, grid, medians
         self.standardize, self.prefix = standardize, prefix
 
     def _fit(self, dataset: DataFrame) -> PowerModel:
         columns = list(self.columns) if self.columns is not None else numeric_columns(dataset)
-        medians = {c: q[0] for c, q in column_quantiles(dataset, {c: col(c) for c in columns}, [0.5]).items()}
+        medians = self.medians
+        if medians is None:
+            medians = {c: q[0] for c, q in column_quantiles(dataset, {c: col(c) for c in columns}, [0.5]).items()}
         columns = [c for c in columns if medians[c] is not None]
         filled = {c: F.coalesce(col(c).cast("double"), literal(medians[c])) for c in columns}
         if self.lambdas is not None:

@@ -18,8 +18,9 @@ from profilekit.config import Config
 from profilekit.operators.base import Step
 from profilekit.operators.encode import OneHot
 from profilekit.operators.impute import FillMissing
-from profilekit.operators.outliers import IqrDetector, ZScoreDetector
+from profilekit.operators.outliers import IQR_PREFIX, IqrModel, ZScoreDetector
 from profilekit.operators.power import YeoJohnson
+from profilekit.operators.quantiles import column_quantiles
 from profilekit.operators.schema import (
     assert_no_target,
     categorical_columns,
@@ -67,9 +68,11 @@ def prepare(df: DataFrame, cfg: Config, cache: StorageLevel | None = None) -> Pr
     filled = fill.transform(source)
     if cache is not None:
         filled = filled.persist(cache)
-    iqr = IqrDetector(numerical, cfg.iqr_multiplier).fit(filled)
+    # One set of quartiles serves the fences and the power transform.
+    quartiles = column_quantiles(filled, {c: col(c) for c in numerical}, [0.25, 0.5, 0.75])
+    iqr = IqrModel({c: (q[0], q[2]) for c, q in quartiles.items()}, cfg.iqr_multiplier, IQR_PREFIX)
     zscore = ZScoreDetector(numerical, cfg.z_threshold).fit(filled)
-    power = YeoJohnson(numerical).fit(filled)
+    power = YeoJohnson(numerical, medians={c: q[1] for c, q in quartiles.items()}).fit(filled)
     encode = OneHot(categorical, drop_first=cfg.drop_first, max_categories=cfg.max_categories).fit(filled)
     if cache is not None:
         filled.unpersist()

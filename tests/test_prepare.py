@@ -161,11 +161,3 @@ def test_filters_reach_the_scan(spark):
 def test_fitted_transforms_do_not_shuffle_or_join(spark, name):
     plan = executed(QUERIES[name](spark, SF))
     assert "Exchange" not in plan and "Join" not in plan
-
-
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cross_join(spark, name):
-    if name.startswith("forest_"):
-        pytest.skip("fitting is timed elsewhere")
-    plan = executed(QUERIES[name](spark, SF))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
