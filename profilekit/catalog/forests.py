@@ -47,10 +47,16 @@ def forest_grid(spark, sf_dir):
     return rounded(
         forest.search_grid(
             parts(spark, sf_dir), "p_partkey", PART, forest.GRID_TREES, forest.GRID_CONTAMINATION, forest.GRID_MAX_SAMPLES,
+            silhouette=False,
         )
     )
 
 
+@query("forest_silhouette_grid")
+def forest_silhouette_grid(spark, sf_dir):
+    return rounded(forest.search_grid(events(spark, sf_dir), "event_id", ["user_id", "value"]))
+
+
 @query("forest_silhouette")
 def forest_silhouette(spark, sf_dir):
     source = events(spark, sf_dir)
