@@ -167,7 +167,8 @@ class ForestModel(Fitted):
 
     def _shipped(self, spark):
         if self._broadcast is None:
-            self._broadcast = spark.sparkContext.broadcast(self.arrays)
+            # Plain arrays: unlike the UDF, a broadcast value cannot bring its class along.
+            self._broadcast = spark.sparkContext.broadcast(dict(vars(self.arrays)))
         return self._broadcast
 
     def _per_batch(self, spark, returns: str, compute) -> Column:
@@ -176,7 +177,7 @@ class ForestModel(Fitted):
 
         @F.pandas_udf(returns)
         def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            arrays = shipped.value
+            arrays = NodeArrays(**shipped.value)
             for batch in batches:
                 x = np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in batch])
                 yield pd.Series(compute(arrays, x))
