@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A lookup table within these bounds is kept as a local relation and broadcast.
@@ -26,14 +26,13 @@ def col(name: str):
     return F.col(quoted(name))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session
-    without that setting gets a temporary folder; a cluster must name one,
-    because a lost executor could not be replaced from a machine-local folder.
+    It comes from ``spark.checkpoint.dir``. Only a local session without that
+    setting gets a temporary folder; a cluster must name one, because a lost
+    executor could not be replaced from a machine-local folder.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,6 +41,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="profilekit-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
