@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilekit.catalog.registry import table
-from profilekit.llm import quality, toxicity
+from profilekit.llm import neighbours, packing, quality, sharding, simhash, toxicity
+from profilekit.runtime import shared_folder
+
+SHARDS = 24
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,3 +45,31 @@ def op5_toxicity_grammar(spark, sf_dir):
     trained = toxicity.trained_rows()
     grammar = toxicity.learn(docs, labels, trained=trained)
     return predicted(toxicity.score(docs.select("doc_id", "text"), grammar), ~trained, "toxic_clauses", "toxic_words")
+
+
+@query
+def op4_simhash_variants(spark, sf_dir):
+    return simhash.SimHash().assign(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_shard_slots(spark, sf_dir):
+    slotted = sharding.with_slots(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    slot_map = sharding.SlotMap.first(slotted, SHARDS)
+    history = f"{shared_folder(spark)}/slot-map-{uuid.uuid4()}"
+    slot_map.write(spark, history)
+    placed = sharding.place(slotted, sharding.SlotMap.read(spark, history, slot_map.version), ["doc_id", "text_crc32"])
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.lit(slot_map.version).alias("map_version"),
+    )
+
+
+@query
+def op6_collision_neighbours(spark, sf_dir):
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
