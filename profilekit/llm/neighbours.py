@@ -30,11 +30,13 @@ from profilekit.runtime import cut_lineage, quoted
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Vectors of a block and queries of a group (about).
-BLOCK, QUERIES = 8192, 512
+BLOCK, QUERIES = 8192, 1024
 #: Random directions, share of them that must collide, first window (in standard deviations) and its growth.
-PROJECTIONS, COLLISIONS, FIRST, WIDENING = 48, 0.6, 0.1, 1.5
+PROJECTIONS, COLLISIONS, FIRST, WIDENING = 96, 0.65, 0.4, 1.25
+#: Places of a sorted array at which windows may end: a window reaches out to the next.
+PLACES = 128
 #: A query is done in a block once this many distinct candidates for each neighbour asked for are verified.
-ENOUGH = 8
+ENOUGH = 32
 SEED = 7
 
 
@@ -70,26 +72,29 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
     asked = np.column_stack([q, np.zeros(len(q))]) @ axes
     by = np.argsort(projected, axis=0)
     line = np.take_along_axis(projected, by, axis=0)
-    by = np.ascontiguousarray(by.T)
     spread = max(float(projected.std()), 1e-12)
-    need, enough = math.ceil(COLLISIONS * PROJECTIONS), ENOUGH * k
-    out: list[tuple[int, int, float]] = []
-    at = np.stack([np.searchsorted(line[:, j], asked[:, j]) for j in range(PROJECTIONS)], axis=1)
-    live, counts = np.arange(len(q)), np.zeros((len(q), len(first)), np.uint8)
-    low, high, half = at.copy(), at.copy(), FIRST * spread
+    need, enough, n = math.ceil(COLLISIONS * PROJECTIONS), ENOUGH * k, len(first)
+    # Bitmaps of what lies before each of a few places in a sorted array: a window is the difference of two.
+    places = np.linspace(0, n, PLACES + 1).astype(int)
+    before = np.empty((PROJECTIONS, PLACES + 1, (n + 7) // 8), np.uint8)
+    rank = np.empty(n, int)
+    for j in range(PROJECTIONS):
+        rank[by[:, j]] = np.arange(n)
+        before[j] = np.packbits(rank < places[:, None], axis=1)
+    every = np.arange(PROJECTIONS)
+    live, counts, half = np.arange(len(q)), np.zeros((len(q), n), np.uint8), FIRST * spread
     while len(live):
-        wide_low = np.stack([np.searchsorted(line[:, j], asked[live, j] - half, "left") for j in range(PROJECTIONS)], axis=1)
-        wide_high = np.stack([np.searchsorted(line[:, j], asked[live, j] + half, "right") for j in range(PROJECTIONS)], axis=1)
+        edge = lambda shift, side: np.stack([np.searchsorted(line[:, j], asked[live, j] + shift, side) for j in every], axis=1)
+        low = np.searchsorted(places, edge(-half, "left"), "right") - 1
+        high = np.searchsorted(places, edge(half, "right"), "left")
         for i, query in enumerate(live):
-            count = counts[query]
-            for j in range(PROJECTIONS):
-                count[by[j, wide_low[i, j] : low[query, j]]] += 1
-                count[by[j, high[query, j] : wide_high[i, j]]] += 1
-        low[live], high[live] = np.minimum(wide_low, low[live]), np.maximum(wide_high, high[live])
+            inside = before[every, high[i]] ^ before[every, low[i]]
+            counts[query] = np.unpackbits(inside, axis=1, count=n).sum(axis=0, dtype=np.uint8)
         passed = (counts[live] >= need).sum(axis=1)
-        covered = ((low[live] == 0) & (high[live] == len(first))).all(axis=1)
+        covered = ((places[low] == 0) & (places[high] == n)).all(axis=1)
         live = live[(passed < enough) & ~covered]
         half *= WIDENING
+    out: list[tuple[int, int, float]] = []
     for i in range(len(q)):
         candidates = np.flatnonzero(counts[i] >= need)
         scores = (rows[candidates] * q[i]).sum(axis=1)
