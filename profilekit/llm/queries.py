@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilekit.catalog.registry import table
-from profilekit.llm import neighbours, packing, quality, sharding, simhash, toxicity
+from profilekit.llm import decontaminate, licences, linededup, neighbours, packing, pii, quality, sharding, simhash, toxicity
 from profilekit.runtime import shared_folder
 
 SHARDS = 24
@@ -73,3 +73,48 @@ def op6_collision_neighbours(spark, sf_dir):
 @query
 def op7_best_fit_packing(spark, sf_dir):
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_spaced_seeds(spark, sf_dir):
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.mark(docs.select("doc_id", "text"), benchmark).drop("text")
+
+
+@query
+def op9_site_lines(spark, sf_dir):
+    docs = linededup.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return docs.select(
+        "doc_id", "source", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"), "text"
+    )
+
+
+ORACLES["op9_site_lines"] = f"""
+WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+totals AS (SELECT source, count(DISTINCT text) AS n_site FROM pages GROUP BY source),
+held AS (
+  SELECT source, line, count(DISTINCT text) AS n_pages
+  FROM (SELECT source, text, unnest(list_distinct(list_transform(lines, x -> trim(x)))) AS line FROM pages)
+  WHERE length(line) > 0 GROUP BY source, line),
+boilerplate AS (
+  SELECT source, list(line) AS bad FROM held JOIN totals USING (source)
+  WHERE n_pages >= {linededup.LEAST_PAGES} AND n_pages / n_site > {linededup.MOST_RATIO} GROUP BY source),
+kept AS (
+  SELECT p.*, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, x -> NOT list_contains(bad, trim(x)) OR trim(x) = '') END AS rest
+  FROM pages p LEFT JOIN boilerplate USING (source)),
+joined AS (SELECT *, array_to_string(rest, chr(10)) AS new_text FROM kept)
+SELECT doc_id, source, len(lines)::BIGINT AS n_lines,
+  (CASE WHEN length(new_text) < {1 - linededup.MOST_OF_PAGE} * length(text) THEN 0 ELSE len(lines) - len(rest) END)::BIGINT AS n_dropped,
+  CASE WHEN length(new_text) < {1 - linededup.MOST_OF_PAGE} * length(text) OR len(lines) = len(rest) THEN text ELSE new_text END AS text
+FROM joined"""
+
+
+@query
+def op2_information_pii(spark, sf_dir):
+    docs = pii.sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", *[f"n_{k}" for k in pii.KINDS], "base_sha256", "spans")
+
+
+@query
+def op10_licence_rules(spark, sf_dir):
+    return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
