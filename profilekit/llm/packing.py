@@ -16,7 +16,6 @@ import sys
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -175,7 +174,7 @@ def packed_groups(items: DataFrame, size: str, order: list[str], groups: int, st
         [*items.schema.fields, T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("open", T.BooleanType())]
     )
 
-    def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(key, rows):
         rows = rows.sort_values(["order", *order]).reset_index(drop=True)
         bins, offsets, left = best_fit(rows[size].tolist(), length, most_open)
         first = (stage << 52) | (int(key[0]) << 24)
