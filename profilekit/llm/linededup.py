@@ -51,7 +51,7 @@ def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", most
     )
     totals = rows.select("site", "no_site", "page").distinct().groupBy("site", "no_site").agg(F.count("*").alias("n_site"))
     totals = cut_lineage(totals)
-    lines = rows.select("site", "no_site", "page", F.explode(F.array_distinct(F.transform("lines", F.trim))).alias("line")).where(F.length("line") > 0)
+    lines = rows.select("site", "no_site", "page", F.explode(F.array_distinct(F.transform("lines", lambda line: F.trim(line)))).alias("line")).where(F.length("line") > 0)
     held = lines.groupBy("site", "no_site", F.xxhash64("line").alias("key"), "page").agg(F.count("*").alias("k"))
     n = held.groupBy("site", "no_site", "key").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= least_pages)
     ratio = F.col("n_pages") / F.col("n_site")

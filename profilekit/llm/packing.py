@@ -14,8 +14,8 @@ import math
 import re
 import sys
 import zlib
+from array import array
 
-import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -32,7 +32,7 @@ LENGTH, END = 2048, 0
 OPEN, GROUP = 512, 8192
 VOCABULARY = "byte_bpe_50k.json"
 #: Words with their ids that a task remembers, and the longest such word.
-KNOWN_WORDS, KNOWN_LENGTH = 200_000, 48
+KNOWN_WORDS, KNOWN_LENGTH = 400_000, 48
 
 
 def byte_symbols() -> dict[str, int]:
@@ -69,7 +69,10 @@ class Words:
         self.known: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u4").tobytes()
+        ids = array("I", self.encode(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def ids(self, text: str) -> bytes:
         if not text:
