@@ -136,20 +136,16 @@ def stretch(equal: np.ndarray) -> tuple[int, float, int]:
     words, a run from i to j is good when s falls by nothing over it: the
     longest is found from running minima and maxima in linear time.
     """
-    n = len(equal)
-    steps = np.where(equal, 1 - LEAST_EQUAL, -LEAST_EQUAL)
-    s = np.concatenate([[0.0], np.cumsum(steps)])
-    lowest = np.minimum.accumulate(s)
-    # For each end, the first start that is as low: minima fall, so it is found by bisection.
-    ends = np.flatnonzero(np.concatenate([[False], equal]))
-    if not len(ends):
+    first = np.flatnonzero(equal)
+    if not len(first):
         return 0, 0.0, 0
-    starts = np.searchsorted(-lowest, -(s[ends] + 1e-9), "left")
+    s = np.concatenate([[0.0], np.cumsum(np.where(equal, 1 - LEAST_EQUAL, -LEAST_EQUAL))])
+    # For each end, the first start that is as low: the running minimum falls, so it is found by bisection.
+    lowest, ends = np.minimum.accumulate(s[first]), first + 1
+    starts = first[np.searchsorted(-lowest, -(s[ends] + 1e-9), "left")]
     k = int(np.argmax(ends - starts))
     start, end = int(starts[k]), int(ends[k])
-    while start < end and not equal[start]:
-        start += 1
-    return end - start, float(equal[start:end].mean()) if n else 0.0, start
+    return end - start, float(equal[start:end].mean()), start
 
 
 def slices(benchmark: DataFrame, item_id: str, text: str, most: int) -> list[list[tuple[int, str]]]:
