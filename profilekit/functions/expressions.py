@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def literal(value: float | None) -> Column:
-    """Double literal; None and non-finite values become null."""
-    if value is None or not math.isfinite(value):
+    """Double literal, null for None. NaN counts as missing before statistics are taken, so one that is not finite is an error."""
+    if value is None:
         return F.lit(None).cast("double")
+    if not math.isfinite(value):
+        raise ValueError("a statistic is not finite: the column holds an infinity")
     return F.lit(float(value))
 
 

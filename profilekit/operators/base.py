@@ -10,13 +10,23 @@ from __future__ import annotations
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.sql import DataFrame
 
+from profilekit.operators.schema import null_if_nan
+
 
 class Fitted(Model):
+    def transform(self, dataset: DataFrame, params=None) -> DataFrame:
+        """NaN counts as missing, as it does in ``fit``."""
+        return super().transform(null_if_nan(dataset), params)
+
     def _transform(self, dataset: DataFrame) -> DataFrame:
         raise NotImplementedError
 
 
 class Learner(Estimator):
+    def fit(self, dataset: DataFrame, params=None):
+        """NaN counts as missing; a column whose statistics are not finite, because it holds an infinity, is an error."""
+        return super().fit(null_if_nan(dataset), params)
+
     def _fit(self, dataset: DataFrame) -> Fitted:
         raise NotImplementedError
 

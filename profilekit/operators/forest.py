@@ -27,14 +27,10 @@ from profilekit.operators.profile import histogram
 from profilekit.operators.quantiles import column_quantiles
 from profilekit.operators.schema import numeric_columns
 from profilekit.operators.trees import NodeArrays, average_path, grow_tree
-from profilekit.runtime import col, spread
+from profilekit.runtime import col
 
 # Trees x rows per tree. Keeps the node arrays at a few tens of megabytes.
 MAX_SAMPLED_ROWS = 1_000_000
-# Up to this many (row, tree) pairs every tree draws on its own; beyond, one
-# hash per row deals the rows out, so the trees get disjoint samples.
-MAX_DRAW_PAIRS = 20_000_000
-
 # Share of distinct rows from which rows are drawn by their hash alone.
 DISTINCT_SHARE = 0.95
 
@@ -45,19 +41,29 @@ NODE_SCHEMA = (
 # The search grids and the parameters used when nothing is tuned.
 GRID_TREES = (50, 100, 200, 300)
 GRID_CONTAMINATION = (0.01, 0.025, 0.05, 0.075, 0.1)
-GRID_MAX_SAMPLES = ("auto", 256, 0.5, 0.8)
 SMALL_GRID_TREES = (50, 100, 200)
 SMALL_GRID_CONTAMINATION = (0.01, 0.05, 0.1)
 DEFAULT_PARAMS = {"contamination": 0.01, "n_trees": 100, "max_samples": "auto", "seed": 42}
 
 
-def sample_rows(max_samples: int | float | str, n: int) -> int:
-    """Rows per tree: ``auto`` is 256, a float is a share of the table; never more than the table."""
-    if max_samples == "auto":
-        return min(256, n)
+# Rows per tree in the grid. A share of the table is no choice here: a tree is grown in one task, so its rows must not grow
+# with the table.
+GRID_MAX_SAMPLES = ("auto", 128, 512, 1024)
+
+
+def check_samples(max_samples: int | str, n_trees: int) -> int:
+    """Rows per tree (``auto`` is 256); refuses a share of the table and forests too large for one driver, at any table size."""
     if isinstance(max_samples, float):
-        return max(1, min(n, int(max_samples * n)))
-    return min(int(max_samples), n)
+        raise ValueError("max_samples is a number of rows or 'auto': a tree is grown in one task")
+    rows = 256 if max_samples == "auto" else int(max_samples)
+    if rows * n_trees > MAX_SAMPLED_ROWS:
+        raise ValueError(f"{n_trees} trees of {rows} rows exceed {MAX_SAMPLED_ROWS} sampled rows; lower max_samples")
+    return rows
+
+
+def sample_rows(max_samples: int | str, n: int) -> int:
+    """Rows per tree, never more than the table."""
+    return min(256 if max_samples == "auto" else int(max_samples), n)
 
 
 def _slack(expected: float) -> float:
@@ -103,16 +109,13 @@ def _draw(rows: DataFrame, trees: int, per_tree: int, n: int, seed: int, distinc
     names = [c for c in rows.columns if c != "row_hash"]
     if not distinct:
         rows = rows.withColumn("row_hash", F.xxhash64("row_hash", F.monotonically_increasing_id()))
-    if n * trees <= MAX_DRAW_PAIRS:
-        pairs = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        drawn = pairs.withColumn("share", hash_share(seed, F.col("row_hash"), F.col("tree")))
-        drawn = drawn.where(F.col("share") < _slack(per_tree) / n)
-    else:
-        dealt = rows.withColumn("share", hash_share(seed, F.col("row_hash")))
-        dealt = dealt.where(F.col("share") < trees * _slack(per_tree) / n)
-        drawn = dealt.withColumn(
-            "tree", F.pmod(F.xxhash64(F.lit("tree"), F.lit(seed), F.col("row_hash")), F.lit(trees)).cast("int")
-        )
+    # A row first passes for the forest, then draws for each tree: at any size only about trees x per_tree rows meet the
+    # trees, and each tree has each row with the same chance.
+    chance = min(1.0, _slack(per_tree) / n)
+    passing = min(1.0, trees * chance)
+    rows = rows.where(hash_share(seed, F.lit("forest"), F.col("row_hash")) < passing)
+    pairs = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    drawn = pairs.withColumn("share", hash_share(seed, F.col("row_hash"), F.col("tree"))).where(F.col("share") < chance / passing)
     # A fixed partition count: adaptive coalescing goes by bytes and would put all trees in one task.
     cores = rows.sparkSession.sparkContext.defaultParallelism
     drawn = drawn.repartition(min(trees, max(cores, 8)), "tree")
@@ -179,7 +182,9 @@ class ForestModel(Fitted):
         def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             arrays = NodeArrays(**shipped.value)
             for batch in batches:
-                x = np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in batch])
+                # A single argument comes as it is, not in a tuple.
+                columns = [batch] if isinstance(batch, pd.Series) else batch
+                x = np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in columns])
                 yield pd.Series(compute(arrays, x))
 
         # One array argument would be a list per row; separate columns arrive as arrays.
@@ -201,12 +206,7 @@ class ForestModel(Fitted):
     def attribution(self, spark) -> Column:
         return self._per_batch(spark, "array<double>", lambda forest, x: list(forest.attributions(x)))
 
-    def spread(self, df: DataFrame) -> DataFrame:
-        """Rows of a small table over all cores: scoring is bound by CPU, not by bytes."""
-        return spread(df, self.rows, *[col(c) for c in self.features.columns])
-
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        dataset = self.spread(dataset)
         distance = F.col("__score") - F.lit(float(self.threshold))
         scored = dataset.withColumn("__score", self.score(dataset.sparkSession))
         outlier = distance > 0
@@ -235,9 +235,8 @@ class IsolationForest(Learner):
     """Fit trees and, for a numeric ``contamination``, the score threshold.
 
     The hash of the ``key`` columns and the features decides which rows are drawn.
-    ``max_samples`` as a share of the table must stay within
-    ``MAX_SAMPLED_ROWS`` over all trees; a larger request is an error, because
-    a tree is grown in one task.
+    ``max_samples`` is a number of rows or ``auto`` (256); over all trees it must
+    stay within ``MAX_SAMPLED_ROWS``.
     """
 
     def __init__(
@@ -246,7 +245,7 @@ class IsolationForest(Learner):
         features: Sequence[str] | None = None,
         n_trees: int = 100,
         contamination: float | str = 0.05,
-        max_samples: int | float | str = "auto",
+        max_samples: int | str = "auto",
         max_features: float = 1.0,
         bootstrap: bool = False,
         seed: int = 42,
@@ -261,6 +260,7 @@ class IsolationForest(Learner):
             raise ValueError("label must be 'flag' or 'sign'")
         if contamination != "auto" and not 0 < contamination <= 0.5:
             raise ValueError("contamination must be in (0, 0.5]")
+        check_samples(max_samples, n_trees)
         self.key = [key] if isinstance(key, str) else list(key)
         self.feature_columns, self.n_trees, self.contamination = features, n_trees, contamination
         self.max_samples, self.max_features, self.bootstrap, self.seed = max_samples, max_features, bootstrap, seed
@@ -281,10 +281,6 @@ class IsolationForest(Learner):
         if n == 0:
             raise ValueError("table is empty")
         per_tree = sample_rows(self.max_samples, n)
-        if per_tree * self.n_trees > MAX_SAMPLED_ROWS:
-            raise ValueError(
-                f"{self.n_trees} trees of {per_tree} rows exceed {MAX_SAMPLED_ROWS} sampled rows; lower max_samples"
-            )
         features = _Features(dataset, columns, self.fill, self.scale)
         frame = dataset.select(
             row_hash.alias("row_hash"),
@@ -302,7 +298,7 @@ class IsolationForest(Learner):
         model = self.grow(dataset)
         if self.contamination != "auto":
             model.threshold = _thresholds(
-                model.spread(dataset.select(*[col(c) for c in model.features.columns])).select(
+                dataset.select(
                     model.score(dataset.sparkSession).alias("s0")
                 ),
                 ["s0"], [self.contamination],
@@ -329,7 +325,7 @@ def search_grid(
     features: Sequence[str] | None = None,
     n_trees: Sequence[int] = SMALL_GRID_TREES,
     contamination: Sequence[float] = SMALL_GRID_CONTAMINATION,
-    max_samples: Sequence[int | float | str] = ("auto",),
+    max_samples: Sequence[int | str] = ("auto",),
     seed: int = 42,
     silhouette: bool = True,
 ) -> DataFrame:
@@ -337,8 +333,7 @@ def search_grid(
 
     The largest forest of each sample size is grown once; its first k trees are
     the smaller forests, and every contamination is a quantile of the same
-    scores. A combination that would exceed ``MAX_SAMPLED_ROWS`` is listed with
-    null objectives. ``penalised_score`` is the mean score minus ten times the
+    scores. ``penalised_score`` is the mean score minus ten times the
     distance of the flagged share from the contamination.
     """
     spark = df.sparkSession
@@ -346,17 +341,18 @@ def search_grid(
     columns = list(features) if features is not None else numeric_columns(df, [key] if isinstance(key, str) else key)
     n = df.count()
     rows = []
-    grown: dict[tuple[int, int], list] = {}
+    grown: dict[int, list] = {}
+    for wanted in max_samples:
+        check_samples(wanted, sizes[-1])
     for wanted in max_samples:
         per_tree = sample_rows(wanted, n)
-        feasible = [k for k in sizes if k * per_tree <= MAX_SAMPLED_ROWS]
-        if feasible and (per_tree, feasible[-1]) not in grown:
-            model = IsolationForest(key, columns, feasible[-1], "auto", per_tree, seed=seed).grow(df)
-            grown[per_tree, feasible[-1]] = _grid_block(df, model, feasible, contamination, silhouette)
-        found = {(k, c): values for k, c, *values in grown.get((per_tree, feasible[-1] if feasible else 0), [])}
+        if per_tree not in grown:
+            model = IsolationForest(key, columns, sizes[-1], "auto", per_tree, seed=seed).grow(df)
+            grown[per_tree] = _grid_block(df, model, sizes, contamination, silhouette)
+        found = {(k, c): values for k, c, *values in grown[per_tree]}
         for k in sizes:
             for c in contamination:
-                rows.append((str(wanted), per_tree, k, float(c), *found.get((k, c), [None] * 5), len(rows)))
+                rows.append((str(wanted), per_tree, k, float(c), *found[k, c], len(rows)))
     return spark.createDataFrame(
         rows,
         "max_samples string, sample_rows int, n_trees int, contamination double, threshold double, "
@@ -368,7 +364,7 @@ def _grid_block(df, model: ForestModel, sizes: Sequence[int], contamination: Seq
     spark = df.sparkSession
     names = [f"s{i}" for i in range(len(sizes))]
     d = len(model.features.columns)
-    scored = model.spread(df.select(*[col(c) for c in model.features.columns])).select(
+    scored = df.select(
         *[e.alias(f"f{i}") for i, e in enumerate(model.features.exprs())],
         model.prefix_scores(spark, sizes).alias("scores"),
     ).select(*[f"f{i}" for i in range(d)], *[F.col("scores")[i].alias(s) for i, s in enumerate(names)])
@@ -536,12 +532,12 @@ def attribution(df: DataFrame, model: ForestModel, key: str) -> DataFrame:
     spark = df.sparkSession
     names = F.array(*[F.lit(c) for c in model.features.columns])
     pairs = F.arrays_zip(names.alias("feature"), F.col("parts").alias("value"))
-    return model.spread(df).select(col(key), model.attribution(spark).alias("parts")).select(col(key), F.inline(pairs))
+    return df.select(col(key), model.attribution(spark).alias("parts")).select(col(key), F.inline(pairs))
 
 
 def global_importance(df: DataFrame, model: ForestModel, k: int = 30) -> DataFrame:
     """``(feature, importance)``: mean absolute attribution, the ``k`` largest; one aggregation without exploding."""
-    parts = model.spread(df.select(*[col(c) for c in model.features.columns])).select(model.attribution(df.sparkSession).alias("parts"))
+    parts = df.select(model.attribution(df.sparkSession).alias("parts"))
     row = parts.agg(*[F.avg(F.abs(F.col("parts")[i])).alias(f"a{i}") for i in range(len(model.features.columns))])
     rows = F.array(
         *[F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("importance")) for i, c in enumerate(model.features.columns)]

@@ -180,14 +180,16 @@ def _count_bracket(long: DataFrame, state: DataFrame, keys: list[str], with_pivo
     """
     value, a, b = F.col("value"), F.col("a"), F.col("b")
     middle = (value > a) & (value < b)
-    brackets = state.select(*keys, "lo", "hi", "a", "b").distinct()
+    # Neighbouring ranks may share pivots although they lie in different outer brackets; each is counted by itself.
+    state = state.withColumn("outer", F.struct("lo", "hi"))
+    brackets = state.select(*keys, "lo", "hi", "outer", "a", "b").distinct()
     aggregates = [
         F.count_if(value < a).alias("lt"), F.count_if(value == a).alias("at_a"), F.count_if(middle).alias("m")
     ]
     if with_pivots:
         aggregates.append(_pivots(F.when(middle, value)))
-    counts = _inside(long, brackets, keys).groupBy(*keys, "a", "b").agg(*aggregates)
-    counted = state.drop("m", "lo", "hi").join(counts, [*keys, "a", "b"])
+    counts = _inside(long, brackets, keys).groupBy(*keys, "outer", "a", "b").agg(*aggregates)
+    counted = state.drop("m", "lo", "hi").join(counts, [*keys, "outer", "a", "b"])
     r = F.col("rank") - F.col("below") - F.col("lt")
     answer = F.when(F.col("r") < F.col("at_a"), a).when(F.col("r") >= F.col("at_a") + F.col("m"), b)
     return (

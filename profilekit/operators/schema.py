@@ -22,6 +22,8 @@ POLYNOMIAL_KEYWORDS = ("ratio", "return", "margin", "yield")
 def null_if_nan(df: DataFrame) -> DataFrame:
     """Turn NaN into null in every floating column, so one kind of missing value is left."""
     floats = {f.name for f in df.schema if isinstance(f.dataType, FLOATING)}
+    if not floats:
+        return df
     return df.select(
         *[
             F.when(~F.isnan(col(c)), col(c)).alias(c) if c in floats else col(c)

@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 LOOKUP_ROWS = 200_000
 LOOKUP_BYTES = 32 << 20
 
-# A table up to this size often arrives in one or two file splits. Steps bound
-# by CPU spread it over all cores first; a larger one has enough splits.
-SPREAD_ROWS = 5_000_000
-
 
 def quoted(name: str) -> str:
     """Column name usable in ``F.col`` even when it holds dots, spaces or backticks."""
@@ -50,13 +46,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, rows: int, *columns) -> DataFrame:
-    """Spread a table of ``rows`` rows by hash of ``columns`` when it is small, else leave it as it is."""
-    if rows > SPREAD_ROWS:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *columns)
-
-
 def bounded_rows(df: DataFrame, limit: int = LOOKUP_ROWS):
     """All rows of ``df`` as an Arrow table when they keep to the row and byte bounds, else None."""
     rows = df.limit(limit + 1).toArrow()

@@ -72,21 +72,18 @@ def test_result_does_not_depend_on_partitioning(points):
     assert any(abs(r.anomaly_score - other[k].anomaly_score) > 1e-6 for k, r in first.items())
 
 
-@pytest.mark.parametrize("draw_pairs", [20_000_000, 10])
-def test_draw_gives_full_trees(spark, monkeypatch, draw_pairs):
-    """Both ways of drawing fill every tree with distinct rows."""
-    monkeypatch.setattr(forest, "MAX_DRAW_PAIRS", draw_pairs)
-    features = spark.range(60_000).select(F.xxhash64("id").alias("row_hash"), F.col("id").cast("double").alias("f0"))
-    drawn = forest._draw(features, 20, 64, 60_000, 42, True)
+@pytest.mark.parametrize("n", [60_000, 3_000, 64])
+def test_draw_gives_full_trees(spark, n):
+    """One rule fills every tree with distinct rows, of a table of any size."""
+    features = spark.range(n).select(F.xxhash64("id").alias("row_hash"), F.col("id").cast("double").alias("f0"))
+    drawn = forest._draw(features, 20, 64, n, 42, True)
     rows = drawn.groupBy("tree").agg(F.count("*").alias("n"), F.countDistinct("f0").alias("d"), F.avg("f0").alias("m")).collect()
     assert len(rows) == 20 and all(r.n == 64 and r.d == 64 for r in rows)
-    assert np.mean([r.m for r in rows]) == pytest.approx(30_000, rel=0.1)
+    assert np.mean([r.m for r in rows]) == pytest.approx(n / 2, rel=0.1)
 
 
-@pytest.mark.parametrize("draw_pairs", [20_000_000, 10])
-def test_a_repeated_key_still_gives_a_fair_sample(spark, monkeypatch, draw_pairs):
+def test_a_repeated_key_still_gives_a_fair_sample(spark):
     """A third of the rows share one key; they must be drawn at their share, not all or none."""
-    monkeypatch.setattr(forest, "MAX_DRAW_PAIRS", draw_pairs)
     n = 60_000
     key = F.when(F.col("id") % 3 == 0, F.lit(-1)).otherwise(F.col("id"))
     features = spark.range(n).select(F.xxhash64(key).alias("row_hash"), (F.col("id") % 3 == 0).cast("double").alias("f0"))
@@ -102,7 +99,7 @@ def test_copies_are_noticed(spark):
         F.when(F.col("id") % 3 == 0, F.lit(0.0)).otherwise(F.col("id") % 1000 + 1.0).alias("x"),
     )
     model = forest.IsolationForest("k", ["x"], n_trees=30, contamination="auto").grow(df)
-    repeated = model.node_size[(model.node_feature < 0) & (model.node_size > 40)]
+    repeated = model.node_size[(model.node_feature < 0) & (model.node_size > 60)]
     assert len(repeated) == 30 and repeated.mean() / 256 == pytest.approx(1 / 3, abs=0.04)
 
 
@@ -122,7 +119,16 @@ def test_options(points):
     with pytest.raises(ValueError, match="contamination"):
         forest.IsolationForest("k", contamination=0.7)
     with pytest.raises(ValueError, match="lower max_samples"):
-        forest.IsolationForest("k", ["x"], n_trees=1000, max_samples=0.9).fit(points)
+        forest.IsolationForest("k", ["x"], n_trees=1000, max_samples=5000)
+    with pytest.raises(ValueError, match="number of rows"):
+        forest.IsolationForest("k", ["x"], max_samples=0.9)
+
+
+def test_one_feature_and_no_shuffle(points):
+    model = forest.IsolationForest("k", ["x"], n_trees=20, contamination=0.02).fit(points)
+    out = model.transform(points)
+    assert out.where("forest_outlier = 1").count() > 0
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
 
 
 def test_attributions_sum_to_the_path_length(points, spark):
@@ -150,13 +156,11 @@ def test_silhouette_matches_the_evaluator(points):
     assert value == pytest.approx(ClusteringEvaluator().evaluate(vectors))
 
 
-def test_grid_reuses_tree_prefixes(points, monkeypatch):
-    monkeypatch.setattr(forest, "MAX_SAMPLED_ROWS", 12_000)
-    grid = forest.search_grid(points, "k", ["x", "y"], (10, 20), (0.01, 0.05), ("auto", 0.5))
+def test_grid_reuses_tree_prefixes(points):
+    grid = forest.search_grid(points, "k", ["x", "y"], (10, 20), (0.01, 0.05), ("auto", 600))
     rows = grid.orderBy("grid_order").collect()
     assert len(rows) == 8
-    assert [r.mean_score is None for r in rows] == [False] * 6 + [True] * 2
-    for r in rows[:6]:
+    for r in rows:
         assert r.flagged_share == pytest.approx(r.contamination, abs=0.002)
         assert r.penalised_score == pytest.approx(r.mean_score - 10 * abs(r.flagged_share - r.contamination))
     assert rows[0].mean_score == rows[1].mean_score

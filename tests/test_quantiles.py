@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -83,3 +84,15 @@ def test_selection_over_several_columns(spark):
     for c, v in data.items():
         assert got[c] == pytest.approx(expected(v), rel=1e-12)
     assert got["few"] == pytest.approx(expected([v for v in data["a"] if v > 2.0]), rel=1e-12)
+
+
+@pytest.mark.parametrize("direct_rows", [300, 40])
+@pytest.mark.parametrize("seed", range(20))
+def test_selection_in_levels_equals_the_sorted_values(spark, seed, direct_rows):
+    """Neighbouring ranks that share pivots but not the bracket around them are counted apart."""
+    rng = np.random.default_rng(seed)
+    values = rng.random(12_000) if seed % 2 else np.round(rng.lognormal(0, 2, 12_000), 2)
+    df = spark.createDataFrame(pd.DataFrame({"x": values})).coalesce(4)
+    probs = [0.25, 0.5, 0.75]
+    found = column_quantiles(df, {"x": F.col("x")}, probs, direct_rows=direct_rows)["x"]
+    assert found == pytest.approx(list(np.quantile(values, probs)), rel=1e-12)
