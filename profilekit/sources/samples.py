@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Groups, ratings and missing shares of the sample tables.
-SECTORS = (
-    "IT", "Financials", "Healthcare", "Energy", "Materials", "Industrials", "Utilities", "Real Estate",
-    "Consumer Discretionary", "Consumer Staples", "Communication Services",
-)
-RATINGS = ("AAA", "AA", "A", "BBB", "BB", "B", "CCC")
-COUNTRIES = ("US", "UK", "JP", "DE", "FR")
-PANEL_SECTORS = ("Technology", "Energy", "Financials", "Healthcare", "Utilities", "Materials")
-QUALITY = ("High", "Medium", "Low")
+# Neutral categories: only their number and the gaps planted in the first of them matter.
+SECTORS = tuple(f"group {i}" for i in range(1, 12))
+RATINGS = ("best", "good", "fair", "weak")
+COUNTRIES = ("north", "south", "east", "west")
+PANEL_SECTORS = SECTORS[:6]
+QUALITY = ("sure", "likely", "unsure")
 
 
 def uniform(name: str, seed: int = 42) -> Column:
@@ -48,7 +45,7 @@ def company_table(spark: SparkSession, rows: int = 1000, seed: int = 42) -> Data
         F.exp(20 + 2 * normal("cap", seed)).alias("market_cap"),
         F.exp(18 + 2 * normal("revenue", seed)).alias("revenue"),
         F.exp(8 + 1.5 * normal("employees", seed)).cast("bigint").alias("employees"),
-        score("environmental", F.when(F.col("gics_sector") == "IT", 0.37).otherwise(0.1)).alias("environmental_score"),
+        score("environmental", F.when(F.col("gics_sector") == SECTORS[0], 0.37).otherwise(0.1)).alias("environmental_score"),
         score("social").alias("social_score"),
         score("governance").alias("governance_score"),
         F.when(uniform("spike", seed) < 0.05, emissions * 10).otherwise(emissions).alias("carbon_emissions"),
@@ -68,13 +65,13 @@ def panel_table(spark: SparkSession, rows: int = 200, seed: int = 42) -> DataFra
     def gaps(name: str, share: Column, value: Column) -> Column:
         return F.when(uniform(name + "/gap", seed) >= share, value).alias(name)
 
-    score_share = F.when(sector == "Energy", 0.30).when(sector == "Technology", 0.05).otherwise(0.15)
+    score_share = F.when(sector == PANEL_SECTORS[1], 0.30).when(sector == PANEL_SECTORS[0], 0.05).otherwise(0.15)
     return df.select(
         "company_id",
         (F.floor(uniform("year", seed) * 5) + 2018).alias("year"),
         "gics_sector",
         gaps("esg_score", score_share, (5 + normal("esg", seed)) * scale),
-        gaps("carbon_emissions", F.when(sector == "Utilities", 0.35).otherwise(0.10), (50 + 20 * normal("co2", seed)) * scale),
+        gaps("carbon_emissions", F.when(sector == PANEL_SECTORS[4], 0.35).otherwise(0.10), (50 + 20 * normal("co2", seed)) * scale),
         *[gaps(c, F.lit(0.15), normal(c, seed) * scale) for c in ("revenue_growth", "profit_margin", "employee_turnover")],
         F.when(uniform("quality/gap", seed) >= 0.1, choice("quality", QUALITY, seed)).alias("data_quality"),
     )

@@ -33,11 +33,11 @@ def spark(tmp_path_factory):
 def small(spark):
     """Five companies with results that can be worked out by hand."""
     rows = [
-        (1, "IT", 80.5, 75.2, 88.1, 1000.0, "AA"),
-        (2, "Energy", 65.3, None, 81.2, 5000.0, "BBB"),
-        (3, "IT", None, 82.1, 85.5, 800.0, "A"),
-        (4, "Financials", 72.1, 79.5, None, 2000.0, "AA"),
-        (5, "Energy", 68.9, 71.3, 83.7, 50000.0, "BB"),
+        (1, "north", 40.0, 61.0, 70.0, 300.0, "p"),
+        (2, "south", 20.0, None, 50.0, 900.0, "qq"),
+        (3, "north", None, 33.0, 66.0, 200.0, "p"),
+        (4, "west", 55.0, 47.0, None, 500.0, "qq"),
+        (5, "south", 30.0, 29.0, 58.0, 9000.0, "r"),
     ]
     return spark.createDataFrame(
         rows,

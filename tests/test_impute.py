@@ -9,11 +9,11 @@ from profilekit.plans.analysis import analyse_missing
 
 def test_small_table_by_hand(small):
     out = by_key(impute.FillMissing("group_mean", "gics_sector").fit_transform(small), "company_id")
-    assert out[4]["governance_score"] == pytest.approx(84.625)
-    assert out[3]["environmental_score"] == 80.5 and out[2]["social_score"] == 71.3
-    assert out[1]["environmental_score"] == 80.5
+    assert out[4]["governance_score"] == pytest.approx(61.0)
+    assert out[3]["environmental_score"] == 40.0 and out[2]["social_score"] == 29.0
+    assert out[1]["environmental_score"] == 40.0
     median = by_key(impute.FillMissing("group_median", "gics_sector").fit_transform(small), "company_id")
-    assert median[4]["governance_score"] == pytest.approx((83.7 + 85.5) / 2)
+    assert median[4]["governance_score"] == pytest.approx((58.0 + 66.0) / 2)
 
 
 def test_whole_numbers_round_half_to_even(spark):
@@ -37,12 +37,12 @@ def test_all_null_column_stays_null(spark):
 def test_model_fills_new_rows(small, spark):
     model = impute.FillMissing("group_mean", "gics_sector").fit(small)
     new = spark.createDataFrame(
-        [("IT", None, None, None), ("Unknown", None, 1.0, 2.0)],
+        [("north", None, None, None), ("Unknown", None, 1.0, 2.0)],
         "gics_sector string, environmental_score double, social_score double, governance_score double",
     )
     out = by_key(model.transform(new), "gics_sector")
-    assert out["IT"]["environmental_score"] == 80.5
-    assert out["Unknown"]["environmental_score"] == pytest.approx(np.mean([80.5, 65.3, 72.1, 68.9]))
+    assert out["north"]["environmental_score"] == 40.0
+    assert out["Unknown"]["environmental_score"] == pytest.approx(np.mean([40.0, 20.0, 55.0, 30.0]))
 
 
 def test_arguments():

@@ -70,6 +70,6 @@ def test_sample_with_planted_association(companies):
     tests = by_key(missing.association_test(counts), "variable")
     assert "market_cap" not in tests
     assert tests["environmental_score"]["significant"] and tests["environmental_score"]["dof"] == 10
-    assert missing.elevated_missing(counts).first().grp == "IT"
+    assert missing.elevated_missing(counts).first().grp == "group 1"
     matrix = missing.missing_by_group_matrix(counts, ["environmental_score", "social_score"])
     assert matrix.count() == 11 and matrix.columns == ["grp", "environmental_score", "social_score"]

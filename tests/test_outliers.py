@@ -9,12 +9,12 @@ from profilekit.plans.analysis import analyse_outliers
 def test_small_table_by_hand(small, spark):
     model = outliers.IqrDetector(["carbon_emissions"]).fit(small)
     bounds = model.bounds_table(spark).first()
-    assert (bounds.q1, bounds.q3, bounds.lower_bound, bounds.upper_bound) == (1000, 5000, -5000, 11000)
+    assert (bounds.q1, bounds.q3, bounds.lower_bound, bounds.upper_bound) == (300, 900, -600, 1800)
     flags = by_key(model.transform(small), "company_id")
     assert [flags[i]["iqr_out_carbon_emissions"] for i in range(1, 6)] == [0, 0, 0, 0, 1]
     z = outliers.ZScoreDetector(["carbon_emissions"]).fit(small)
     assert z.counts(small).first().outliers == 0
-    assert [tuple(r) for r in model.tails(small, "company_id").collect()] == [(5, "carbon_emissions", 50000.0, "upper")]
+    assert [tuple(r) for r in model.tails(small, "company_id").collect()] == [(5, "carbon_emissions", 9000.0, "upper")]
 
 
 def test_edge_columns(spark):
@@ -37,7 +37,7 @@ def test_names_with_dots_and_spaces(spark):
 
 def test_fit_once_apply_to_new_rows(small, spark):
     model = outliers.IqrDetector(["carbon_emissions"]).fit(small)
-    new = spark.createDataFrame([(9, 11000.0), (10, 11000.5), (11, None)], "company_id long, carbon_emissions double")
+    new = spark.createDataFrame([(9, 1800.0), (10, 1800.5), (11, None)], "company_id long, carbon_emissions double")
     assert [r["iqr_out_carbon_emissions"] for r in model.transform(new).orderBy("company_id").collect()] == [0, 1, 0]
 
 
