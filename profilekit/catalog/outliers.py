@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from profilekit.catalog.registry import cte, planted, query, rd, rounded, table, union_all
 from profilekit.operators import outliers as out
 from profilekit.operators import profile, schema, treat
+from profilekit.operators.impute import FillMissing
 from profilekit.operators.moments import moments_table
+from profilekit.operators.quantiles import grouped_quantiles, to_long
+from profilekit.operators.scale import Scale
 from profilekit.plans.analysis import analyse_outliers
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -385,3 +388,74 @@ def box_stats_before_after(spark, sf_dir):
     flags = out.ZScoreDetector(["value"]).fit_transform(events)
     treated = treat.MeanOfAllCells("zscore_out_", output_prefix="z_mod_", columns=["value"]).fit_transform(flags)
     return rounded(profile.box_stats(treated, ["value", "z_mod_value"]))
+
+
+QUARTILES = [0.25, 0.5, 0.75]
+
+
+def quartiles_sql(source: str, keys: str, column: str) -> str:
+    found = ", ".join(f"{rd(f'quantile_cont({column}, {p})', 4)} AS q{i}" for i, p in enumerate(QUARTILES, 1))
+    return f"SELECT {keys}, {found} FROM {source}"
+
+
+def _quartile_columns(quantiles):
+    return [quantiles[i].alias(f"q{i + 1}") for i in range(len(QUARTILES))]
+
+
+@query(
+    "quantiles_selected",
+    union_all([quartiles_sql("lineitem", f"'{c}' AS variable", c) for c in ("l_extendedprice", "l_quantity")]),
+)
+def quantiles_selected(spark, sf_dir):
+    """Quartiles by selection in several levels, which is how a large table is solved."""
+    lines = table(spark, sf_dir, "lineitem")
+    long = to_long(lines, {c: F.col(c) for c in ("l_extendedprice", "l_quantity")})
+    found = grouped_quantiles(long, ["variable"], QUARTILES, direct_rows=200)
+    return rounded(found.select("variable", *_quartile_columns(F.col("quantiles"))), 4)
+
+
+@query(
+    "quantiles_selected_by_group",
+    f"{quartiles_sql('events', 'event_type', 'value')} WHERE value IS NOT NULL AND event_type IS NOT NULL GROUP BY event_type",
+)
+def quantiles_selected_by_group(spark, sf_dir):
+    events = table(spark, sf_dir, "events").where("event_type IS NOT NULL").select("event_type", "value")
+    found = grouped_quantiles(events, ["event_type"], QUARTILES, direct_rows=200)
+    return rounded(found.select("event_type", *_quartile_columns(F.col("quantiles"))), 4)
+
+
+NAN_EVENTS = "CASE WHEN event_id % 41 = 3 THEN CAST('NaN' AS DOUBLE) ELSE value END"
+NULL_EVENTS = "WITH e AS (SELECT event_id, CASE WHEN event_id % 41 = 3 THEN NULL ELSE value END AS value FROM events)"
+
+
+def _with_nan(spark, sf_dir):
+    return table(spark, sf_dir, "events").selectExpr("event_id", f"{NAN_EVENTS} AS value")
+
+
+@query(
+    "zscore_flags_nan",
+    f"""{NULL_EVENTS} SELECT event_id, CASE WHEN abs((value - mu) / sd) > 3 THEN 1 ELSE 0 END AS zscore_out_value
+    FROM e, ({moments('e', 'value')})""",
+)
+def zscore_flags_nan(spark, sf_dir):
+    """NaN counts as missing: it neither moves the statistics nor is it flagged."""
+    return out.ZScoreDetector(["value"]).fit_transform(_with_nan(spark, sf_dir)).drop("value")
+
+
+@query(
+    "iqr_flags_nan",
+    f"""{NULL_EVENTS} SELECT event_id, CASE WHEN value < lo OR value > hi THEN 1 ELSE 0 END AS iqr_out_value
+    FROM e, ({fences('e', 'value')})""",
+)
+def iqr_flags_nan(spark, sf_dir):
+    return out.IqrDetector(["value"]).fit_transform(_with_nan(spark, sf_dir)).drop("value")
+
+
+@query("scale_standard_nan", f"{NULL_EVENTS} SELECT event_id, {rd('(value - mu) / sd')} AS value FROM e, ({moments('e', 'value')})")
+def scale_standard_nan(spark, sf_dir):
+    return rounded(Scale("standard", ["value"]).fit_transform(_with_nan(spark, sf_dir)))
+
+
+@query("fill_global_mean_nan", f"{NULL_EVENTS} SELECT event_id, {rd('coalesce(value, (SELECT avg(value) FROM e))')} AS value FROM e")
+def fill_global_mean_nan(spark, sf_dir):
+    return rounded(FillMissing("global_mean", columns=["value"]).fit_transform(_with_nan(spark, sf_dir)))
