@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from profilekit.llm import quality, queries, toxicity
 from profilekit.llm.toxicity import Grammar
+from corpus_fixtures import documents, odd  # noqa: F401
 
 SF = "/root/testdata/sf0.01"
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from profilekit.llm import queries
 from profilekit.llm.decontaminate import LEAST_EQUAL, MASKS, SPAN, mark, stretch
+from corpus_fixtures import documents, odd  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 RNG = random.Random(8)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from profilekit.llm import licences, linededup, pii, queries
 from profilekit.llm.licences import PHRASES
+from corpus_fixtures import documents, odd  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 BASE = {

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from profilekit.llm.packing import VOCABULARY, Words, best_fit, pack, pieces
+from corpus_fixtures import documents, odd  # noqa: F401
 
 
 @pytest.fixture(scope="module")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from profilekit.llm import queries
 from profilekit.llm.sharding import SlotMap, place, with_slots
+from corpus_fixtures import documents, odd  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

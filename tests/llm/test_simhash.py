@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from profilekit.llm.components import connected
 from profilekit.llm.simhash import SimHash, fingerprint
+from corpus_fixtures import documents, odd  # noqa: F401
 
 
 def naive(values, distance):
