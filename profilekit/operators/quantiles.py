@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from profilekit.runtime import col, cut_lineage, hint_if_small, quoted
+from profilekit.runtime import col, cut_lineage, hint_if_small
 
 DIRECT_ROWS = 4_000_000
 PIVOTS = 512

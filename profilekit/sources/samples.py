@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 # Neutral categories: only their number and the gaps planted in the first of them matter.
 SECTORS = tuple(f"group {i}" for i in range(1, 12))
-RATINGS = ("best", "good", "fair", "weak")
-COUNTRIES = ("north", "south", "east", "west")
+RATINGS = tuple(f"grade {i}" for i in range(1, 8))
+COUNTRIES = ("north", "south", "east", "west", "centre")
 PANEL_SECTORS = SECTORS[:6]
 QUALITY = ("sure", "likely", "unsure")
 

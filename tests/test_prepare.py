@@ -98,7 +98,7 @@ def test_target_never_reaches_a_feature_table(small):
 
 def test_metadata(spark, prepared):
     kinds = metadata.classify_columns(prepared.linear, prepared.tree, "company_id")
-    assert kinds["base_numerical"] == sorted(prepared.numerical) and "rating_AA" in kinds["one_hot"]
+    assert kinds["base_numerical"] == sorted(prepared.numerical) and "rating_grade 2" in kinds["one_hot"]
     assert kinds["categorical"] == ["gics_sector", "rating", "country"]
     linear = metadata.linear_manifest(prepared.linear, prepared.tree, "company_id", "social_score")
     tree = metadata.tree_manifest(prepared.linear, prepared.tree, "company_id", "social_score")

@@ -67,5 +67,5 @@ def test_target_guard(small):
 
 
 def test_range_violations(small):
-    row = schema.range_violations(small, "environmental_score", 0, 80).first()
-    assert (row.violations, row.minimum, row.maximum) == (1, 65.3, 80.5)
+    row = schema.range_violations(small, "environmental_score", 0, 50).first()
+    assert (row.violations, row.minimum, row.maximum) == (1, 20.0, 55.0)
