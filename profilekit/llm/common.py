@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from profilekit.runtime import quoted
 
@@ -68,10 +68,6 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def spark_schema(schema: pa.Schema) -> T.StructType:
-    return from_arrow_schema(schema)
-
-
 def hash_share(key: Column, share: float) -> Column:
     """True for about ``share`` of the keys, the same ones in every run and partitioning."""
     return F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))

@@ -78,7 +78,7 @@ def counts(text: str) -> np.ndarray:
     words = text.split()
     if words:
         distinct = len(set(words))
-        # Fresh words against what a text of this length would have, longest words, marks and capitals.
+        # How much of the text is new words, plainly and for its length; how long its words are, and how many.
         measures = (
             distinct / len(words),
             np.log(distinct + 1) / np.log(len(words) + 1),

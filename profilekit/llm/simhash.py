@@ -206,8 +206,9 @@ class SimHash:
         prints = cut_lineage(rows.groupBy(*self.columns).agg(F.min(order).alias("least")))
         named = prints.select(self.hexadecimal().alias("print"), "least")
         part = connected(self.links(prints)).withColumnRenamed("node", "print")
-        named = named.join(part, "print", "left").withColumn("component", F.coalesce("component", "print"))
-        firsts = named.groupBy("component").agg(F.min("least").alias("first"))
+        named = cut_lineage(named.join(part, "print", "left").withColumn("component", F.coalesce("component", "print")))
+        # Cut off from the grouping, so that the join has a shuffle of its own, in which a large component can be split.
+        firsts = cut_lineage(named.groupBy("component").agg(F.min("least").alias("first")))
         return named.join(firsts, "component").select("print", "first")
 
     def assign(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
