@@ -93,8 +93,19 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def near_terms(found: DataFrame) -> DataFrame:
-    """``entity``, ``term``, ``n_ct`` (texts with both) and contexts, for entities of several texts."""
+def rating(n_ct: Column, n_c: Column, n_t: Column, total: int) -> Column:
+    """PMI / IC, at least 0; 0 for an entity of every text."""
+    n = F.lit(float(total))
+    pmi, information = F.log(n_ct * n / (n_c * n_t)), F.log(n / n_c)
+    return F.when(information > 0, F.greatest(pmi / information, F.lit(0.0))).otherwise(0.0)
+
+
+def near_terms(found: DataFrame, total: int, generalise: float) -> DataFrame:
+    """``entity``, ``term``, ``n_c`` and ``n_ct`` (texts with both) of the pairs that can disclose.
+
+    A term is in at least as many texts as it is near any entity in. So where even
+    that many leave too little disclosure, its texts need not be counted.
+    """
     each = found.select("page", "body", F.explode("base").alias("s"))
     entity = F.xxhash64(F.col("s.kind"), F.lower(F.col("s.value")))
     each = each.select("page", entity.alias("entity"), "body", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
@@ -102,30 +113,31 @@ def near_terms(found: DataFrame) -> DataFrame:
     recurring = cut_lineage(counted.where(F.col("n_c") >= LEAST_TEXTS))
     left = F.substring("body", F.greatest(F.col("start") - NEAR, F.lit(0)) + 1, F.least("start", F.lit(NEAR)))
     right = F.substring("body", F.col("end") + 1, F.lit(NEAR))
-    near = each.join(hint_if_small(recurring), "entity").select("page", "entity", "n_c", F.array(words(left), words(right)).alias("sides"))
-    pairs = near.select("page", "entity", "n_c", F.explode("sides").alias("w")).select(
-        "page", "entity", "n_c", F.explode(F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit("")), "w").alias("before"))).alias("p")
+    near = each.select("page", "entity", F.explode(F.array(words(left), words(right))).alias("w")).select(
+        "page", "entity", F.explode(F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit("")), "w").alias("before"))).alias("p")
     )
-    pairs = pairs.where(F.col("p.term").isNotNull()).groupBy("entity", "n_c", F.col("p.term").alias("term"), "page").agg(F.min("p.before").alias("before"))
+    near = near.where(F.col("p.term").isNotNull()).select("page", "entity", F.col("p.term").alias("term"), F.col("p.before").alias("before"))
+    pairs = near.join(hint_if_small(recurring), "entity").groupBy("entity", "n_c", "term", "page").agg(F.min("before").alias("before"))
     both = pairs.groupBy("entity", "n_c", "term").agg(F.count("*").alias("n_ct"), F.countDistinct("before").alias("contexts"))
-    return both.where((F.col("n_ct") >= LEAST_TEXTS) & (F.col("contexts") >= LEAST_TEXTS)).drop("contexts")
+    both = cut_lineage(both.where((F.col("n_ct") >= LEAST_TEXTS) & (F.col("contexts") >= LEAST_TEXTS)).drop("contexts"))
+    seen = near.groupBy("term", "page").agg(F.count("*").alias("k")).groupBy("term").agg(F.count("*").alias("n_near"))
+    able = rating(F.col("n_ct"), F.col("n_c"), F.col("n_near"), total) >= generalise
+    return both.join(seen, "term").where(able).drop("n_near")
 
 
 def disclosing(docs: DataFrame, text: str = "text", generalise: float = GENERALISE) -> DataFrame:
     """``term`` and ``disclosure`` (0 to 1) of the terms that give an entity away, estimated over all texts."""
     rows = docs.where(F.col(quoted(text)).isNotNull()).select(F.xxhash64(quoted(text)).alias("page"), F.col(quoted(text)).alias("body"))
     found = rows.withColumn("base", base_spans(F.col("body"))).where(F.size("base") > 0)
-    candidates = cut_lineage(near_terms(found))
+    total = rows.select("page").distinct().count()
+    candidates = cut_lineage(near_terms(found, total, generalise))
     if candidates.isEmpty():
         return candidates.select("term", F.lit(1.0).alias("disclosure"))
     terms = hint_if_small(cut_lineage(candidates.select("term").distinct()))
     spread = rows.select("page", F.explode(F.array_distinct(words(F.col("body")))).alias("term")).join(terms, "term", "left_semi")
     spread = spread.groupBy("term", "page").agg(F.count("*").alias("k")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = rows.select("page").distinct().count()
     joined = candidates.join(hint_if_small(cut_lineage(spread)), "term")
-    n = F.lit(float(total))
-    pmi, information = F.log(F.col("n_ct") * n / (F.col("n_c") * F.col("n_t"))), F.log(n / F.col("n_c"))
-    rated = joined.withColumn("disclosure", F.when(information > 0, F.greatest(pmi / information, F.lit(0.0))).otherwise(0.0))
+    rated = joined.withColumn("disclosure", rating(F.col("n_ct"), F.col("n_c"), F.col("n_t"), total))
     return cut_lineage(rated.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise))
 
 
