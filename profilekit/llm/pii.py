@@ -8,9 +8,9 @@ about it, ``PMI / IC`` is 0 for a term that says nothing and 1 for one that is
 found only with the entity. Terms above ``GENERALISE`` are replaced by their
 kind, terms above ``REMOVE`` are removed.
 
-Probabilities are shares of distinct texts; a term counts as being with an
-entity if it stands near it. It must do so after several different words, so
-copies of one text are no evidence.
+Probabilities are shares of all texts; a term counts as being with an entity if
+it stands near it. It must do so in several distinct texts and after several
+different words, so copies of one text are no evidence.
 """
 
 from __future__ import annotations
@@ -100,44 +100,37 @@ def rating(n_ct: Column, n_c: Column, n_t: Column, total: int) -> Column:
     return F.when(information > 0, F.greatest(pmi / information, F.lit(0.0))).otherwise(0.0)
 
 
-def near_terms(found: DataFrame, total: int, generalise: float) -> DataFrame:
-    """``entity``, ``term``, ``n_c`` and ``n_ct`` (texts with both) of the pairs that can disclose.
-
-    A term is in at least as many texts as it is near any entity in. So where even
-    that many leave too little disclosure, its texts need not be counted.
-    """
+def near_terms(found: DataFrame) -> DataFrame:
+    """``entity``, ``term``, ``n_c`` and ``n_ct`` (texts with both) of the pairs with enough distinct texts and contexts."""
+    # Equal texts are taken once, with their number.
+    copies = hint_if_small(cut_lineage(found.groupBy("page").agg(F.count("*").alias("copies"))))
     each = found.select("page", "body", F.explode("base").alias("s"))
     entity = F.xxhash64(F.col("s.kind"), F.lower(F.col("s.value")))
     each = each.select("page", entity.alias("entity"), "body", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    counted = each.groupBy("entity", "page").agg(F.count("*").alias("k")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    recurring = cut_lineage(counted.where(F.col("n_c") >= LEAST_TEXTS))
+    held = each.groupBy("entity", "page").agg(F.count("*").alias("k")).join(copies, "page")
+    counted = held.groupBy("entity").agg(F.count("*").alias("n"), F.sum("copies").alias("n_c"))
+    recurring = cut_lineage(counted.where(F.col("n") >= LEAST_TEXTS).drop("n"))
     left = F.substring("body", F.greatest(F.col("start") - NEAR, F.lit(0)) + 1, F.least("start", F.lit(NEAR)))
     right = F.substring("body", F.col("end") + 1, F.lit(NEAR))
-    near = each.select("page", "entity", F.explode(F.array(words(left), words(right))).alias("w")).select(
-        "page", "entity", F.explode(F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit("")), "w").alias("before"))).alias("p")
+    near = each.join(hint_if_small(recurring), "entity").select("page", "entity", "n_c", F.explode(F.array(words(left), words(right))).alias("w"))
+    pairs = near.select("page", "entity", "n_c", F.explode(F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit("")), "w").alias("before"))).alias("p"))
+    pairs = pairs.where(F.col("p.term").isNotNull()).groupBy("entity", "n_c", F.col("p.term").alias("term"), "page").agg(F.min("p.before").alias("before"))
+    both = pairs.join(copies, "page").groupBy("entity", "n_c", "term").agg(
+        F.count("*").alias("n"), F.sum("copies").alias("n_ct"), F.countDistinct("before").alias("contexts")
     )
-    near = near.where(F.col("p.term").isNotNull()).select("page", "entity", F.col("p.term").alias("term"), F.col("p.before").alias("before"))
-    pairs = near.join(hint_if_small(recurring), "entity").groupBy("entity", "n_c", "term", "page").agg(F.min("before").alias("before"))
-    both = pairs.groupBy("entity", "n_c", "term").agg(F.count("*").alias("n_ct"), F.countDistinct("before").alias("contexts"))
-    both = cut_lineage(both.where((F.col("n_ct") >= LEAST_TEXTS) & (F.col("contexts") >= LEAST_TEXTS)).drop("contexts"))
-    seen = near.groupBy("term", "page").agg(F.count("*").alias("k")).groupBy("term").agg(F.count("*").alias("n_near"))
-    able = rating(F.col("n_ct"), F.col("n_c"), F.col("n_near"), total) >= generalise
-    return both.join(seen, "term").where(able).drop("n_near")
+    return both.where((F.col("n") >= LEAST_TEXTS) & (F.col("contexts") >= LEAST_TEXTS)).drop("n", "contexts")
 
 
 def disclosing(docs: DataFrame, text: str = "text", generalise: float = GENERALISE) -> DataFrame:
     """``term`` and ``disclosure`` (0 to 1) of the terms that give an entity away, estimated over all texts."""
     rows = docs.where(F.col(quoted(text)).isNotNull()).select(F.xxhash64(quoted(text)).alias("page"), F.col(quoted(text)).alias("body"))
     found = rows.withColumn("base", base_spans(F.col("body"))).where(F.size("base") > 0)
-    total = rows.select("page").distinct().count()
-    candidates = cut_lineage(near_terms(found, total, generalise))
+    candidates = cut_lineage(near_terms(found))
     if candidates.isEmpty():
         return candidates.select("term", F.lit(1.0).alias("disclosure"))
-    terms = hint_if_small(cut_lineage(candidates.select("term").distinct()))
-    spread = rows.select("page", F.explode(F.array_distinct(words(F.col("body")))).alias("term")).join(terms, "term", "left_semi")
-    spread = spread.groupBy("term", "page").agg(F.count("*").alias("k")).groupBy("term").agg(F.count("*").alias("n_t"))
-    joined = candidates.join(hint_if_small(cut_lineage(spread)), "term")
-    rated = joined.withColumn("disclosure", rating(F.col("n_ct"), F.col("n_c"), F.col("n_t"), total))
+    # All terms are counted, which partial sums make small, and then looked up; frequent ones never become rows of a join.
+    counted = rows.select(F.explode(F.array_distinct(words(F.col("body")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    rated = candidates.join(counted, "term").withColumn("disclosure", rating(F.col("n_ct"), F.col("n_c"), F.col("n_t"), rows.count()))
     return cut_lineage(rated.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise))
 
 
