@@ -86,13 +86,16 @@ def test_selection_over_several_columns(spark):
     assert got["few"] == pytest.approx(expected([v for v in data["a"] if v > 2.0]), rel=1e-12)
 
 
-@pytest.mark.parametrize("direct_rows", [300, 40])
-@pytest.mark.parametrize("seed", range(20))
-def test_selection_in_levels_equals_the_sorted_values(spark, seed, direct_rows):
-    """Neighbouring ranks that share pivots but not the bracket around them are counted apart."""
-    rng = np.random.default_rng(seed)
-    values = rng.random(12_000) if seed % 2 else np.round(rng.lognormal(0, 2, 12_000), 2)
-    df = spark.createDataFrame(pd.DataFrame({"x": values})).coalesce(4)
+@pytest.mark.parametrize("direct_rows", [300, 20])
+def test_selection_in_levels_equals_the_sorted_values(spark, direct_rows):
+    """Neighbouring ranks that share pivots but not the bracket around them are counted apart; 24 seeds, one group each."""
+    values = {}
+    for seed in range(24):
+        rng = np.random.default_rng(seed)
+        values[seed] = rng.random(6000) if seed % 2 else np.round(rng.lognormal(0, 2, 6000), 2)
+    frame = pd.DataFrame({"g": np.repeat(list(values), 6000), "value": np.concatenate(list(values.values()))})
     probs = [0.25, 0.5, 0.75]
-    found = column_quantiles(df, {"x": F.col("x")}, probs, direct_rows=direct_rows)["x"]
-    assert found == pytest.approx(list(np.quantile(values, probs)), rel=1e-12)
+    found = grouped_quantiles(spark.createDataFrame(frame).coalesce(4), ["g"], probs, direct_rows=direct_rows).collect()
+    assert len(found) == 24
+    for r in found:
+        assert list(r["quantiles"]) == pytest.approx(list(np.quantile(values[r.g], probs)), rel=1e-12)
