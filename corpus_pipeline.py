@@ -12,17 +12,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from profilekit.llm import decontaminate, linededup, packing, simhash, toxicity
+from profilekit.llm import decontaminate, linededup, packing, toxicity
+from profilekit.llm.nearcopies import NearCopies
 from profilekit.runtime import quoted, shared_folder
 
 #: Score from which a document is toxic.
 TOXIC = 0.7
-#: Near-copies: shingles of five words and an estimated similarity of 0.8 or more. Two sets of shingles of Jaccard
-#: similarity 0.8 have a cosine of 0.889, so 15 % of the bits of their fingerprints differ: 19 of 128, to which one
-#: standard deviation of that number (4) is added. Eight segments of 16 bits find 93 % of such pairs.
-NEAR_COPIES = simhash.SimHash(words=5, lanes=2, segments=8, distance=23)
-
-
+#: Near-copies: sets of shingles of five words with a Jaccard similarity of 0.8 or more, verified on the sets.
+NEAR_COPIES = NearCopies(words=5, least=0.8)
 
 
 def beside(docs: DataFrame, operate) -> tuple[DataFrame, list]:

@@ -160,6 +160,19 @@ class SimHash:
 
         A crowded variant is dealt into blocks by hash; each pair of its blocks is a task's group of bounded size.
         """
+        run, rows = self.whole_groups, self.dealt(prints)
+        schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+
+        def forest(table):
+            part = self.arrays(table)
+            a, b = self.pairs(part)
+            if len(a):
+                yield named_forest(part[3:], a, b)
+
+        return rows.mapInArrow(lambda batches: run(batches, forest), schema).distinct()
+
+    def dealt(self, prints: DataFrame) -> DataFrame:
+        """The variants by ``key`` and ``pair`` of blocks; ``right`` marks the rows of a pair's second block."""
         columns = self.columns
         hot = cut_lineage(self.crowded(prints))
         rows = self.variants(prints)
@@ -171,41 +184,51 @@ class SimHash:
             rows = rows.withColumn("own", F.pmod(F.xxhash64(*columns), F.coalesce("blocks", F.lit(1))).cast("int")).withColumn("other", other)
             low, high = F.least("own", "other").cast("long"), F.greatest("own", "other")
             rows = rows.select("key", F.shiftleft(low, 32).bitwiseOR(high.cast("long")).alias("pair"), (F.col("own") > F.col("other")).alias("right"), *columns)
-        near = rows.repartition("key", "pair").sortWithinPartitions("key", "pair")
-        schema = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
-        cuts, distance = self.cuts, self.distance
-
-        def run(batches):
-            rest = None
-            for batch in batches:
-                part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "pair", "right", *columns)]
-                part = part if rest is None else [np.concatenate(x) for x in zip(rest, part, strict=True)]
-                changes = np.flatnonzero((part[0][1:] != part[0][:-1]) | (part[1][1:] != part[1][:-1]))
-                cut = int(changes[-1]) + 1 if len(changes) else 0
-                rest = [x[cut:] for x in part]
-                if cut:
-                    yield from forest([x[:cut] for x in part])
-            if rest is not None:
-                yield from forest(rest)
-
-        def forest(part):
-            a, b = pairs_in_groups(part, cuts, distance)
-            if len(a):
-                root = roots(len(part[0]), a, b)
-                i = np.flatnonzero(root != np.arange(len(root)))
-                name = lambda at: [x.tobytes().hex() for x in np.stack([c[at] for c in part[3:]], axis=1).astype(">i8")]
-                yield pa.RecordBatch.from_arrays([pa.array(name(i)), pa.array(name(root[i]))], names=["a", "b"])
-
-        return near.mapInArrow(run, schema).distinct()
+        return rows.repartition("key", "pair").sortWithinPartitions("key", "pair")
+
+    @staticmethod
+    def whole_groups(batches: Iterator[pa.RecordBatch], operate) -> Iterator[pa.RecordBatch]:
+        """What ``operate`` yields for tables that hold whole groups of the rows dealt."""
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            key, pair = table.column("key").to_numpy(), table.column("pair").to_numpy()
+            changes = np.flatnonzero((key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))
+            cut = int(changes[-1]) + 1 if len(changes) else 0
+            rest = table.slice(cut)
+            if cut:
+                yield from operate(table.slice(0, cut))
+        if rest is not None and len(rest):
+            yield from operate(rest)
+
+    def arrays(self, table: pa.Table) -> list[np.ndarray]:
+        return [table.column(c).to_numpy() for c in ("key", "pair", "right", *self.columns)]
+
+    def pairs(self, part: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that link within a group, each under its first variant alone. ``part``: key, pair, right and columns, by group."""
+        return pairs_in_groups(part, self.lanes, self.distance, self.first_variant)
+
+    def first_variant(self, key: np.ndarray, differ: list[np.ndarray]) -> np.ndarray:
+        """Whether ``key`` is the first variant that two fingerprints share which differ in these bits."""
+        segment, wild = (key >> VALUE_BITS) // 32, (key >> VALUE_BITS) % 32
+        first, least = np.full(len(key), -1), np.zeros(len(key), np.int64)
+        for s, (k, low, width) in enumerate(self.cuts):
+            bits = (differ[k] >> np.uint64(low)) & np.uint64((1 << width) - 1)
+            ready = (first < 0) & (np.bitwise_count(bits) <= 1)
+            first[ready] = s
+            # One differing bit b has b - 1 ones below it; none stands for bit 0.
+            least[ready] = np.where(bits[ready] > 0, np.bitwise_count(np.maximum(bits[ready], 1) - np.uint64(1)), 0)
+        return (first == segment) & (least == wild)
 
     def hexadecimal(self):
         return F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in self.columns])
 
-    def groups(self, rows: DataFrame, order) -> DataFrame:
+    def groups(self, rows: DataFrame, order, links=None) -> DataFrame:
         """``print`` (hexadecimal) and ``first``, the least ``order`` of its group, for each distinct fingerprint of ``rows``."""
         prints = cut_lineage(rows.groupBy(*self.columns).agg(F.min(order).alias("least")))
         named = prints.select(self.hexadecimal().alias("print"), "least")
-        part = connected(self.links(prints)).withColumnRenamed("node", "print")
+        part = connected((links or self.links)(prints)).withColumnRenamed("node", "print")
         named = cut_lineage(named.join(part, "print", "left").withColumn("component", F.coalesce("component", "print")))
         # Cut off from the grouping, so that the join has a shuffle of its own, in which a large component can be split.
         firsts = cut_lineage(named.groupBy("component").agg(F.min("least").alias("first")))
@@ -227,10 +250,14 @@ class SimHash:
 
         Empty and null texts are copies of each other. Exactly repeated rows leave one. All columns stay.
         """
+        return self.kept_by(docs, doc_id, text, self.links)
+
+    def kept_by(self, docs: DataFrame, doc_id: str, text: str, links) -> DataFrame:
+        """``keep_first`` over the links that ``links`` finds between the distinct fingerprints and their ``least``."""
         digest = F.xxhash64(F.col(quoted(text)))
         rows = docs.select(F.col(quoted(doc_id)).alias("id"), digest.alias("digest"), F.col(quoted(text)).alias("body"))
         rows = cut_lineage(self.fingerprints(rows, "body").select("id", "digest", *self.columns))
-        kept = self.groups(rows, F.struct("id", "digest")).select("first.id", "first.digest").distinct()
+        kept = self.groups(rows, F.struct("id", "digest"), links).select("first.id", "first.digest").distinct()
         kept = cut_lineage(kept.select(F.col("id").alias("kept id"), F.col("digest").alias("kept digest")))
         same = F.col(quoted(doc_id)).eqNullSafe(F.col("kept id")) & digest.eqNullSafe(F.col("kept digest"))
         left = docs.join(kept, same, "left_semi")
@@ -238,9 +265,17 @@ class SimHash:
         return left.dropDuplicates([doc_id, text]) if repeated else left
 
 
-def pairs_in_groups(part: list[np.ndarray], cuts: list[tuple[int, int, int]], distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that link within a group, each under its first variant alone. ``part``: key, pair, right and lanes, by group."""
-    key, pair, right, lanes = part[0], part[1], part[2], [x.view(np.uint64) for x in part[3:]]
+def named_forest(columns: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Links ``a``, ``b`` (hexadecimal) that connect the rows which the pairs connect."""
+    root = roots(len(columns[0]), a, b)
+    i = np.flatnonzero(root != np.arange(len(root)))
+    name = lambda at: [x.tobytes().hex() for x in np.stack([c[at] for c in columns], axis=1).astype(">i8")]
+    return pa.RecordBatch.from_arrays([pa.array(name(i), pa.string()), pa.array(name(root[i]), pa.string())], names=["a", "b"])
+
+
+def pairs_in_groups(part: list[np.ndarray], n_lanes: int, distance: int, first_variant) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of a group within ``distance`` for which ``first_variant`` holds. ``part``: key, pair, right and lanes, by group."""
+    key, pair, right, lanes = part[0], part[1], part[2], [x.view(np.uint64) for x in part[3 : 3 + n_lanes]]
     n = len(key)
     starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])])
     end = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
@@ -252,16 +287,8 @@ def pairs_in_groups(part: list[np.ndarray], cuts: list[tuple[int, int, int]], di
         near = sum(np.bitwise_count(d).astype(np.int64) for d in differ) <= distance
         near &= ~crossing[live] | (right[live] != right[live + shift])
         if near.any():
-            a, x = live[near], [d[near] for d in differ]
-            segment, wild = (key[a] >> VALUE_BITS) // 32, (key[a] >> VALUE_BITS) % 32
-            first, least = np.full(len(a), -1), np.zeros(len(a), np.int64)
-            for s, (k, low, width) in enumerate(cuts):
-                bits = (x[k] >> np.uint64(low)) & np.uint64((1 << width) - 1)
-                ready = (first < 0) & (np.bitwise_count(bits) <= 1)
-                first[ready] = s
-                # One differing bit b has b - 1 ones below it; none stands for bit 0.
-                least[ready] = np.where(bits[ready] > 0, np.bitwise_count(np.maximum(bits[ready], 1) - np.uint64(1)), 0)
-            mine = (first == segment) & (least == wild)
+            a = live[near]
+            mine = first_variant(key[a], [d[near] for d in differ])
             found_a.append(a[mine])
             found_b.append(a[mine] + shift)
     return np.concatenate(found_a), np.concatenate(found_b)
