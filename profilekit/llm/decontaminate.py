@@ -1,12 +1,13 @@
 """Benchmark text in documents, found by spaced seeds.
 
-A mask fixes some of the word positions of a window and ignores the rest. The
-three masks here ignore every third position, each another third, so a window
-with any one substituted word, or with several at one distance modulo three,
-still agrees under a mask. Hashes of all masked windows of the documents are
-joined with those of the benchmark; around each hit the two texts are compared
-word by word on the hit's diagonal, and the longest stretch that tolerates
-substitutions is what counts.
+A mask fixes some of the word positions of a window and ignores the rest. Of
+the nine masks here, six words each, at least one fits into every overlap that
+counts, twelve words or more of which 75 % are equal, wherever the substituted
+words are: a text without a hit has a smaller share in each piece of 12 to 23
+words, and every longer overlap is made of such pieces. Hashes of all masked
+windows of the documents are joined with those of the benchmark; around each
+hit the two texts are compared word by word on the hit's diagonal, and the
+longest stretch that tolerates substitutions is what counts.
 
 The benchmark's hashes are held in sorted arrays, a slice of bounded size at a
 time. A benchmark beyond one slice is searched slice by slice.
@@ -29,13 +30,18 @@ from profilekit.runtime import quoted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words of a window, and the masks over it.
+#: Words of the window that the masks lie in, and the masks. Of a mask only the distances of its words count.
 SPAN = 12
-MASKS = tuple(tuple(i for i in range(SPAN) if i % 3 != k) for k in range(3))
+MASKS = (
+    (0, 1, 2, 4, 6, 7), (0, 1, 4, 8, 9, 10), (0, 2, 3, 5, 6, 7), (0, 1, 2, 3, 4, 5), (0, 1, 2, 5, 6, 8),
+    (0, 1, 2, 3, 6, 8), (0, 2, 4, 6, 9, 10), (0, 2, 3, 4, 5, 6), (1, 2, 3, 8, 9, 11),
+)
 #: Shortest overlap in words that counts, least share of equal words in it; shorter items must appear as a whole.
 LEAST_WORDS, LEAST_EQUAL, SHORTEST_ITEM = 12, 0.75, 5
-#: Benchmark words in a slice, and words of a document looked at in one step.
-SLICE, STEP = 1 << 20, 1 << 16
+#: Benchmark words in a slice, words of documents looked at in one step, and hits looked at together.
+SLICE, STEP, HITS = 1 << 20, 1 << 16, 1 << 20
+#: Odd factors, one for each word of a mask.
+FACTORS = [np.uint64(((k + 1) * 0x9E3779B97F4A7C15 | 1) & (1 << 64) - 1) for k in range(SPAN)]
 
 FIELDS = [
     T.StructField("contaminated", T.BooleanType()),
@@ -52,13 +58,17 @@ def word_hashes(text: str) -> np.ndarray:
     return np.array([digest(w.strip(b".,;:!?\"'()[]")) for w in text.encode("utf-8", "replace").lower().split()], np.uint64)
 
 
-def masked(words: np.ndarray, mask: tuple[int, ...], span: int) -> np.ndarray:
-    """Hash of each window of ``span`` words under a mask."""
-    n = len(words) - span + 1
-    total = np.full(n, np.uint64(span * 31 + len(mask)))
-    for i in mask:
-        total = (total ^ words[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        total ^= total >> np.uint64(29)
+def scaled(words: np.ndarray) -> list[np.ndarray]:
+    """The words times each factor, from which the hashes under all masks are sums."""
+    return [words * f for f in FACTORS]
+
+
+def masked(products: list[np.ndarray], mask: tuple[int, ...], tag: int) -> np.ndarray:
+    """Hash of each window under a mask that begins with 0."""
+    n = max(0, len(products[0]) - mask[-1])
+    total = np.full(n, FACTORS[0] * np.uint64(tag + 1))
+    for k, i in enumerate(mask):
+        total += products[k][i : i + n]
     return total
 
 
@@ -70,62 +80,72 @@ class Seeds:
     item_of: np.ndarray
     ids: np.ndarray
     bounds: np.ndarray
-    tables: list[tuple[int, tuple[int, ...], np.ndarray, np.ndarray]]
+    tables: list[tuple[tuple[int, ...], np.ndarray, np.ndarray]]
     filter: np.ndarray
+    shift: np.uint64
 
     @classmethod
     def of(cls, items: list[tuple[int, str]]) -> Seeds:
         hashed = [word_hashes(t) for _, t in items]
-        bounds = np.concatenate([[0], np.cumsum([len(h) for h in hashed])]).astype(np.int64)
+        sizes = np.array([len(h) for h in hashed], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         words = np.concatenate([*hashed, np.zeros(0, np.uint64)])
-        item_of = np.repeat(np.arange(len(items)), [len(h) for h in hashed])
-        lengths = sorted({len(h) for h in hashed if SHORTEST_ITEM <= len(h) < SPAN})
-        kinds = [(SPAN, m) for m in MASKS] + [(n, tuple(range(n))) for n in lengths]
-        tables = []
-        for span, mask in kinds:
-            found, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for k, h in enumerate(hashed):
-                if len(h) == span or (len(h) >= SPAN and span == SPAN):
-                    found.append(masked(h, mask, span))
-                    places.append(bounds[k] + np.arange(len(h) - span + 1))
-            every, at = np.concatenate(found), np.concatenate(places)
-            order = np.argsort(every, kind="stable")
-            tables.append((span, mask, every[order], at[order]))
-        bits = np.zeros(1 << 22, bool)
-        for _, _, h, _ in tables:
-            bits[h >> np.uint64(42)] = True
-        return cls(words, item_of, np.array([i for i, _ in items], np.int64), bounds, tables, bits)
-
-    def diagonals(self, doc: np.ndarray) -> np.ndarray:
-        """Distinct (document place less benchmark place, item) of all hits."""
-        found = [np.zeros((0, 2), np.int64)]
-        for span, mask, hashes, places in self.tables:
-            if len(doc) < span or not len(hashes):
-                continue
-            for start in range(0, len(doc) - span + 1, STEP):
-                mine = masked(doc[start : start + STEP + span - 1], mask, span)
-                maybe = np.flatnonzero(self.filter[mine >> np.uint64(42)])
+        item_of = np.repeat(np.arange(len(items)), sizes)
+        lengths = sorted({n for n in sizes.tolist() if SHORTEST_ITEM <= n < SPAN})
+        kinds = [(tuple(i - m[0] for i in m), sizes >= SPAN) for m in MASKS] + [(tuple(range(n)), sizes == n) for n in lengths]
+        tables, products = [], scaled(words)
+        for tag, (mask, wanted) in enumerate(kinds):
+            every = masked(products, mask, tag)
+            item = item_of[: len(every)]
+            at = np.flatnonzero(wanted[item] & (np.arange(len(every)) + mask[-1] < bounds[item + 1]))
+            order = np.argsort(every[at], kind="stable")
+            tables.append((mask, every[at][order], at[order].astype(np.int32)))
+        size = min(27, max(22, 3 + sum(len(h) for _, h, _ in tables).bit_length()))
+        bits, shift = np.zeros(1 << size, bool), np.uint64(64 - size)
+        for _, h, _ in tables:
+            bits[h >> shift] = True
+        return cls(words, item_of, np.array([i for i, _ in items], np.int64), bounds, tables, bits, shift)
+
+    def diagonals(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Distinct (document, its place less the benchmark's place, item) of all hits. ``bounds``: where the documents' words begin and end."""
+        found = [np.zeros((0, 3), np.int64)]
+        for start in range(0, len(words), STEP):
+            products = scaled(words[start : start + STEP + SPAN - 1])
+            for tag, (mask, hashes, places) in enumerate(self.tables):
+                mine = masked(products, mask, tag)[:STEP]
+                maybe = np.flatnonzero(self.filter[mine >> self.shift])
+                doc = np.searchsorted(bounds, start + maybe, "right") - 1
+                inside = start + maybe + mask[-1] < bounds[doc + 1]
+                maybe, doc = maybe[inside], doc[inside]
                 low = np.searchsorted(hashes, mine[maybe], "left")
                 many = np.searchsorted(hashes, mine[maybe], "right") - low
-                if not many.any():
-                    continue
-                at = np.repeat(start + maybe, many)
-                which = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-                place = places[which]
-                found.append(np.unique(np.stack([at - place, self.item_of[place]], axis=1), axis=0))
+                held = np.flatnonzero(many)
+                portion = np.cumsum(many[held]) // HITS
+                for part in np.split(held, np.flatnonzero(np.diff(portion)) + 1) if len(held) else []:
+                    n = many[part]
+                    which = np.repeat(low[part] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    place, d = places[which].astype(np.int64), np.repeat(doc[part], n)
+                    shift = np.repeat(start + maybe[part], n) - bounds[d] - place
+                    found.append(np.unique(np.stack([d, shift, self.item_of[place]], axis=1), axis=0))
         return np.unique(np.concatenate(found), axis=0)
 
-    def best(self, doc: np.ndarray) -> tuple[int, float, int | None, int | None]:
-        """Words, equal share, item and first word of the longest overlap that counts (else zero and none)."""
-        best = (0, 0.0, None, None)
-        for shift, item in self.diagonals(doc).tolist():
-            low, high = self.bounds[item], self.bounds[item + 1]
-            a, b = max(int(low), -shift), min(int(high), len(doc) - shift)
+    def best(self, docs: list[np.ndarray]) -> list[tuple[int, float, int | None, int | None]]:
+        """Words, equal share, item and first word of each document's longest overlap that counts (else zero and none)."""
+        best: list[tuple[int, float, int | None, int | None]] = [(0, 0.0, None, None)] * len(docs)
+        bounds = np.concatenate([[0], np.cumsum([len(d) for d in docs])]).astype(np.int64)
+        for d, shift, item in self.diagonals(np.concatenate([*docs, np.zeros(0, np.uint64)]), bounds).tolist():
+            doc, low, high = docs[d], int(self.bounds[item]), int(self.bounds[item + 1])
+            a, b = max(low, -shift), min(high, len(doc) - shift)
+            if b - a <= best[d][0]:
+                continue
             equal = doc[a + shift : b + shift] == self.words[a:b]
+            # A stretch of that many words has at least this many equal ones.
+            if np.count_nonzero(equal) < min(high - low, LEAST_EQUAL * LEAST_WORDS):
+                continue
             size, share, first = stretch(equal)
             whole = high - low < LEAST_WORDS
-            if (size >= LEAST_WORDS or (whole and size == high - low and share == 1)) and size > best[0]:
-                best = (size, share, int(self.ids[item]), a + shift + first)
+            if (size >= LEAST_WORDS or (whole and size == high - low and share == 1)) and size > best[d][0]:
+                best[d] = (size, share, int(self.ids[item]), a + shift + first)
         return best
 
 
@@ -187,7 +207,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
             seeds = Seeds.of(broadcast.value)
 
             def compute(texts):
-                found = [seeds.best(word_hashes(t)) for t in texts]
+                found = seeds.best([word_hashes(t) for t in texts])
                 return list(zip(*[(f[0] > 0, *f) for f in found], strict=True)) or [[]] * 5
 
             return compute

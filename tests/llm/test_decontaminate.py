@@ -82,3 +82,41 @@ def test_query_finds_what_plain_search_finds(spark):
             want.add(r.doc_id)
     rows = queries.QUERIES["op8_spaced_seeds"](spark, SF).collect()
     assert want and want <= {r.doc_id for r in rows if r.contaminated} and len(rows) == 200
+
+
+def test_a_text_without_a_hit_never_counts():
+    """Over all texts without a hit: 1 for each equal word, -3 for each other one, is below 0 for 12 to 23 words, so for more too."""
+    n = 1 << SPAN
+    states, hit = np.arange(n), np.zeros(n, bool)
+    for m in MASKS:
+        bits = sum(1 << (m[-1] - i) for i in m)
+        hit |= (states & bits) == bits
+    most = np.where(states == 0, 0, -1000)
+    for length in range(1, 2 * SPAN):
+        before, new = np.maximum(most[: n // 2], most[n // 2 :]), np.full(n, -1000)
+        new[0::2], new[1::2] = before - 3, before + 1
+        new[hit] = -1000
+        most = new
+        assert length < SPAN or most.max() < 0
+
+
+def test_substituted_overlaps_equal_a_plain_scan_of_all_diagonals(documents, benchmark):
+    rng, texts = random.Random(9), []
+    for words in ITEMS[:3]:
+        for step in (4, 5):
+            texts.append([w if i % step != step - 2 else "other" for i, w in enumerate(words)])
+        for share in (0.1, 0.15, 0.2, 0.25, 0.3):
+            for _ in range(6):
+                gone = set(rng.sample(range(len(words)), round(share * len(words))))
+                texts.append([f"new{i}" if i in gone else w for i, w in enumerate(words)])
+    texts = [[*rng.sample(WORDS, 7), *t, *rng.sample(WORDS, 9)] for t in texts]
+    got = {r.doc_id: r.overlap_words for r in mark(documents(*[" ".join(t) for t in texts]), benchmark).collect()}
+    for k, t in enumerate(texts):
+        best = 0
+        for words in ITEMS[:3]:
+            for shift in range(-len(words), len(t)):
+                at = [i for i in range(len(words)) if 0 <= i + shift < len(t)]
+                size = stretch(np.array([t[i + shift] == words[i] for i in at], bool))[0]
+                best = max(best, size if size >= 12 else 0)
+        assert got[k] == best
+    assert all(got[k] for k in (0, 1, 32, 33))
