@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilekit.catalog.registry import table
-from profilekit.llm import decontaminate, licences, linededup, neighbours, packing, pii, quality, sharding, simhash, toxicity
+from profilekit.llm import (
+    decontaminate, divergence, licences, linededup, neighbours, packing, pii, quality, sharding, simhash, streamdedup, toxicity, whitening
+)
 from profilekit.runtime import shared_folder
 
 SHARDS = 24
@@ -118,3 +120,58 @@ def op2_information_pii(spark, sf_dir):
 @query
 def op10_licence_rules(spark, sf_dir):
     return licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
+
+
+@query
+def op11_stream_dedup(spark, sf_dir):
+    classes = streamdedup.dedup(spark, f"{sf_dir}/documents.parquet", f"{shared_folder(spark)}/dedup-{uuid.uuid4()}")
+    return classes.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+ORACLES["op11_stream_dedup"] = """
+WITH texts AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t, length(coalesce(text, '')) AS l FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  row_number() OVER w = 1 AS kept, sha256(t) AS text_sha256
+FROM texts WINDOW w AS (PARTITION BY t ORDER BY l DESC, doc_id)"""
+
+
+@query
+def op12_weighted_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_source_divergence(spark, sf_dir):
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_source_divergence"] = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{divergence.TERM}') AS terms
+  FROM documents),
+tokens AS (SELECT d, lang, source, unnest(terms) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS total FROM tokens GROUP BY ALL HAVING count(DISTINCT d) >= {divergence.LEAST_DOCS}),
+languages AS (SELECT lang, count(*) AS v, sum(total) AS n_lang FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, term, total, coalesce(n, 0) AS n FROM groups g JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+shares AS (
+  SELECT c.lang, c.source, term, n,
+    1 + ({divergence.UNIT}::HUGEINT * (n + 1)) // (sum(n) OVER (PARTITION BY c.lang, c.source) + v) AS p,
+    1 + ({divergence.UNIT}::HUGEINT * (total + 1)) // (n_lang + v) AS q
+  FROM cells c JOIN languages USING (lang)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+all_pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+parts AS (
+  SELECT * FROM all_pairs
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value,
+  (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= {divergence.TOP_TERMS}"""
