@@ -37,6 +37,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
 }
+#: Most bytes of documents, and of their log, in one batch.
+TEXT_BYTES, LOG_BYTES = 64 << 30, 16 << 30
 #: The file source forgets files older than this among later ones; none may be forgotten.
 NEVER = "36500d"
 
@@ -58,13 +60,16 @@ def located(files: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     )
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, most_bytes: int = 64 << 30) -> DataFrame:
-    """The Parquet files at ``path``, a folder or one file, as a stream of batches of at most ``most_bytes``."""
-    # The file source takes a single file only as a pattern.
-    path = path.rstrip("/")
-    path = f"{path[:-1]}[{path[-1]}]"
-    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(most_bytes)).option("maxFileAge", NEVER)
-    return reader.parquet(path)
+def read_stream(spark: SparkSession, path: str, schema: T.StructType, most_bytes: int = TEXT_BYTES) -> DataFrame:
+    """The Parquet files in the folder ``path`` as a stream of batches of at most ``most_bytes``."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(most_bytes)).option("maxFileAge", NEVER).parquet(path)
+
+
+def as_folder(table: DataFrame, path: str) -> str:
+    """``path``, or a pattern that only it matches if ``table`` is a single file, which streams take in no other way."""
+    path, files = path.rstrip("/"), table.inputFiles()
+    alone = len(files) == 1 and files[0].rstrip("/").endswith("/" + path.rsplit("/", 1)[-1])
+    return f"{path[:-1]}[{path[-1]}]" if alone else path
 
 
 @contextmanager
@@ -97,7 +102,7 @@ class StreamDedup:
         text = F.coalesce("text", F.lit(""))
         log = stream.select("doc_id", F.length(text).alias("length"), self.digest(normalised(F.col("text"))).alias("digest"), *LOCATOR)
         self._until_done(log.writeStream.format("parquet").option("path", f"{self.folder}/log"), "log")
-        rows = self.spark.readStream.schema(log.schema).option("maxFileAge", NEVER).parquet(f"{self.folder}/log")
+        rows = read_stream(self.spark, f"{self.folder}/log", log.schema, LOG_BYTES)
         kept = F.struct((-F.col("length")).alias("order"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *LOCATOR)
         state = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min(kept).alias("kept"))
 
@@ -180,5 +185,5 @@ def dedup(spark: SparkSession, path: str, folder: str, doc_id: str = "doc_id", t
     """The exact duplicates of the Parquet table at ``path``: a stream over its files, then the classes of its rows."""
     table = spark.read.parquet(path)
     state = StreamDedup(spark, folder)
-    state.run(located(read_stream(spark, path, table.schema), doc_id, text))
+    state.run(located(read_stream(spark, as_folder(table, path), table.schema), doc_id, text))
     return state.result(located(table, doc_id, text))

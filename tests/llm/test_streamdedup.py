@@ -55,7 +55,8 @@ def test_repeated_rows_ties_and_white_space(spark, documents, tmp_path):  # noqa
     assert {r["doc_id"]: r["keep_id"] for r in result.collect()} == {5: 9, 3: 9, 9: 9, 1: 1, 2: 2, 7: 7}
 
 
-def test_state_goes_on_over_batches_and_runs(spark, documents, tmp_path):  # noqa: F811
+def test_state_goes_on_over_batches_and_runs(spark, documents, tmp_path, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(s, "LOG_BYTES", 1)
     path, state = str(tmp_path / "docs.parquet"), s.StreamDedup(spark, str(tmp_path / "state"))
     first = [(i, f"text {i % 7}") for i in range(40)]
     later = [(100 + i, f"text  {i % 9}" + " " * (i % 3)) for i in range(40)]
