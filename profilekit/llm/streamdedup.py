@@ -36,6 +36,8 @@ STATE_STORE = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    # Space set aside in advance is several MB for each partition, however little it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 #: Most bytes of documents, and of their log, in one batch.
 TEXT_BYTES, LOG_BYTES = 64 << 30, 16 << 30
