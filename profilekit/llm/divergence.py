@@ -21,8 +21,11 @@ documents of their own. Other columns are not read. An empty table gives an empt
 
 from __future__ import annotations
 
+import re
 import sys
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import lower_ascii
+from profilekit.llm.common import LOWER, UPPER
 from profilekit.runtime import hint_if_small, quoted, shared_folder
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -42,6 +45,10 @@ UNIT = 1_000_000_000
 #: Terms of a block, and the long columns that hold their bits.
 WIDTH = 512
 WORDS = [f"w{i}" for i in range(WIDTH // 64)]
+#: Different words of groups that a task holds before it hands its counts on.
+ENTRIES = 400_000
+#: Characters from which the words of a text are counted one by one.
+LONG_TEXT = 1 << 20
 #: Cells of the joint table that a task computes at once.
 CELLS = 1 << 20
 
@@ -58,11 +65,40 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """``(lang, source, term, n, docs)``: occurrences, and documents with the term."""
-    terms = docs.select("lang", "source", F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(TERM), F.lit(0)).alias("terms"))
-    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("docs"))
-    found = F.concat(F.transform("terms", one(1, 0)), F.transform(F.array_distinct("terms"), one(0, 1)))
-    return terms.select("lang", "source", F.inline(found)).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    """``(lang, source, term, n, docs)``: occurrences, and documents with the term.
+
+    The words of a text are counted where it is read, so a frequent word leaves a task as a few rows.
+    """
+    lower, pattern, most, long_text = str.maketrans(UPPER, LOWER), TERM, ENTRIES, LONG_TEXT
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern)
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (n, held) in groups.items():
+                k = len(n)
+                columns = [pa.repeat(lang, k), pa.repeat(source, k), pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([held[t] for t in n], pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            groups.clear()
+
+        for batch in batches:
+            for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                # The words of a very long text are not held in one list.
+                written = Counter(find.findall(text) if len(text) < long_text else (m.group() for m in find.finditer(text)))
+                counts: dict[str, int] = {}
+                for word, k in written.items():
+                    word = word.lower() if word.isascii() else word.translate(lower)
+                    counts[word] = counts.get(word, 0) + k
+                n, held = groups.setdefault((lang, source), (Counter(), Counter()))
+                n.update(counts)
+                held.update(counts.keys())
+            if sum(len(n) for n, _ in groups.values()) > most:
+                yield from flushed()
+        yield from flushed()
+
+    partial = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, docs long")
+    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def joint(table: pa.Table) -> pa.Table:

@@ -74,6 +74,14 @@ def test_blocks_of_few_cells_and_short_lists(spark, corpus, monkeypatch):
     assert rows(d.audit(frame(spark, corpus), top=5)) == plain(corpus, top=5)
 
 
+def test_counts_handed_on_early_and_long_texts(spark, corpus, monkeypatch):
+    monkeypatch.setattr(d, "ENTRIES", 10)
+    monkeypatch.setattr(d, "LONG_TEXT", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    assert rows(d.audit(frame(spark, corpus))) == plain(corpus)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_no_terms_kept(spark):
     docs = [("a b", "en", "x"), ("c", "en", "y"), (None, None, None)]
     assert rows(d.audit(frame(spark, docs))) == [("en", "x", "pair", "y", 0, 1), ("en", "y", "pair", "x", 0, 1)]
