@@ -22,21 +22,35 @@ def counts_cte(view: str, columns) -> str:
     return f"{cte(view)}, counts AS ({union_all(parts)})"
 
 
-# With five named groups there are four degrees of freedom, where the tail
-# probability of the test has the closed form used here.
-TEST_CTE = """ct AS (SELECT grp, variable, n - missing AS present, missing FROM counts WHERE grp IS NOT NULL),
+def test_cte(p_value: str) -> str:
+    """The test of every variable; two groups get the continuity correction."""
+
+    def term(observed: str, total: str) -> str:
+        expected = f"((missing + present) * {total} / (tm + tp))"
+        distance = f"abs({observed} - {expected})"
+        return f"CASE dof WHEN 1 THEN greatest({distance} - 0.5, 0) ELSE {distance} END ** 2 / {expected}"
+
+    return f"""ct AS (SELECT grp, variable, n - missing AS present, missing FROM counts WHERE grp IS NOT NULL),
 tot AS (SELECT variable, sum(missing) AS tm, sum(present) AS tp, count(*) - 1 AS dof FROM ct GROUP BY variable),
-stat AS (SELECT variable, dof, sum(
-    (missing - (missing + present) * tm / (tm + tp)) ** 2 / ((missing + present) * tm / (tm + tp))
-  + (present - (missing + present) * tp / (tm + tp)) ** 2 / ((missing + present) * tp / (tm + tp))) AS chi2
+stat AS (SELECT variable, dof, sum({term('missing', 'tm')} + {term('present', 'tp')}) AS chi2
   FROM ct JOIN tot USING (variable) WHERE tm > 0 AND tp > 0 GROUP BY variable, dof),
-test AS (SELECT variable, dof::BIGINT AS dof, chi2, exp(-chi2 / 2) * (1 + chi2 / 2) AS p_value FROM stat),
+test AS (SELECT variable, dof::BIGINT AS dof, chi2, {p_value} AS p_value FROM stat),
 ov AS (SELECT variable, sum(missing) / sum(n) AS overall_rate FROM counts GROUP BY variable),
 rated AS (SELECT c.grp, c.variable, missing / n AS group_rate, overall_rate, missing / n - overall_rate AS difference,
   chi2, p_value, coalesce(p_value < 0.05 AND missing / n - overall_rate > 0.05, false) AS elevated
   FROM counts c JOIN ov USING (variable) LEFT JOIN test USING (variable) WHERE c.grp IS NOT NULL)"""
 
 
+# With five named groups there are four degrees of freedom, where the tail
+# probability of the test has a closed form.
+TEST_CTE = test_cte("exp(-chi2 / 2) * (1 + chi2 / 2)")
+# For any degrees of freedom: one minus the power series of the incomplete gamma function.
+ANY_TEST_CTE = test_cte(
+    "1 - list_sum(list_transform(range(0, 12000), lambda k: "
+    "exp((dof / 2 + k) * ln(greatest(chi2, 1e-300) / 2) - chi2 / 2 - lgamma(dof / 2 + k + 1))))"
+)
+
+
 def ev_counts(spark, sf_dir):
     return missing.group_counts(planted(spark, sf_dir, "ev"), "grp", EV)
 
@@ -160,6 +174,35 @@ def missing_overall(spark, sf_dir):
     return rounded(missing.missing_overall(ev_counts(spark, sf_dir)))
 
 
+LINES = ["l_quantity", "l_discount", "l_tax"]
+
+
+def test_query(name: str, view: str) -> None:
+    """The test by another group column than that of the events."""
+
+    @query(
+        name,
+        f"WITH {counts_cte(view, LINES)}, {ANY_TEST_CTE} SELECT variable, {rd('chi2')} AS chi2, dof, "
+        f"{rd('p_value')} AS p_value, p_value < 0.05 AS significant FROM test",
+    )
+    def run(spark, sf_dir):
+        return rounded(missing.association_test(missing.group_counts(planted(spark, sf_dir, view), "grp", LINES)))
+
+
+test_query("missing_chi2_two_groups", "ls")  # one degree of freedom
+test_query("missing_chi2_four_groups", "lq")  # three
+test_query("missing_chi2_orders", "li")  # a group for each order
+
+
+@query(
+    "elevated_missing_four_groups",
+    f"WITH {counts_cte('lq', LINES)}, {ANY_TEST_CTE} SELECT grp, count(*) FILTER (WHERE elevated) AS elevated_variables "
+    "FROM rated GROUP BY grp",
+)
+def elevated_missing_four_groups(spark, sf_dir):
+    return missing.elevated_counts(missing.group_counts(planted(spark, sf_dir, "lq"), "grp", LINES))
+
+
 RANK_SQL = """ranked AS (SELECT variable, grp, missing / n AS group_rate,
 row_number() OVER (PARTITION BY variable ORDER BY missing / n DESC, grp)::INTEGER AS "rank" FROM counts WHERE grp IS NOT NULL)"""
 
@@ -180,6 +223,22 @@ def missing_avg_rank(spark, sf_dir):
     return rounded(missing.missing_average_rank(ev_counts(spark, sf_dir)))
 
 
+@query(
+    "missing_rank_orders",
+    f"WITH {counts_cte('li', LINES)}, {RANK_SQL} SELECT variable, grp, {rd('group_rate')} AS group_rate, \"rank\" FROM ranked",
+)
+def missing_rank_orders(spark, sf_dir):
+    return rounded(missing.missing_rank(missing.group_counts(planted(spark, sf_dir, "li"), "grp", LINES)))
+
+
+@query(
+    "missing_avg_rank_orders",
+    f"WITH {counts_cte('li', LINES)}, {RANK_SQL} SELECT grp, {rd('avg(\"rank\")')} AS avg_rank FROM ranked GROUP BY grp",
+)
+def missing_avg_rank_orders(spark, sf_dir):
+    return rounded(missing.missing_average_rank(missing.group_counts(planted(spark, sf_dir, "li"), "grp", LINES)))
+
+
 @query("complete_cases", f"WITH {cte('ev')} SELECT event_id, value FROM ev WHERE value IS NOT NULL")
 def complete_cases(spark, sf_dir):
     return schema.complete_cases(planted(spark, sf_dir, "ev").select("event_id", "value"), "value")

@@ -82,11 +82,25 @@ SPIKED_PARTS = {
     "p_size": "CASE WHEN p_partkey % 200 = 3 THEN CAST(500 AS BIGINT) ELSE CAST(p_size AS BIGINT) END",
     "p_retailprice": "CASE WHEN p_partkey % 250 = 9 THEN p_retailprice * 40.0 ELSE p_retailprice END",
 }
+def lines(group: str) -> dict[str, str]:
+    """Line items by some group; what is missing depends weakly on the line status."""
+    weak = "CASE l_linestatus WHEN 'F' THEN 312 ELSE 300 END"
+    return {
+        "grp": group,
+        "l_quantity": f"CASE WHEN (l_orderkey * 37 + l_partkey * 101) % 1000 < {weak} THEN NULL ELSE l_quantity END",
+        "l_discount": "CASE WHEN (l_orderkey * 13 + l_linenumber * 7) % 10 < 3 THEN NULL ELSE l_discount END",
+        "l_tax": "l_tax",
+    }
+
+
 PLANTED: Mapping[str, tuple[str, Mapping[str, str]]] = {
     "ev": ("events", EVENTS),
     "pt": ("part", PARTS),
     "cu": ("customer", CUSTOMERS),
     "sp": ("part", SPIKED_PARTS),
+    "li": ("lineitem", lines("l_orderkey")),
+    "ls": ("lineitem", lines("l_linestatus")),
+    "lq": ("lineitem", lines("CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE concat(l_linestatus, l_partkey % 2) END")),
 }
 
 

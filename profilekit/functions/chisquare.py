@@ -1,46 +1,80 @@
-"""Upper tail of the chi-square distribution, for the few rows of a test table."""
+"""Upper tail of the chi-square distribution as a DataFrame expression.
+
+With ``a = dof / 2`` and ``x`` half the statistic it is the regularised incomplete gamma function Q(a, x): one minus the power
+series below ``a + 1``, and the continued fraction (modified Lentz) from there on. Both take a number of terms that follows
+``sqrt(a)``, not the degrees of freedom.
+"""
 
 from __future__ import annotations
 
-import sys
+import math
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Ship these helpers with the job, so workers need no installed copy.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+TINY = 1e-300
+#: Terms of either expansion: ``TERMS + TERMS_A * sqrt(a)``; the last ones are below 1e-16 of the sum.
+TERMS, TERMS_A = 60, 12
+#: Stirling's series is taken at ``z + SHIFT``.
+SHIFT = 8
 
 
-def upper_tail(x: float, dof: int) -> float:
-    """P(X > x), by the finite series for whole degrees of freedom."""
-    from math import erfc, lgamma, log, sqrt
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), use)[0]
 
-    if dof <= 0:
-        return 1.0
-    if x <= 0:
-        return 1.0
-    half = x / 2.0
-    if dof % 2 == 0:
-        powers = np.arange(dof // 2, dtype=float)
-        head = 0.0
-    else:
-        powers = np.arange((dof - 1) // 2, dtype=float) + 0.5
-        head = erfc(sqrt(half))
-    if len(powers) == 0:
-        return head
-    logs = powers * log(half) - half - np.array([lgamma(p + 1.0) for p in powers])
-    return min(1.0, head + float(np.exp(logs).sum()))
 
+def log_gamma(z: Column) -> Column:
+    """Logarithm of the gamma function for z > 0, to about 1e-14 of its size."""
+    w = z + SHIFT
+    r = F.lit(1.0) / (w * w)
+    series = (F.lit(1 / 12) - r * (F.lit(1 / 360) - r * (F.lit(1 / 1260) - r * (F.lit(1 / 1680) - r * F.lit(1 / 1188))))) / w
+    rising = z
+    for k in range(1, SHIFT):
+        rising = rising * (z + k)
+    return (w - 0.5) * F.log(w) - w + F.lit(0.5 * math.log(2 * math.pi)) + series - F.log(rising)
 
-def chi2_p_value(statistic: Column, dof: Column) -> Column:
-    @F.pandas_udf("double")
-    def tail(x: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if pd.isna(a) or pd.isna(b) else upper_tail(float(a), int(b)) for a, b in zip(x, k)],
-            dtype="float64",
+
+def _terms(a: Column) -> Column:
+    return F.sequence(F.lit(1), (F.lit(TERMS) + F.ceil(F.sqrt(a) * TERMS_A)).cast("int"))
+
+
+def _series(a: Column, x: Column) -> Column:
+    """Sum of ``x^n / ((a+1) ... (a+n))`` over n from 0."""
+    def add(s: Column, n: Column) -> Column:
+        term = s["term"] * x / (a + n)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    return F.aggregate(_terms(a), F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")), add, lambda s: s["sum"])
+
+
+def _fraction(a: Column, x: Column) -> Column:
+    """The continued fraction ``1 / (x+1-a - 1(1-a) / (x+3-a - 2(2-a) / (x+5-a - ...)))``."""
+    def safe(v: Column) -> Column:
+        return F.when(F.abs(v) < TINY, F.lit(TINY)).otherwise(v)
+
+    def step(s: Column, n: Column) -> Column:
+        top, bottom = -n * (n - a), x + 2 * n + 1 - a
+        return bound(
+            F.struct((F.lit(1.0) / safe(top * s["d"] + bottom)).alias("d"), safe(bottom + top / s["c"]).alias("c")),
+            lambda y: F.struct(y["c"].alias("c"), y["d"].alias("d"), (s["h"] * y["c"] * y["d"]).alias("h")),
         )
 
-    return tail(statistic, dof)
+    first = F.lit(1.0) / (x + 1 - a)
+    start = F.struct(F.lit(1 / TINY).alias("c"), first.alias("d"), first.alias("h"))
+    return F.aggregate(_terms(a), start, step, lambda s: s["h"])
+
+
+def upper_gamma(a: Column, x: Column) -> Column:
+    """Q(a, x) for a > 0 and x > 0."""
+    front = F.exp(a * F.log(x) - x - log_gamma(a))
+    q = F.when(x < a + 1, 1 - front / a * _series(a, x)).otherwise(front * _fraction(a, x))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), q))
+
+
+def chi2_p_value(statistic: Column, dof: Column) -> Column:
+    """P(X > statistic); 1 for a statistic of 0 or without degrees of freedom, null for nulls."""
+    half = F.struct((dof.cast("double") / 2).alias("a"), (statistic.cast("double") / 2).alias("x"))
+    tail = bound(half, lambda v: F.when((v["a"] <= 0) | (v["x"] <= 0), F.lit(1.0)).otherwise(upper_gamma(v["a"], v["x"])))
+    return F.when(statistic.isNotNull() & dof.isNotNull(), tail)

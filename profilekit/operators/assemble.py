@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilekit.operators.encode import OneHot
@@ -12,27 +12,39 @@ from profilekit.operators.schema import assert_no_target, columns_with_prefix, d
 from profilekit.runtime import col
 
 YEO = "yeo_joh_"
+NUMBER = "__number_in_key"
 # Identifier columns that are not features of the tree table.
 IDENTIFIERS = ("isin", "esg_rating", "issuer_name.1")
 
 
 def require_unique_key(df: DataFrame, key: str, name: str = "table") -> None:
-    """Raise when a key occurs twice; duplicates would multiply rows in the joins below."""
+    """Raise now when a key occurs twice; duplicates would multiply rows in a join."""
     twice = df.groupBy(col(key)).agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).collect()
     if twice:
         raise ValueError(f"{name}: key {key} is not unique, for example {twice[0][0]!r}")
 
 
+def _one_row_per_key(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df``, failing when it is computed if a key occurs twice.
+
+    Rows are numbered within their key after the shuffle and sort that the join on the key needs anyway.
+    """
+    number = F.row_number().over(Window.partitionBy(col(key)).orderBy(col(key)))
+    message = F.concat(F.lit(f"{name}: key {key} is not unique, for example "), F.coalesce(col(key).cast("string"), F.lit("null")))
+    once = F.when(F.col(NUMBER) > 1, F.raise_error(message).cast("boolean")).otherwise(True)
+    return df.withColumn(NUMBER, number).where(once).drop(NUMBER)
+
+
 def join_features(left: DataFrame, right: DataFrame, key: str, check_keys: bool = True) -> DataFrame:
     """Inner join of two feature tables on the key; the key column comes first.
 
     No broadcast hint: feature tables have one row per key and grow with the
     data. Tables written with :func:`profilekit.sources.sinks.write_bucketed`
-    on the key join without a shuffle.
+    on the key join without a shuffle. The check of the keys takes no shuffle
+    of its own.
     """
     if check_keys:
-        require_unique_key(left, key, "left table")
-        require_unique_key(right, key, "right table")
+        left, right = _one_row_per_key(left, key, "left table"), _one_row_per_key(right, key, "right table")
     return left.join(right, key, "inner")
 
 
@@ -85,7 +97,7 @@ def linear_table(
     """Original numerical, transformed numerical and one-hot columns; not standardised."""
     both = join_features(_numerical(numerical, target), _transformed(transformed, key, target), key, check_keys)
     if check_keys:
-        require_unique_key(encoded, key, "encoded table")
+        encoded = _one_row_per_key(encoded, key, "encoded table")
     return _guarded(join_features(both, encoded, key, False), target)
 
 

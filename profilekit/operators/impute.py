@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from profilekit.functions.expressions import literal, md5_number
 from profilekit.operators.base import Fitted, Learner
 from profilekit.operators.moments import column_moments
+from profilekit.operators.ordinals import running_sums
 from profilekit.operators.quantiles import column_quantiles, grouped_quantiles, to_long
 from profilekit.operators.schema import is_whole, numeric_columns
-from profilekit.runtime import Lookup, col, settle
+from profilekit.runtime import Lookup, col, cut_lineage, settle
 
 METHODS = ("global_mean", "global_median", "group_mean", "group_median")
 
@@ -133,8 +134,8 @@ def evaluate_imputation(
 
     Each row belongs to one test fold, and a share of each test fold is masked;
     both depend on the row key only. Statistics come from the other folds.
-    Training sums of a fold are the total minus the fold's own sums, so means
-    need one aggregation; medians need the training rows themselves.
+    Training sums and counts of a fold are the total minus the fold's own, for
+    means and for medians alike, so no row is copied for the folds it trains.
     """
     variables = list(variables) if variables is not None else columns_with_nulls(df, [key])
     fold, masked = fold_columns(col(key), seed, folds, mask_share)
@@ -157,21 +158,8 @@ def evaluate_imputation(
     global_means = train.groupBy("variable", "fold").agg(fitted(F.sum("s") / F.sum("n")).alias("global_mean"))
     complete = parts.groupBy("variable").agg(F.sum("n").alias("complete_cases"))
 
-    # Medians: each row trains the folds it is not tested in, once for its group and once for the whole.
-    scopes = F.array(
-        F.struct(F.lit("all").alias("scope"), F.lit("").alias("grp")),
-        F.struct(F.lit("group").alias("scope"), F.col("grp")),
-    )
-    known = parts.agg(F.sum("n")).first()[0] or 0
-    train_rows = (
-        long.select("variable", F.explode(others).alias("fold"), "value", scopes.alias("scopes"))
-        .select("variable", "fold", "value", F.inline("scopes"))
-        .where(F.col("grp").isNotNull())
-    )
     medians, few_medians = settle(
-        grouped_quantiles(train_rows, ["variable", "fold", "scope", "grp"], [0.5], rows=known * (folds - 1) * 2).select(
-            "variable", "fold", "scope", "grp", fitted(F.col("quantiles")[0]).alias("median")
-        )
+        fold_medians(long, folds).select("variable", "fold", "scope", "grp", fitted(F.col("median")).alias("median"))
     )
     group_medians = medians.where("scope = 'group'").select("variable", "fold", "grp", F.col("median").alias("group_median"))
     global_medians = medians.where("scope = 'all'").select("variable", "fold", F.col("median").alias("global_median"))
@@ -199,6 +187,42 @@ def evaluate_imputation(
     return per_fold.groupBy("variable").agg(*[F.avg(m).alias(m) for m in MSE_COLUMNS])
 
 
+def fold_medians(long: DataFrame, folds: int) -> DataFrame:
+    """``(variable, scope, grp, fold, median)`` of the rows outside each fold, per group (not null) and of all rows.
+
+    ``long`` is ``(variable, grp, fold, value)``. Equal values are counted per fold before the shuffle. Along the ordered
+    values, the running count of the rows that train a fold is the running total minus the fold's own; the two middle
+    ranks of every fold are read off in one aggregation.
+    """
+    counts = [f"c{f}" for f in range(folds)]
+    by_value = cut_lineage(
+        long.groupBy("variable", "grp", "value").agg(*[F.count_if(F.col("fold") == f).alias(c) for f, c in enumerate(counts)])
+    )
+    of_groups = by_value.where(F.col("grp").isNotNull()).select("variable", F.lit("group").alias("scope"), "grp", "value", *counts)
+    of_all = by_value.groupBy("variable", "value").agg(*[F.sum(c).alias(c) for c in counts]).select(
+        "variable", F.lit("all").alias("scope"), F.lit(None).cast(by_value.schema["grp"].dataType).alias("grp"), "value", *counts
+    )
+    keys = ["variable", "scope", "grp"]
+    summed = running_sums(of_groups.unionByName(of_all), keys, "value", counts)
+
+    def training(prefix: str, fold: int) -> Column:
+        return sum((F.col(f"{prefix}{c}") for f, c in enumerate(counts) if f != fold), F.lit(0))
+
+    def at(fold: int, rank: Column) -> Column:
+        upto = training("upto_", fold)
+        return F.max(F.when((rank < upto) & (rank >= upto - training("", fold)), F.col("value")))
+
+    n = [training("total_", f) for f in range(folds)]
+    lower = [F.floor((m - 1) / 2) for m in n]
+    upper = [F.ceil((m - 1) / 2) for m in n]
+    middle = summed.groupBy(*keys).agg(
+        *[at(f, lower[f]).alias(f"low{f}") for f in range(folds)], *[at(f, upper[f]).alias(f"high{f}") for f in range(folds)]
+    )
+    median = [F.col(f"low{f}") + (F.col(f"high{f}") - F.col(f"low{f}")) * 0.5 for f in range(folds)]
+    rows = F.array(*[F.struct(F.lit(f).cast("long").alias("fold"), m.alias("median")) for f, m in enumerate(median)])
+    return middle.select(*keys, F.inline(rows)).where(F.col("median").isNotNull())
+
+
 MSE_COLUMNS = ("global_mean_mse", "group_mean_mse", "group_median_mse")
 # Display names of the strategies.
 STRATEGY_LABELS = {

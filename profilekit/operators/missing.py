@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.functions.chisquare import chi2_p_value
+from profilekit.operators.ordinals import rank_within
 from profilekit.operators.schema import numeric_columns
-from profilekit.runtime import col
+from profilekit.runtime import col, settle
 
 
 def missing_indicator(df: DataFrame, columns: Sequence[str], key: str | None = None) -> DataFrame:
@@ -90,28 +91,22 @@ def contingency(counts: DataFrame) -> DataFrame:
     )
 
 
-def _tested(counts: DataFrame) -> DataFrame:
-    """Rates, difference and test statistic for every named group and variable.
+def _by_variable(counts: DataFrame) -> DataFrame:
+    """``(variable, overall_rate, total_missing, total, dof, chi2, p_value)``, by partial sums.
 
-    Windows over the small counts table instead of self-joins, so the table
-    behind it is scanned once. ``chi2`` is null where nothing or everything is
-    missing.
+    ``chi2`` is null where nothing or everything is missing. Two groups get the continuity correction of Yates.
     """
-    per_variable = Window.partitionBy("variable")
     named = F.col("grp").isNotNull()
-    totals = counts.withColumns(
-        {
-            "overall_rate": F.sum("missing").over(per_variable) / F.sum("n").over(per_variable),
-            "total_missing": F.sum(F.when(named, F.col("missing"))).over(per_variable),
-            "total": F.sum(F.when(named, F.col("n"))).over(per_variable),
-            "dof": F.count_if(named).over(per_variable) - 1,
-        }
-    ).where(named)
+    totals = counts.groupBy("variable").agg(
+        (F.sum("missing") / F.sum("n")).alias("overall_rate"),
+        F.sum(F.when(named, F.col("missing"))).alias("total_missing"),
+        F.sum(F.when(named, F.col("n"))).alias("total"),
+        (F.count_if(named) - 1).alias("dof"),
+    )
 
     def term(observed, column_total):
         expected = F.try_divide(F.col("n").cast("double") * column_total, F.col("total"))
         distance = F.abs(observed - expected)
-        # Two groups: continuity correction (Yates).
         corrected = F.when(F.col("dof") == 1, distance - F.least(F.lit(0.5), distance)).otherwise(distance)
         return F.try_divide(corrected * corrected, expected)
 
@@ -119,11 +114,13 @@ def _tested(counts: DataFrame) -> DataFrame:
         F.col("n") - F.col("missing"), F.col("total") - F.col("total_missing")
     )
     testable = (F.col("total_missing") > 0) & (F.col("total_missing") < F.col("total"))
-    rate = F.col("missing") / F.col("n")
-    return totals.withColumn("cells", cells).select(
-        "grp", "variable", rate.alias("group_rate"), "overall_rate", (rate - F.col("overall_rate")).alias("difference"),
-        "dof", F.when(testable, F.sum("cells").over(per_variable)).alias("chi2"),
-    )
+    # There is a row for each column of the profiled table, which is as small as its schema.
+    chi2 = (
+        counts.where(named).join(F.broadcast(totals), "variable").where(testable)
+        .groupBy("variable").agg(F.sum(cells).alias("chi2"))
+    )
+    tested = totals.join(F.broadcast(chi2), "variable", "left")
+    return tested.withColumn("p_value", chi2_p_value(F.col("chi2"), F.col("dof")))
 
 
 def association_test(counts: DataFrame, significance: float = 0.05) -> DataFrame:
@@ -131,24 +128,29 @@ def association_test(counts: DataFrame, significance: float = 0.05) -> DataFrame
 
     Only variables with both missing and present cells are tested.
     """
-    result = _tested(counts).where(F.col("chi2").isNotNull()).groupBy("variable").agg(
-        F.first("chi2").alias("chi2"), F.first("dof").alias("dof")
-    )
-    return result.withColumn("p_value", chi2_p_value(F.col("chi2"), F.col("dof"))).withColumn(
-        "significant", F.col("p_value") < significance
+    counts, _ = settle(counts)
+    return _by_variable(counts).where(F.col("chi2").isNotNull()).select(
+        "variable", "chi2", "dof", "p_value", (F.col("p_value") < significance).alias("significant")
     )
 
 
-def _tested_rates(counts: DataFrame, threshold: float, significance: float) -> DataFrame:
-    rated = _tested(counts).withColumn("p_value", chi2_p_value(F.col("chi2"), F.col("dof")))
+def _rated(counts: DataFrame, threshold: float, significance: float) -> DataFrame:
+    """Rates, difference and test of every named group and variable."""
+    counts, _ = settle(counts)
+    rate = F.col("missing") / F.col("n")
     high = (F.col("p_value") < significance) & (F.col("difference") > threshold)
-    return rated.withColumn("elevated", F.coalesce(high, F.lit(False)))
+    return (
+        counts.where(F.col("grp").isNotNull())
+        .join(F.broadcast(_by_variable(counts)), "variable")
+        .withColumns({"group_rate": rate, "difference": rate - F.col("overall_rate")})
+        .withColumn("elevated", F.coalesce(high, F.lit(False)))
+    )
 
 
 def elevated_missing(counts: DataFrame, threshold: float = 0.05, significance: float = 0.05) -> DataFrame:
     """Significant variables that a group misses more often than the whole table does."""
     return (
-        _tested_rates(counts, threshold, significance)
+        _rated(counts, threshold, significance)
         .where("elevated")
         .select("grp", "variable", "group_rate", "overall_rate", "difference", "chi2", "p_value")
         .orderBy(F.desc("difference"), "grp", "variable")
@@ -158,7 +160,7 @@ def elevated_missing(counts: DataFrame, threshold: float = 0.05, significance: f
 def elevated_counts(counts: DataFrame, threshold: float = 0.05, significance: float = 0.05) -> DataFrame:
     """Number of elevated variables per group, groups without any included."""
     return (
-        _tested_rates(counts, threshold, significance)
+        _rated(counts, threshold, significance)
         .groupBy("grp")
         .agg(F.count_if("elevated").alias("elevated_variables"))
         .orderBy(F.desc("elevated_variables"), "grp")
@@ -168,7 +170,7 @@ def elevated_counts(counts: DataFrame, threshold: float = 0.05, significance: fl
 def missing_overall(counts: DataFrame, threshold: float = 0.05, significance: float = 0.05) -> DataFrame:
     """One row: elevated pairs in total, and the chi-square statistics added up."""
     per_variable = (
-        _tested_rates(counts, threshold, significance)
+        _rated(counts, threshold, significance)
         .groupBy("variable")
         .agg(F.count_if("elevated").alias("elevated"), F.first("chi2").alias("chi2"))
     )
@@ -179,8 +181,9 @@ def missing_overall(counts: DataFrame, threshold: float = 0.05, significance: fl
 
 def missing_rank(counts: DataFrame) -> DataFrame:
     """Rank of each group within each variable, 1 = most missing; equal rates are ordered by group name."""
-    order = Window.partitionBy("variable").orderBy(F.desc("group_rate"), "grp")
-    return _tested(counts).select("variable", "grp", "group_rate", F.row_number().over(order).alias("rank"))
+    rates = counts.where(F.col("grp").isNotNull()).select("variable", "grp", (F.col("missing") / F.col("n")).alias("group_rate"))
+    ranked = rank_within(rates, "variable", [F.desc("group_rate"), F.col("grp")])
+    return ranked.select("variable", "grp", "group_rate", F.col("rank").cast("int").alias("rank"))
 
 
 def missing_average_rank(counts: DataFrame) -> DataFrame:

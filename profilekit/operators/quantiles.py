@@ -1,6 +1,11 @@
 """Exact quantiles with linear interpolation, at any size.
 
-While the input has at most ``DIRECT_ROWS`` rows, the values of a group are
+Of whole columns (:func:`column_quantiles`): one aggregation of the table counts and sketches all columns. The sketch's
+pivots enclose the wanted ranks; as literals of the plan they bracket them in a second aggregation, which counts below, at and
+between the pivots of every column and returns the few values between. Where those are too many to return, the bracket is
+sketched anew. Nothing is unpivoted, joined or shuffled but one row for each task.
+
+Of groups (:func:`grouped_quantiles`): while the input has at most ``DIRECT_ROWS`` rows, the values of a group are
 sorted in one array, which is several times faster than ``percentile`` and its
 map of boxed values. Larger inputs are solved by selection: a quantile sketch gives pivots that enclose each wanted order
 statistic, one aggregation counts what lies below and between the pivots, and
@@ -11,7 +16,9 @@ of the table is never gathered in one task, and the answer stays exact.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,6 +28,12 @@ from profilekit.runtime import col, cut_lineage, hint_if_small
 DIRECT_ROWS = 4_000_000
 PIVOTS = 512
 SKETCH_ACCURACY = 10_000
+#: Values of a column's bracket that the driver sorts.
+SORT_ROWS = 20_000
+#: Sketch steps between a wanted rank and a pivot, and the most that two pivots can be apart.
+MARGIN, APART = 1.5, 6
+#: Brackets in one aggregation.
+BRACKETS_PER_SCAN = 150
 
 
 def to_long(df: DataFrame, exprs: Mapping[str, Column], ids: Sequence[Column] = ()) -> DataFrame:
@@ -42,7 +55,7 @@ def column_quantiles(
     """Quantiles of each named expression over the whole table; nulls are skipped.
 
     With ``accuracy`` they are approximate, from one scan: the rank error is at
-    most the row count divided by the accuracy.
+    most the row count divided by the accuracy. ``direct_rows`` is the number of values of a bracket that the driver sorts.
     """
     if not exprs:
         return {}
@@ -50,13 +63,115 @@ def column_quantiles(
         sketches = [F.percentile_approx(e.cast("double"), list(probs), accuracy).alias(f"q{i}") for i, e in enumerate(exprs.values())]
         row = df.agg(*sketches).first()
         return {n: list(row[f"q{i}"] or [None] * len(probs)) for i, n in enumerate(exprs)}
-    direct_rows = DIRECT_ROWS if direct_rows is None else direct_rows
+    sort_rows = SORT_ROWS if direct_rows is None else direct_rows
+    sizes: dict[str, int] = {}
+    found: dict[tuple[str, int], float] = {}
     names = list(exprs)
-    small = df.count() <= direct_rows
-    long = to_long(df, exprs)
-    table = _direct(long, ["variable"], probs) if small else _select(long, ["variable"], probs, direct_rows, few_keys=True)
-    found = {r["variable"]: r["quantiles"] for r in table.collect()}
-    return {n: list(found[n]) if found.get(n) is not None else [None] * len(probs) for n in names}
+    brackets: list[_Bracket] = []
+    for at in range(0, len(names), BRACKETS_PER_SCAN):
+        part = names[at:at + BRACKETS_PER_SCAN]
+        grid = [share for p in probs for share in _around(float(p), float(p))]
+        first = [
+            F.struct(F.count(exprs[n]).alias("n"), F.percentile_approx(exprs[n].cast("double"), grid, SKETCH_ACCURACY).alias("pivots")).alias(f"c{i}")
+            for i, n in enumerate(part)
+        ]
+        row = df.agg(*first).first()
+        for i, n in enumerate(part):
+            sizes[n], pivots = row[f"c{i}"]["n"], row[f"c{i}"]["pivots"]
+            if sizes[n]:
+                brackets += [
+                    _Bracket(n, _ranks(sizes[n], p), 0, sizes[n], pivots=(pivots[2 * k], pivots[2 * k + 1])) for k, p in enumerate(probs)
+                ]
+    while brackets:
+        part, rest = brackets[:BRACKETS_PER_SCAN], brackets[BRACKETS_PER_SCAN:]
+        row = df.agg(*[F.struct(*b.aggregates(exprs[b.name].cast("double"), sort_rows)).alias(f"b{i}") for i, b in enumerate(part)]).first()
+        brackets = rest + [after for i, b in enumerate(part) for after in b.narrowed(row[f"b{i}"], found)]
+
+    def quantile(name: str, prob: float) -> float | None:
+        if not sizes[name]:
+            return None
+        position = (sizes[name] - 1) * float(prob)
+        below, above = (found[name, r] for r in (math.floor(position), math.ceil(position)))
+        return below + (above - below) * (position - math.floor(position))
+
+    return {n: [quantile(n, p) for p in probs] for n in names}
+
+
+def _ranks(n: int, prob: float) -> list[int]:
+    """Zero-based ranks, one or two, that the quantile of n values lies at."""
+    position = (n - 1) * float(prob)
+    return sorted({math.floor(position), math.ceil(position)})
+
+
+def _around(low: float, high: float) -> list[float]:
+    """Shares for a pivot below and one above."""
+    return [max(0.0, low - MARGIN / SKETCH_ACCURACY), min(1.0, high + MARGIN / SKETCH_ACCURACY)]
+
+
+@dataclass
+class _Bracket:
+    """The ``rows`` values of a column between two bounds (left out; None: no bound), in which ``ranks`` are wanted.
+
+    ``below`` values lie before it. With pivots the next scan counts around them; a bracket without is small enough to be
+    returned, or is sketched.
+    """
+
+    name: str
+    ranks: list[int]
+    below: int
+    rows: int
+    lo: float | None = None
+    hi: float | None = None
+    pivots: tuple[float, float] | None = None
+
+    def _inside(self, value: Column) -> Column:
+        keep = value.isNotNull()
+        if self.lo is not None:
+            keep = keep & (value > F.lit(self.lo))
+        return keep if self.hi is None else keep & (value < F.lit(self.hi))
+
+    def aggregates(self, value: Column, sort_rows: int) -> list[Column]:
+        inside = self._inside(value)
+        if self.pivots is None:
+            if self.rows <= sort_rows:
+                return [F.collect_list(F.when(inside, value)).alias("values")]
+            low, high = ((r - self.below + 0.5) / self.rows for r in (self.ranks[0], self.ranks[-1]))
+            return [F.percentile_approx(F.when(inside, value), _around(low, high), SKETCH_ACCURACY).alias("pivots")]
+        low, high = F.lit(self.pivots[0]), F.lit(self.pivots[1])
+        middle = inside & (value > low) & (value < high)
+        counts = [
+            F.count_if(inside & (value < low)).alias("lt"), F.count_if(inside & (value == low)).alias("at_low"),
+            F.count_if(middle).alias("mid"), F.count_if(inside & (value == high)).alias("at_high"),
+        ]
+        apart = self.rows * (APART + (self.ranks[-1] - self.ranks[0]) * SKETCH_ACCURACY / self.rows) / SKETCH_ACCURACY
+        return [*counts, F.collect_list(F.when(middle, value)).alias("values")] if apart <= sort_rows else counts
+
+    def narrowed(self, seen, found: dict[tuple[str, int], float]) -> list[_Bracket]:
+        """What is left of the bracket after a scan; ranks that the scan answers go to ``found``."""
+        if self.pivots is None:
+            if "values" not in seen:
+                pivots = seen["pivots"]
+                return [_Bracket(self.name, self.ranks, self.below, self.rows, self.lo, self.hi, (pivots[0], pivots[1]))]
+            values = sorted(seen["values"])
+            found.update({(self.name, r): values[r - self.below] for r in self.ranks})
+            return []
+        low, high = self.pivots
+        # Values in rising order: below the pivots, at the lower, between, at the upper, above.
+        sizes = [seen["lt"], seen["at_low"], seen["mid"], seen["at_high"] if high > low else 0]
+        starts = [sum(sizes[:k]) + self.below for k in range(5)]
+        bounds = {0: (self.lo, low), 2: (low, high), 4: (high, self.hi)}
+        values = sorted(seen["values"]) if "values" in seen else None
+        parts: dict[int, list[int]] = {}
+        for r in self.ranks:
+            k = max(k for k in range(5) if starts[k] <= r)
+            if k in (1, 3):
+                found[self.name, r] = low if k == 1 else high
+            elif k == 2 and values is not None:
+                found[self.name, r] = values[r - starts[2]]
+            else:
+                parts.setdefault(k, []).append(r)
+        rows = [*sizes, self.rows - sum(sizes)]
+        return [_Bracket(self.name, ranks, starts[k], rows[k], *bounds[k]) for k, ranks in parts.items()]
 
 
 def grouped_quantiles(
@@ -94,24 +209,18 @@ def _direct(long: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> Dat
 
 
 def _select(
-    long: DataFrame, keys: Sequence[str], probs: Sequence[float], direct_rows: int, few_keys: bool = False
+    long: DataFrame, keys: Sequence[str], probs: Sequence[float], direct_rows: int
 ) -> DataFrame:
-    """Sort the small groups, narrow the large ones.
-
-    ``few_keys`` says that keys are column names only; then counts and first
-    pivots come from one scan.
-    """
+    """Sort the small groups, narrow the large ones."""
     keys = list(keys)
     long = long.where(F.col("value").isNotNull())
-    aggregates = [F.count("*").alias("n")] + ([_pivots(F.col("value"))] if few_keys else [])
-    sizes = cut_lineage(long.groupBy(*keys).agg(*aggregates))
+    sizes = cut_lineage(long.groupBy(*keys).agg(F.count("*").alias("n")))
     big = sizes.where(F.col("n") > direct_rows)
     if big.isEmpty():
         return _direct(long, keys, probs)
     big_keys = hint_if_small(big.select(*keys))
-    if not few_keys:
-        pivots = long.join(big_keys, keys, "left_semi").groupBy(*keys).agg(_pivots(F.col("value")))
-        big = cut_lineage(big.join(pivots, keys))
+    pivots = long.join(big_keys, keys, "left_semi").groupBy(*keys).agg(_pivots(F.col("value")))
+    big = cut_lineage(big.join(pivots, keys))
     narrowed = _refine(long, big, keys, probs, direct_rows)
     if big_keys.count() == sizes.count():
         return narrowed

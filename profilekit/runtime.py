@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A lookup table within these bounds is kept as a local relation and broadcast.
 # Anything larger stays distributed and is joined by shuffle.
@@ -76,6 +77,24 @@ class Lookup:
         return df.join(side, df[quoted(column)] == side[quoted(lookup_key)], "left").drop(side[quoted(lookup_key)])
 
 
+def row_bytes(schema: T.StructType) -> Column:
+    """About the size of a row: the bytes of its strings, binaries and collections, and eight for any other value."""
+
+    def size(value: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(value), F.lit(0)) + 8
+        if isinstance(kind, T.StructType):
+            return sum((size(value[f.name], f.dataType) for f in kind.fields), F.lit(8))
+        if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.StructType, T.ArrayType, T.MapType)):
+            return F.greatest(F.size(value), F.lit(0)) * 8 + 8
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)) + 8
+        return F.lit(8)
+
+    return sum((size(col(f.name), f.dataType) for f in schema.fields), F.lit(0)).cast("long")
+
+
 def hint_if_small(table: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
-    """Broadcast hint for an already materialised table, only when its row count is within ``limit``."""
-    return F.broadcast(table) if table.limit(limit + 1).count() <= limit else table
+    """Broadcast hint for an already materialised table, only when its rows and bytes keep to the bounds."""
+    sizes = table.select(row_bytes(table.schema).alias("b")).limit(limit + 1).agg(F.count("*").alias("n"), F.sum("b").alias("b")).first()
+    return F.broadcast(table) if sizes["n"] <= limit and (sizes["b"] or 0) <= LOOKUP_BYTES else table

@@ -84,6 +84,32 @@ def test_evaluation_matches_brute_force(companies):
             assert got[c][name] == pytest.approx(value, rel=1e-9)
 
 
+def test_fold_medians_of_ties_and_odd_groups(spark):
+    rng = np.random.default_rng(8)
+    rows = [(f"v{i % 2}", [None, "a", "b", "c"][int(rng.integers(4))], int(rng.integers(5)), float(rng.integers(6))) for i in range(400)]
+    rows += [("v0", "alone", 2, 3.5), ("v1", "pair", 0, 1.0), ("v1", "pair", 0, 9.0)]
+    long = spark.createDataFrame(rows, "variable string, grp string, fold long, value double").repartition(7)
+    got = {(r.variable, r.scope, r.grp, r.fold): r["median"] for r in impute.fold_medians(long, 5).collect()}
+    want = {}
+    for v in ("v0", "v1"):
+        for f in range(5):
+            for g in {r[1] for r in rows}:
+                train = [x for a, b, c, x in rows if a == v and b == g and c != f]
+                if g is not None and train:
+                    want[v, "group", g, f] = np.median(train)
+            want[v, "all", None, f] = np.median([x for a, b, c, x in rows if a == v and c != f])
+    assert got == want
+
+
+def test_no_row_is_copied_for_folds(companies):
+    long = companies.selectExpr("'v' variable", "gics_sector grp", "company_id % 5 fold", "market_cap value")
+    counted = long.groupBy("variable", "grp", "value").agg(F.count_if(F.col("fold") == 0))
+    assert "Generate" not in counted._jdf.queryExecution().executedPlan().toString()
+    plan = impute.fold_medians(long, 5)._jdf.queryExecution().optimizedPlan().toString()
+    # The one generator takes the few medians of a group apart.
+    assert plan.index("Generate") < plan.index("Aggregate") and plan.count("Generate") == 1
+
+
 def test_evaluation_skips_short_columns(companies):
     df = companies.withColumn("social_score", F.when(F.col("company_id") < 90, F.col("social_score")))
     got = by_key(impute.evaluate_imputation(df, "company_id", "gics_sector"), "variable")

@@ -2,8 +2,9 @@ import math
 
 import pytest
 from conftest import by_key
+from pyspark.sql import functions as F
 
-from profilekit.functions.chisquare import upper_tail
+from profilekit.functions.chisquare import chi2_p_value
 from profilekit.operators import missing
 
 
@@ -18,18 +19,50 @@ def test_threshold_zero_is_respected(small):
     assert missing.missing_above(small).count() == 0
 
 
-@pytest.mark.parametrize(
-    "x, dof, p",
-    # Percentage points of the chi-square distribution from printed tables.
-    [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (18.307038, 10, 0.05), (37.697, 15, 0.001)],
-)
-def test_upper_tail(x, dof, p):
-    assert upper_tail(x, dof) == pytest.approx(p, rel=5e-4)
+def finite_series(x, dof):
+    """P(X > x) by the sum of dof / 2 terms that holds for whole degrees of freedom."""
+    half, odd = x / 2, dof % 2
+    powers = [k + 0.5 * odd for k in range((dof - odd) // 2)]
+    head = math.erfc(math.sqrt(half)) if odd else 0.0
+    return head + math.fsum(math.exp(p * math.log(half) - half - math.lgamma(p + 1)) for p in powers)
+
 
+def tails(spark, cases):
+    df = spark.createDataFrame([(float(x), int(d)) for x, d in cases], "x double, d long")
+    return [r[0] for r in df.select(chi2_p_value(F.col("x"), F.col("d"))).collect()]
 
-def test_upper_tail_at_many_degrees():
-    assert upper_tail(1000.0, 1000) == pytest.approx(0.494, abs=0.01)
-    assert upper_tail(0.0, 4) == 1.0 and upper_tail(5.0, 0) == 1.0
+
+def test_upper_tail_from_printed_tables(spark):
+    # Percentage points of the chi-square distribution from printed tables.
+    points = [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (18.307038, 10, 0.05), (37.697, 15, 0.001)]
+    assert tails(spark, [p[:2] for p in points]) == pytest.approx([p[2] for p in points], rel=5e-4)
+
+
+def test_upper_tail_against_the_finite_series(spark):
+    cases = [(f * d, d) for d in (1, 2, 3, 4, 5, 9, 40, 101, 999, 5000, 20001) for f in (0.01, 0.5, 0.9, 0.99, 1.0, 1.02, 1.1, 2.0, 6.0)]
+    for (x, d), p in zip(cases, tails(spark, cases)):
+        assert p == pytest.approx(finite_series(x, d), rel=1e-7, abs=1e-13), (x, d)
+
+
+def test_upper_tail_at_the_ends(spark):
+    assert tails(spark, [(0.0, 4), (5.0, 0), (1e6, 3)]) == [1.0, 1.0, 0.0]
+    df = spark.createDataFrame([(None, 3), (2.0, None)], "x double, d long")
+    assert [r[0] for r in df.select(chi2_p_value(F.col("x"), F.col("d"))).collect()] == [None, None]
+
+
+def test_ranks_by_range_partitions(spark):
+    rows = [(f"g{g:04d}", v, g % 7 + 1, (g * 5 + v) % (g % 7 + 2)) for g in range(3000) for v in range(2)]
+    counts = spark.createDataFrame([(g, f"v{v}", n, min(m, n)) for g, v, n, m in rows], "grp string, variable string, n long, missing long")
+    ranked = missing.missing_rank(counts)
+    got = sorted((r.variable, r["rank"], r.grp) for r in ranked.collect())
+    want = []
+    for v in ("v0", "v1"):
+        order = sorted((-min(m, n) / n, g) for g, k, n, m in rows if f"v{k}" == v)
+        want += [(v, i + 1, g) for i, (_, g) in enumerate(order)]
+    assert got == want
+    # No window over a variable: neither for ranks nor for tests.
+    for df in (ranked, missing.association_test(counts), missing.elevated_missing(counts), missing.missing_overall(counts)):
+        assert "Window" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def table(spark, cells):

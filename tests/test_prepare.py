@@ -83,8 +83,29 @@ def test_sequential_chain(small):
 
 def test_duplicate_keys_are_refused(small):
     twice = small.union(small.limit(1))
+    once = small.select("company_id")
+    for left, right in ((twice, once), (once, twice)):
+        with pytest.raises(Exception, match="company_id is not unique, for example 1"):
+            assemble.join_features(left, right, "company_id").count()
+    with pytest.raises(Exception, match="encoded table: key"):
+        assemble.linear_table(small.select("company_id", "social_score"), once, twice.select("company_id", "rating"), "company_id").collect()
     with pytest.raises(ValueError, match="not unique"):
-        assemble.join_features(twice, small.select("company_id"), "company_id")
+        assemble.require_unique_key(twice, "company_id")
+
+
+def test_the_check_of_the_keys_takes_no_shuffle_of_its_own(spark, small, monkeypatch):
+    numerical, yeo = small.select("company_id", "social_score"), small.select("company_id", F.lit(2.0).alias("yeo_joh_x"))
+    encoded = small.select("company_id", "rating")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for df, exchanges in (
+            (assemble.ml_table(yeo, encoded, "company_id"), 2), (assemble.linear_table(numerical, yeo, encoded, "company_id"), 3),
+        ):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == exchanges and plan.count("Exchange") == exchanges, plan
+            assert df.count() == 5
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_target_never_reaches_a_feature_table(small):

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from profilekit.operators import quantiles
 from profilekit.operators.quantiles import column_quantiles, grouped_quantiles
 from profilekit.runtime import LOOKUP_ROWS, Lookup
 
@@ -41,9 +42,36 @@ def test_direct_matches_numpy(spark, values):
     ],
     ids=["skewed", "constant", "two values", "ties with middle", "nulls"],
 )
-def test_selection_matches_numpy(spark, values):
-    got = column_quantiles(frame(spark, values), {"x": F.col("x")}, PROBS, direct_rows=100)["x"]
-    assert got == pytest.approx(expected(values), rel=1e-12)
+@pytest.mark.parametrize("accuracy", [10_000, 40], ids=["fine sketch", "coarse sketch"])
+def test_selection_matches_numpy(spark, values, accuracy, monkeypatch):
+    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", accuracy)
+    for direct_rows in (100, 3):
+        got = column_quantiles(frame(spark, values), {"x": F.col("x")}, PROBS, direct_rows=direct_rows)["x"]
+        assert got == pytest.approx(expected(values), rel=1e-12)
+
+
+def test_pivots_that_miss_the_rank_are_mended():
+    """Whatever the sketch says, a bracket goes on where the counts put the rank."""
+    found = {}
+    b = quantiles._Bracket("x", [4, 5], 0, 10, pivots=(7.0, 8.0))
+    left = b.narrowed({"lt": 5, "at_low": 1, "mid": 1, "at_high": 2}, found)
+    assert found == {("x", 5): 7.0}
+    assert [(p.ranks, p.below, p.rows, p.lo, p.hi, p.pivots) for p in left] == [([4], 0, 5, None, 7.0, None)]
+    left = quantiles._Bracket("x", [9], 0, 10, lo=1.0, pivots=(7.0, 7.0)).narrowed({"lt": 5, "at_low": 1, "mid": 0, "at_high": 1}, found)
+    assert [(p.ranks, p.below, p.rows, p.lo, p.hi) for p in left] == [([9], 6, 4, 7.0, None)]
+
+
+def test_columns_take_no_unpivot_join_or_shuffle_of_rows(spark, monkeypatch):
+    plans = []
+    df = spark.range(5000).selectExpr("double(id * 7919 % 5003) a", "double(id % 13) b", "if(id % 3 = 0, null, sqrt(id)) c")
+    kind = type(df)
+    agg = kind.agg
+    monkeypatch.setattr(kind, "agg", lambda self, *x: (lambda out: plans.append(out._jdf.queryExecution().executedPlan().toString()) or out)(agg(self, *x)))
+    column_quantiles(df, {c: F.col(c) for c in df.columns}, [0.25, 0.5, 0.75])
+    assert len(plans) == 2
+    for plan in plans:
+        assert "Join" not in plan and "Expand" not in plan and "Generate" not in plan and plan.count("Exchange") == 1
+        assert "Exchange SinglePartition" in plan
 
 
 def test_selection_with_a_hot_group(spark):
