@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from profilekit.catalog.registry import cte, planted, query, rd, rounded, table, union_all
@@ -92,6 +93,46 @@ def one_hot_null(spark, sf_dir):
     return encode.OneHot(["grp"]).fit_transform(planted(spark, sf_dir, "ev").select("event_id", "grp"))
 
 
+CODES = 73
+CODE = f"concat('k', p_partkey * 31 % {CODES})"
+
+
+def coded_parts(spark, sf_dir):
+    """A string column with more values than a small category has."""
+    return table(spark, sf_dir, "part").selectExpr("p_partkey", f"{CODE} AS code")
+
+
+@query(
+    "one_hot_wide",
+    f"SELECT p_partkey, {dummies('code', sorted(f'k{i}' for i in range(CODES))[1:])} FROM (SELECT p_partkey, {CODE} AS code FROM part)",
+)
+def one_hot_wide(spark, sf_dir):
+    return encode.OneHot(["code"]).fit_transform(coded_parts(spark, sf_dir))
+
+
+@query(
+    "one_hot_wide_vector",
+    f"""WITH p AS (SELECT p_partkey, {CODE} AS code FROM part), d AS (SELECT code, row_number() OVER (ORDER BY code) - 2 AS slot FROM p GROUP BY code)
+    SELECT p_partkey, slot::INTEGER AS slot, 1.0::DOUBLE AS value, {CODES - 1}::INTEGER AS width FROM p JOIN d USING (code) WHERE slot >= 0""",
+)
+def one_hot_wide_vector(spark, sf_dir):
+    vectors = encode.OneHot(["code"], output="vector").fit_transform(coded_parts(spark, sf_dir))
+    slots = vector_to_array("code_vector")
+    return vectors.select("p_partkey", F.size(slots).alias("width"), F.posexplode(slots).alias("slot", "value")).where("value <> 0")
+
+
+@query(
+    "one_hot_every_order",
+    """WITH d AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey::VARCHAR) - 2 AS slot, count(*) OVER () - 1 AS features FROM orders)
+    SELECT o_orderkey::VARCHAR AS value, slot, features::BIGINT AS features FROM d WHERE slot >= 0""",
+)
+def one_hot_every_order(spark, sf_dir):
+    """A category for each row: the slots of the vectors, which no driver or task has seen as a whole."""
+    orders = table(spark, sf_dir, "orders").selectExpr("cast(o_orderkey AS string) AS o_orderkey")
+    model = encode.OneHot(["o_orderkey"], output="vector").fit(orders)
+    return model.slots().select("value", "slot", F.lit(model.widths["o_orderkey"]).cast("long").alias("features"))
+
+
 EXPANSION_SQL = union_all(
     [
         f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS categories, count(DISTINCT {c}) - 1 AS features FROM {t}"
@@ -108,8 +149,7 @@ EXPANSION_SQL = union_all(
 )
 def expansion_table(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderpriority")
-    mapping = encode.OneHot().fit(orders).mapping
-    return rounded(encode.expansion_table(orders, mapping))
+    return rounded(encode.expansion_table(orders, encode.OneHot().fit(orders).widths))
 
 
 def target_sql(kind: str) -> str:
@@ -389,7 +429,7 @@ def before_after_summary(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", "p_size")
     columns = ["p_retailprice", "p_size"]
     scaled = scale.Scale("standard", columns).fit_transform(parts)
-    return rounded(compare_distributions(parts, scaled, "p_partkey", columns))
+    return rounded(compare_distributions(parts, scaled, columns))
 
 
 @query(
@@ -448,3 +488,21 @@ def dtype_counts(spark, sf_dir):
 )
 def size_profile(spark, sf_dir):
     return profile.size_profile(table(spark, sf_dir, "part"))
+
+
+TYPED = {
+    "whole": "concat(' ', event_id)",
+    "real": "concat(event_id % 100, '.25')",
+    "flag": "CASE WHEN event_id % 5 = 0 THEN '' WHEN event_id % 2 = 0 THEN 'true' ELSE 'FALSE' END",
+    "code": "CASE WHEN event_id % 9 = 0 THEN '007' ELSE concat(event_id % 9) END",
+    "mixed": "CASE WHEN event_id % 11 = 0 THEN 'n/a' ELSE concat(event_id) END",
+}
+
+
+@query(
+    "typed_strings",
+    f"""WITH t AS (SELECT {', '.join(f'{e} AS {c}' for c, e in TYPED.items())} FROM events)
+    SELECT whole::BIGINT AS whole, real::DOUBLE AS real, nullif(flag, '')::BOOLEAN AS flag, code, mixed FROM t""",
+)
+def typed_strings(spark, sf_dir):
+    return schema.type_strings(table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {c}" for c, e in TYPED.items()]))

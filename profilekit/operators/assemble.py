@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from profilekit.config import IDENTIFIERS
 from profilekit.operators.encode import OneHot
 from profilekit.operators.schema import assert_no_target, columns_with_prefix, drop_columns
 from profilekit.runtime import col
 
 YEO = "yeo_joh_"
 NUMBER = "__number_in_key"
-# Identifier columns that are not features of the tree table.
-IDENTIFIERS = ("isin", "esg_rating", "issuer_name.1")
 
 
 def require_unique_key(df: DataFrame, key: str, name: str = "table") -> None:
@@ -59,11 +58,11 @@ def attach_columns(base: DataFrame, other: DataFrame, key: str, columns: Sequenc
 
 
 def encoded_table(
-    df: DataFrame, key: str, dropped: Sequence[str] = IDENTIFIERS, drop_first: bool = True, max_categories: int = 50
+    df: DataFrame, key: str, dropped: Sequence[str] = IDENTIFIERS, drop_first: bool = True, output: str = "dense"
 ) -> DataFrame:
     """One-hot table of all categorical columns, identifiers left out."""
     kept = drop_columns(df, dropped)
-    return OneHot(exclude=[key], drop_first=drop_first, max_categories=max_categories).fit_transform(kept)
+    return OneHot(exclude=[key], drop_first=drop_first, output=output).fit_transform(kept)
 
 
 def _numerical(df: DataFrame, target: str | None) -> DataFrame:

@@ -6,14 +6,14 @@ import itertools
 from collections import Counter
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.feature import OneHotEncoder
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilekit.functions.expressions import literal
 from profilekit.operators.base import Fitted, Learner
 from profilekit.operators.moments import column_moments
+from profilekit.operators.ordinals import rank_within
 from profilekit.operators.profile import category_counts
 from profilekit.operators.quantiles import grouped_quantiles
 from profilekit.operators.schema import (
@@ -22,111 +22,140 @@ from profilekit.operators.schema import (
     categorical_columns,
     columns_with_keyword,
 )
-from profilekit.runtime import Lookup, col, settle
+from profilekit.runtime import Lookup, col, cut_lineage, settle
 
-# StringIndexer keeps its labels on the driver, so the sparse path has a checked bound.
-MAX_INDEXED = 1_000_000
+OUTPUTS = ("dense", "vector")
+
+
+def category_dictionary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(variable, value, ordinal)`` of all categories, ordinals from 0 in the order of the text within each column.
+
+    Distinct values are numbered by range partitions and offsets, so neither the driver nor a task holds a column's
+    categories. Nulls are no category.
+    """
+    values = (
+        df.select(*[col(c).cast("string").alias(c) for c in columns])
+        .unpivot([], [col(c) for c in columns], "variable", "value")
+        .where(F.col("value").isNotNull())
+        .distinct()
+    )
+    ranked = rank_within(values, "variable", [F.col("value")], "ordinal")
+    return cut_lineage(ranked.withColumn("ordinal", F.col("ordinal") - 1))
 
 
 class OneHotModel(Fitted):
     """``{column}_{value}`` float columns from known categories; null and unseen values give zeros."""
 
-    def __init__(
-        self,
-        categories: dict[str, list[str]],
-        wide: Fitted | None = None,
-        wide_dropped: Mapping[str, str | None] | None = None,
-    ):
+    def __init__(self, categories: dict[str, list[str]]):
         super().__init__()
         self.categories = categories
-        self.wide, self.wide_dropped = wide, dict(wide_dropped or {})
 
     @property
     def mapping(self) -> dict[str, list[str]]:
-        out = {c: [f"{c}_{v}" for v in values] for c, values in self.categories.items()}
-        return out | {c: [f"{c}_vector"] for c in self.wide_dropped}
+        return {c: [f"{c}_{v}" for v in values] for c, values in self.categories.items()}
+
+    @property
+    def widths(self) -> dict[str, int]:
+        """Features of each column."""
+        return {c: len(values) for c, values in self.categories.items()}
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        gone = {*self.categories, *self.wide_dropped}
-        if self.wide is not None:
-            dataset = self.wide.transform(_without_dropped(dataset, self.wide_dropped))
-            gone.update(x for c in self.wide_dropped for x in (f"{c}_kept", f"{c}_index"))
-        kept = [col(c) for c in dataset.columns if c not in gone]
+        kept = [col(c) for c in dataset.columns if c not in self.categories]
         encoded = [
-            F.when(col(c) == v, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float").alias(f"{c}_{v}")
+            F.when(col(c).cast("string") == v, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float").alias(f"{c}_{v}")
             for c, values in self.categories.items()
             for v in values
         ]
         return dataset.select(*kept, *encoded)
 
 
+class OneHotVectorModel(Fitted):
+    """One sparse vector ``{column}_vector`` per column; null and unseen values give zeros.
+
+    The categories stay in a table that is joined, by broadcast if it was seen to be small. A column without features has a
+    vector with one slot that stays zero.
+    """
+
+    def __init__(self, dictionary: DataFrame, widths: dict[str, int], drop_first: bool):
+        super().__init__()
+        self.dictionary, self.widths, self.skip = dictionary, widths, int(drop_first)
+        self.lookups = {
+            c: Lookup(dictionary.where((F.col("variable") == c) & (F.col("ordinal") >= self.skip)).select(
+                F.col("value").alias("__category"), (F.col("ordinal") - self.skip).alias("__slot")
+            ))
+            for c in widths
+        }
+        slots = [f"__slot_{i}" for i in range(len(widths))]
+        sizes = [float(max(n, 1) - 1) for n in widths.values()]
+        # What the encoder learns is the number of slots; the slot after the last stands for null and unseen values.
+        encoder = OneHotEncoder(inputCols=slots, outputCols=[f"{c}_vector" for c in widths], dropLast=True, handleInvalid="keep")
+        self.encoder = encoder.fit(dictionary.sparkSession.createDataFrame([sizes], [*slots])) if widths else None
+
+    @property
+    def mapping(self) -> dict[str, list[str]]:
+        return {c: [f"{c}_vector"] for c in self.widths}
+
+    def slots(self) -> DataFrame:
+        """``(variable, value, slot)``: what stands where in the vectors."""
+        return self.dictionary.where(F.col("ordinal") >= self.skip).select("variable", "value", (F.col("ordinal") - self.skip).alias("slot"))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        if self.encoder is None:
+            return dataset
+        kept = [c for c in dataset.columns if c not in self.widths]
+        for i, (c, n) in enumerate(self.widths.items()):
+            dataset = dataset.withColumn("__text", col(c).cast("string"))
+            dataset = self.lookups[c].left_join(dataset, "__text", "__category")
+            slot = F.coalesce(F.col("__slot"), F.lit(max(n, 1))).cast("double")
+            dataset = dataset.withColumn(f"__slot_{i}", slot).drop("__text", "__slot")
+        encoded = self.encoder.transform(dataset)
+        return encoded.select(*[col(c) for c in kept], *[col(f"{c}_vector") for c in self.widths])
+
+
 class OneHot(Learner):
-    """Dense columns up to ``max_categories`` values per column, a sparse vector column beyond.
+    """One-hot encoding of any width. The caller chooses the form; it does not depend on the data.
 
-    Values are ordered by text and the smallest is dropped when ``drop_first``.
+    ``output="dense"`` gives a float column for each value. Their names are the schema of the result and so known to the
+    driver; for columns of unbounded width ask for ``"vector"``, one sparse vector per column. Values are ordered by text and
+    the smallest is dropped when ``drop_first``.
     """
 
     def __init__(
-        self,
-        columns: Sequence[str] | None = None,
-        exclude: Sequence[str] = (),
-        drop_first: bool = True,
-        max_categories: int = 50,
+        self, columns: Sequence[str] | None = None, exclude: Sequence[str] = (), drop_first: bool = True, output: str = "dense"
     ):
         super().__init__()
-        self.columns, self.exclude = columns, exclude
-        self.drop_first, self.max_categories = drop_first, max_categories
+        if output not in OUTPUTS:
+            raise ValueError(f"output must be one of {OUTPUTS}")
+        self.columns, self.exclude, self.drop_first, self.output = columns, exclude, drop_first, output
 
-    def _fit(self, dataset: DataFrame) -> OneHotModel:
+    def _fit(self, dataset: DataFrame) -> OneHotModel | OneHotVectorModel:
         columns = list(self.columns) if self.columns is not None else categorical_columns(dataset, self.exclude)
         if not columns:
             return OneHotModel({})
+        skip = int(self.drop_first)
+        if self.output == "vector":
+            dictionary = category_dictionary(dataset, columns)
+            sizes = {r["variable"]: r["n"] for r in dictionary.groupBy("variable").agg(F.count("*").alias("n")).collect()}
+            return OneHotVectorModel(dictionary, {c: max(sizes.get(c, 0) - skip, 0) for c in columns}, self.drop_first)
         values = (
             dataset.select(*[col(c).cast("string").alias(c) for c in columns])
             .unpivot([], [col(c) for c in columns], "variable", "value")
             .where(F.col("value").isNotNull())
             .distinct()
         )
-        # One value more than the cap shows that a column is over it.
-        order = Window.partitionBy("variable").orderBy("value")
-        rows = values.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.max_categories + 1)
         found: dict[str, list[str]] = {c: [] for c in columns}
-        for r in rows.collect():
+        for r in values.collect():
             found[r["variable"]].append(r["value"])
-        wide = [c for c in columns if len(found[c]) > self.max_categories]
-        skip = 1 if self.drop_first else 0
-        dense = {c: sorted(found[c])[skip:] for c in columns if c not in wide}
-        dropped = {c: min(found[c]) if self.drop_first else None for c in wide}
-        return OneHotModel(dense, self._sparse(dataset, dropped) if wide else None, dropped)
-
-    def _sparse(self, dataset: DataFrame, dropped: Mapping[str, str | None]) -> Fitted:
-        columns = list(dropped)
-        sizes = {r["variable"]: r["categories"] for r in category_counts(dataset, columns).collect()}
-        over = [c for c in columns if sizes[c] > MAX_INDEXED]
-        if over:
-            raise ValueError(f"too many categories for one-hot, use target encoding: {over}")
-        index = StringIndexer(
-            inputCols=[f"{c}_kept" for c in columns], outputCols=[f"{c}_index" for c in columns],
-            stringOrderType="alphabetAsc", handleInvalid="keep",
-        )
-        # The last slot is the one of null and unseen values; dropping it leaves such rows all zero.
-        encode = OneHotEncoder(
-            inputCols=[f"{c}_index" for c in columns], outputCols=[f"{c}_vector" for c in columns], dropLast=True
-        )
-        return Pipeline(stages=[index, encode]).fit(_without_dropped(dataset, dropped))
+        return OneHotModel({c: sorted(found[c])[skip:] for c in columns})
 
 
-def _without_dropped(df: DataFrame, dropped: Mapping[str, str | None]) -> DataFrame:
-    """``{column}_kept``: the column with its dropped category turned to null."""
-    return df.withColumns(
-        {f"{c}_kept": col(c) if v is None else F.nullif(col(c), F.lit(v)) for c, v in dropped.items()}
-    )
-
+def expansion_table(df: DataFrame, widths: Mapping[str, int]) -> DataFrame:
+    """``(column, categories, features, expansion_ratio)`` per encoded column and a TOTAL row.
 
-def expansion_table(df: DataFrame, mapping: Mapping[str, Sequence[str]]) -> DataFrame:
-    """``(column, categories, features, expansion_ratio)`` per encoded column and a TOTAL row."""
-    features = F.create_map(*[x for c, names in mapping.items() for x in (F.lit(c), F.lit(len(names)).cast("long"))])
-    per_column = category_counts(df, list(mapping)).select(
+    ``widths`` holds the number of features of each column, as encoders give it.
+    """
+    features = F.create_map(*[x for c, n in widths.items() for x in (F.lit(c), F.lit(n).cast("long"))])
+    per_column = category_counts(df, list(widths)).select(
         F.col("variable").alias("column"), "categories", features[F.col("variable")].alias("features")
     )
     rows = per_column.unionByName(

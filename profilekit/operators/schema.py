@@ -50,6 +50,55 @@ def normalise_types(df: DataFrame) -> DataFrame:
     return df.select(*[col(c).cast("bigint").alias(c) if c in whole else col(c) for c in df.columns])
 
 
+# Text that a type can hold without loss. A number must not start with a needless zero: such text is a code.
+_NUMBER = r"^\s*[+-]?(0|[1-9][0-9]*|(?=\.[0-9]))"
+_TEXT_TYPES = {
+    "bigint": _NUMBER + r"\s*$",
+    "double": _NUMBER + r"(\.[0-9]*)?([eE][+-]?[0-9]+)?\s*$",
+    "boolean": r"^\s*(?i:true|false)\s*$",
+    "date": r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}\s*$",
+    "timestamp": r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?)?\s*$",
+}
+
+
+def text_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, str]:
+    """The narrowest type that holds every text of a string column, ``string`` where none does.
+
+    One aggregation counts, for all columns and types at once, the texts that can be cast. The types are tried from
+    ``bigint`` over ``double`` to ``boolean`` and from ``date`` to ``timestamp``. Blank text counts as missing; a column
+    without text stays a string.
+    """
+    columns = list(columns) if columns is not None else categorical_columns(df)
+    if not columns:
+        return {}
+    counts = []
+    for i, c in enumerate(columns):
+        text = F.when(F.trim(col(c)) != "", col(c))
+        counts.append(F.count(text).alias(f"n{i}"))
+        for name, pattern in _TEXT_TYPES.items():
+            held = text.rlike(pattern) & F.trim(text).try_cast(name).isNotNull()
+            counts.append(F.count_if(held).alias(f"{name}{i}"))
+    row = df.agg(*counts).first()
+    return {
+        c: next((t for t in _TEXT_TYPES if row[f"n{i}"] and row[f"{t}{i}"] == row[f"n{i}"]), "string") for i, c in enumerate(columns)
+    }
+
+
+def type_strings(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """String columns cast to the types of :func:`text_types`; blank text of a cast column becomes null."""
+    types = {c: t for c, t in text_types(df, columns).items() if t != "string"}
+    return df.select(*[F.trim(col(c)).try_cast(types[c]).alias(c) if c in types else col(c) for c in df.columns])
+
+
+def identifier_columns(df: DataFrame, columns: Sequence[str], share: float = 0.9) -> list[str]:
+    """Columns whose number of values is above ``share`` of their rows, by one sketch of each column in one scan."""
+    if not columns:
+        return []
+    sketches = [F.approx_count_distinct(col(c), 0.01).alias(f"d{i}") for i, c in enumerate(columns)]
+    row = df.agg(*sketches, *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if row[f"n{i}"] > 1 and row[f"d{i}"] > share * row[f"n{i}"]]
+
+
 def numeric_columns(df: DataFrame, exclude: Iterable[str] = ()) -> list[str]:
     skip = set(exclude)
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.name not in skip]

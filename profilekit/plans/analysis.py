@@ -6,19 +6,29 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from profilekit.operators import forest, missing, outliers
-from profilekit.operators.encode import OneHot, expansion_table, interact, polynomial
+from profilekit.operators.encode import (
+    OneHot,
+    default_interaction_pairs,
+    default_polynomial_columns,
+    expansion_table,
+    interact,
+    polynomial,
+)
 from profilekit.operators.impute import FillMissing, best_strategy, evaluate_imputation
 from profilekit.operators.profile import before_after, dtype_counts, flagged_non_null_counts
 from profilekit.operators.scale import Scale
 from profilekit.operators.schema import categorical_columns, common_columns, numeric_columns
+from profilekit.runtime import settle
 
 
 @dataclass
 class MissingAnalysis:
     profile: DataFrame
     by_group: DataFrame
+    by_group_categorical: DataFrame
     tests: DataFrame
     elevated: DataFrame
     elevated_counts: DataFrame
@@ -34,14 +44,19 @@ def analyse_missing(
 ) -> MissingAnalysis:
     """Profile, association tests, strategy evaluation and the filled table.
 
-    The evaluation advises; the method applied is the one asked for.
+    The evaluation advises; the method applied is the one asked for. Counts of
+    numeric and categorical columns come from one scan of the table, and every
+    result about groups reads them.
     """
     columns = list(columns) if columns is not None else numeric_columns(df, [key])
-    counts = missing.group_counts(df, group_col, columns)
-    evaluation = evaluate_imputation(df, key, group_col)
+    categorical = categorical_columns(df, [key, group_col])
+    every, _ = settle(missing.group_counts(df, group_col, [*columns, *categorical]))
+    counts, others = (every.where(F.col("variable").isin(c)) for c in (columns, categorical))
+    evaluation, _ = settle(evaluate_imputation(df, key, group_col))
     return MissingAnalysis(
         profile=missing.missing_profile(df),
         by_group=missing.missing_by_group(counts),
+        by_group_categorical=missing.missing_by_group(others),
         tests=missing.association_test(counts),
         elevated=missing.elevated_missing(counts),
         elevated_counts=missing.elevated_counts(counts),
@@ -124,43 +139,59 @@ def engineer_features(
     exclude: Sequence[str] = (),
     one_hot: bool = True,
     scaling: str | None = None,
-    interactions: Sequence[Sequence[str]] = (),
+    interactions: Sequence[Sequence[str]] | str = (),
     interaction_kind: str = "multiply",
-    polynomials: Sequence[str] = (),
+    polynomials: Sequence[str] | str = (),
     degree: int = 2,
-    max_categories: int = 50,
+    one_hot_output: str = "dense",
 ) -> tuple[DataFrame, FeatureInfo]:
-    """One-hot, then scaling, then interactions, then polynomials.
+    """The steps that were asked for, in the order one-hot, scaling, interactions, polynomials.
 
-    The order matters: one-hot columns are numeric and are scaled too, and
-    interactions and polynomials see scaled values.
+    The order matters: dense one-hot columns are numeric and are scaled too, and
+    interactions and polynomials see scaled values. ``interactions="default"``
+    and ``polynomials="default"`` choose columns of ``df`` by the keywords in
+    their names.
     """
-    out, log, expansion = df, [], None
-    if one_hot:
-        chosen = list(categorical) if categorical is not None else categorical_columns(df, exclude)
-        model = OneHot(chosen, max_categories=max_categories).fit(df)
-        out = model.transform(out)
-        log.append({"type": "one_hot_encoding", "feature_mapping": model.mapping})
-        expansion = expansion_table(df, model.mapping) if model.mapping else None
-    if scaling:
-        columns = numeric_columns(out, exclude)
-        out = Scale(scaling, columns).fit_transform(out)
-        log.append({"type": "normalization", "method": scaling, "columns": columns})
-    if interactions:
-        out = interact(out, interactions, interaction_kind)
-        log.append({"type": "interactions", "interactions": [list(p) for p in interactions]})
-    if polynomials:
-        out = polynomial(out, polynomials, degree)
-        log.append({"type": "polynomials", "columns": list(polynomials), "degree": degree})
-    numeric = set(numeric_columns(df, exclude))
+    numeric = numeric_columns(df, exclude)
+    pairs = default_interaction_pairs(numeric) if interactions == "default" else [list(p) for p in interactions]
+    powers = default_polynomial_columns(numeric) if polynomials == "default" else list(polynomials)
+    expansion = None
+
+    def encode(table: DataFrame) -> tuple[DataFrame, dict]:
+        nonlocal expansion
+        chosen = list(categorical) if categorical is not None else categorical_columns(table, exclude)
+        model = OneHot(chosen, output=one_hot_output).fit(table)
+        expansion = expansion_table(table, model.widths) if model.widths else None
+        return model.transform(table), {"feature_mapping": model.mapping}
+
+    def rescale(table: DataFrame) -> tuple[DataFrame, dict]:
+        columns = numeric_columns(table, exclude)
+        return Scale(scaling, columns).fit_transform(table), {"method": scaling, "columns": columns}
+
+    # Names and keys of the log are read by other programs: fixed values.
+    steps = [
+        ("one_hot_encoding", one_hot, encode),
+        ("normalization", scaling, rescale),
+        ("interactions", pairs, lambda t: (interact(t, pairs, interaction_kind), {"interactions": [list(p) for p in pairs]})),
+        ("polynomials", powers, lambda t: (polynomial(t, powers, degree), {"columns": powers, "degree": degree})),
+    ]
+    out, log = df, []
+    for name, wanted, step in steps:
+        if wanted:
+            out, details = step(out)
+            log.append({"type": name} | details)
     info = FeatureInfo(
         original_columns=len(df.columns), final_columns=len(out.columns), transformations=log, expansion=expansion,
-        dtypes=dtype_counts(out), common_numeric={c: c for c in common_columns(df, out) if c in numeric},
+        dtypes=dtype_counts(out), common_numeric={c: c for c in common_columns(df, out) if c in set(numeric)},
     )
     return out, info
 
 
-def compare_distributions(original: DataFrame, transformed: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
-    """Mean and std before and after, for columns that were changed in place."""
-    renamed = transformed.select(key, *[transformed[c].alias(f"__after_{c}") for c in columns])
-    return before_after(original.join(renamed, key), {c: f"__after_{c}" for c in columns})
+def compare_distributions(original: DataFrame, transformed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mean and std before and after, for columns that were changed in place.
+
+    Each table is aggregated by itself; only the rows of the summaries, one for each column, are joined.
+    """
+    before, after = (before_after(t, {c: c for c in columns}) for t in (original, transformed))
+    renamed = after.select("variable", *[F.col(c).alias(c.replace("original", "transformed")) for c in after.columns if c.startswith("original")])
+    return before.select("variable", *[c for c in before.columns if c.startswith("original")]).join(F.broadcast(renamed), "variable")

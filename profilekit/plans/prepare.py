@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from profilekit.config import Config
 from profilekit.operators.base import Step
 from profilekit.operators.encode import OneHot
+from profilekit.operators.forest import IsolationForest
 from profilekit.operators.impute import FillMissing
 from profilekit.operators.outliers import IQR_PREFIX, IqrModel, ZScoreDetector
 from profilekit.operators.power import YeoJohnson
@@ -26,12 +27,15 @@ from profilekit.operators.schema import (
     categorical_columns,
     columns_with_prefix,
     drop_columns,
+    identifier_columns,
     null_if_nan,
     numeric_columns,
 )
-from profilekit.operators.treat import treat_outliers
+from profilekit.operators.treat import MeanOfAllCells, treat_outliers
 from profilekit.runtime import col
 
+FOREST_PREFIX = "forest_mod_"
+
 
 @dataclass
 class Prepared:
@@ -45,6 +49,7 @@ class Prepared:
     tree: DataFrame
     numerical: list[str] = field(default_factory=list)
     categorical: list[str] = field(default_factory=list)
+    identifiers: list[str] = field(default_factory=list)
 
     def apply(self, df: DataFrame) -> DataFrame:
         """The same fitted chain on new data, batch or streaming; nothing is learned again."""
@@ -62,7 +67,11 @@ def prepare(df: DataFrame, cfg: Config, cache: StorageLevel | None = None) -> Pr
     clean = Step(null_if_nan)
     source = clean.transform(df)
     numerical = numeric_columns(source, skip)
-    categorical = categorical_columns(source, skip)
+    strings = categorical_columns(source, [*skip, *cfg.identifiers])
+    # The group column is a category by decree.
+    asked = [c for c in strings if c != cfg.group_col]
+    identifiers = identifier_columns(source, asked, cfg.identifier_share) if cfg.identifier_share is not None else []
+    categorical = [c for c in strings if c not in identifiers]
 
     fill = FillMissing(cfg.imputation, cfg.group_col, numerical).fit(source)
     filled = fill.transform(source)
@@ -72,13 +81,18 @@ def prepare(df: DataFrame, cfg: Config, cache: StorageLevel | None = None) -> Pr
     quartiles = column_quantiles(filled, {c: col(c) for c in numerical}, [0.25, 0.5, 0.75])
     iqr = IqrModel({c: (q[0], q[2]) for c, q in quartiles.items()}, cfg.iqr_multiplier, IQR_PREFIX)
     zscore = ZScoreDetector(numerical, cfg.z_threshold).fit(filled)
-    power = YeoJohnson(numerical, medians={c: q[1] for c, q in quartiles.items()}).fit(filled)
-    encode = OneHot(categorical, drop_first=cfg.drop_first, max_categories=cfg.max_categories).fit(filled)
+    power = YeoJohnson(numerical, grid=cfg.lambda_grid, medians={c: q[1] for c, q in quartiles.items()}).fit(filled)
+    encode = OneHot(categorical, drop_first=cfg.drop_first, output=cfg.one_hot_output).fit(filled)
+    flags: list[Transformer] = [iqr, zscore]
+    if cfg.forest_contamination is not None:
+        forest = IsolationForest(cfg.key, numerical, contamination=cfg.forest_contamination).fit(filled)
+        # Every numeric cell of a row that the forest flags becomes the column mean.
+        flags += [forest, MeanOfAllCells(row_flag=forest.flag_column, output_prefix=FOREST_PREFIX, columns=numerical).fit(filled)]
     if cache is not None:
         filled.unpersist()
 
     # One-hot replaces the categorical columns, so the tree table is read off before it.
-    fitted: list[Transformer] = [clean, fill, iqr, zscore, power]
+    fitted: list[Transformer] = [clean, fill, *flags, power]
     model = PipelineModel(fitted)
     table = model.transform(df)
     features = drop_columns(table, [cfg.target_col] if cfg.target_col else [], (iqr.prefix, zscore.prefix))
@@ -99,6 +113,7 @@ def prepare(df: DataFrame, cfg: Config, cache: StorageLevel | None = None) -> Pr
         tree=pick(features, [*numerical, *transformed, *categorical]),
         numerical=numerical,
         categorical=categorical,
+        identifiers=[*identifiers, *[c for c in source.columns if c in cfg.identifiers]],
     )
 
 

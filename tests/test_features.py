@@ -45,19 +45,52 @@ def test_one_hot_without_categories_is_unchanged(spark):
 
 
 @pytest.mark.parametrize("drop_first", [True, False])
-def test_one_hot_above_the_cap_is_sparse(spark, drop_first):
+def test_one_hot_vector(spark, drop_first):
     df = spark.createDataFrame([(i, f"v{i % 12:02d}") for i in range(24)] + [(99, None)], "k int, v string")
-    out = encode.OneHot(["v"], drop_first=drop_first, max_categories=5).fit_transform(df)
-    assert out.columns == ["k", "v_vector"]
+    model = encode.OneHot(["v"], drop_first=drop_first, output="vector").fit(df)
+    out = model.transform(df)
+    assert out.columns == ["k", "v_vector"] and model.widths == {"v": 12 - drop_first}
     rows = {r.k: r.v_vector for r in out.collect()}
-    assert len(rows[1]) == (11 if drop_first else 12)
-    assert rows[0].numNonzeros() == (0 if drop_first else 1) and rows[99].numNonzeros() == 0
-    assert rows[1].numNonzeros() == 1 and rows[1] == rows[13] != rows[2]
+    slots = {r.value: r.slot for r in model.slots().collect()}
+    for i in range(24):
+        v = f"v{i % 12:02d}"
+        assert rows[i].size == 12 - drop_first and list(rows[i].indices) == ([slots[v]] if v in slots else [])
+    assert rows[99].numNonzeros() == 0 and slots.get("v00") == (None if drop_first else 0)
+    unseen = spark.createDataFrame([(1, "zz")], "k int, v string")
+    assert model.transform(unseen).first().v_vector.numNonzeros() == 0
+
+
+@pytest.mark.parametrize("values", [49, 50, 51, 400])
+def test_one_hot_form_does_not_depend_on_the_data(spark, values):
+    df = spark.createDataFrame([(i, f"v{i}") for i in range(values)], "k int, v string")
+    assert len(encode.OneHot(["v"]).fit_transform(df).columns) == values
+    vector = encode.OneHot(["v"], output="vector").fit_transform(df)
+    assert vector.columns == ["k", "v_vector"] and vector.first().v_vector.size == values - 1
+
+
+def test_one_hot_vectors_of_columns_without_features(spark):
+    df = spark.createDataFrame([(1, "a", None, "x"), (2, "a", None, "y")], "k int, one string, none string, two string")
+    model = encode.OneHot(exclude=["k"], output="vector").fit(df)
+    assert model.widths == {"one": 0, "none": 0, "two": 1}
+    rows = {r.k: r for r in model.transform(df).collect()}
+    assert [rows[k][f"{c}_vector"].numNonzeros() for k in (1, 2) for c in ("one", "none", "two")] == [0, 0, 0, 0, 0, 1]
+    with pytest.raises(ValueError, match="output must be"):
+        encode.OneHot(output="wide")
+
+
+def test_dictionary_in_partitions(spark):
+    rows = [(f"a{i % 700:04d}", f"b{i % 31}") for i in range(2800)] + [(None, None)]
+    df = spark.createDataFrame(rows, "p string, q string").repartition(6)
+    got = {(r.variable, r.value): r.ordinal for r in encode.category_dictionary(df, ["p", "q"]).collect()}
+    want = {}
+    for i, c in enumerate("pq"):
+        want |= {(c, v): k for k, v in enumerate(sorted({r[i] for r in rows if r[i]}))}
+    assert got == want
 
 
 def test_expansion_table(spark):
     df = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None)], "p string, q string")
-    rows = by_key(encode.expansion_table(df, encode.OneHot().fit(df).mapping), "column")
+    rows = by_key(encode.expansion_table(df, encode.OneHot().fit(df).widths), "column")
     assert tuple(rows["p"]) == ("p", 3, 2, pytest.approx(2 / 3))
     assert tuple(rows["q"]) == ("q", 1, 0, 0.0)
     assert tuple(rows["TOTAL"]) == ("TOTAL", 4, 2, 0.5)
@@ -102,10 +135,10 @@ def test_feature_chain_order_and_log(companies):
     )
     assert [t["type"] for t in info.transformations] == ["one_hot_encoding", "normalization", "interactions", "polynomials"]
     assert info.column_change == 5 and out.columns[-2:] == ["market_cap_x_revenue", "revenue_pow_2"]
-    row = out.agg(F.avg("country_US"), F.stddev_pop("country_US"), F.avg("revenue_pow_2")).first()
+    row = out.agg(F.avg("country_south"), F.stddev_pop("country_south"), F.avg("revenue_pow_2")).first()
     assert row[0] == pytest.approx(0, abs=1e-6) and row[1] == pytest.approx(1, abs=1e-6) and row[2] == pytest.approx(1)
     assert set(info.common_numeric) == {"market_cap", "revenue"}
-    compared = by_key(compare_distributions(companies, out, "company_id", ["revenue"]), "variable")
+    compared = by_key(compare_distributions(companies, out, ["revenue"]), "variable")
     assert compared["revenue"]["transformed_mean"] == pytest.approx(0, abs=1e-9)
 
 
@@ -183,3 +216,13 @@ def test_variance_and_sizes(small):
     sizes = by_key(profile.size_profile(small), "variable")
     assert sizes["rating"]["bytes"] == 7 and sizes["social_score"]["bytes"] == 32
     assert by_key(profile.dtype_counts(small), "dtype")["double"]["columns"] == 4
+
+
+def test_default_pairs_and_polynomials_in_the_feature_chain(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0, 5.0), (2, 4.0, 1.0, 2.0)], "k int, a_ratio double, b_ratio double, c_yield double")
+    out, info = engineer_features(df, exclude=["k"], one_hot=False, interactions="default", polynomials="default")
+    assert [t["type"] for t in info.transformations] == ["interactions", "polynomials"]
+    pairs = encode.default_interaction_pairs(["a_ratio", "b_ratio", "c_yield"])
+    assert info.transformations[0]["interactions"] == [list(p) for p in pairs] and ("a_ratio", "b_ratio") in pairs
+    assert info.transformations[1]["columns"] == encode.default_polynomial_columns(["a_ratio", "b_ratio", "c_yield"])
+    assert [r.a_ratio_x_b_ratio for r in out.orderBy("k").collect()] == [6.0, 4.0]

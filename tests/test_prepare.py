@@ -76,6 +76,29 @@ def test_learners_fit_into_a_spark_ml_chain(companies):
     assert row[0] == 0 and row[1] == 1 and row[2] > 0
 
 
+def test_identifiers_are_no_features(companies):
+    tagged = companies.withColumn("tag", F.concat(F.lit("t"), "company_id")).withColumn("isin", F.col("country"))
+    out = prepare(tagged, CFG)
+    assert out.identifiers == ["tag", "isin"] and "tag" not in out.tree.columns and "isin" not in out.tree.columns
+    assert not [c for c in out.linear.columns if c.startswith(("tag_", "isin_"))]
+    kept = prepare(tagged, Config("company_id", "gics_sector", "social_score", identifier_share=None, one_hot_output="vector"))
+    assert "tag" in kept.tree.columns and {"tag_vector", "country_vector"} <= set(kept.linear.columns)
+    assert kept.linear.select("tag_vector").first()[0].size == 999
+
+
+def test_forest_stage_of_the_chain(companies):
+    out = prepare(companies, Config("company_id", "gics_sector", "social_score", forest_contamination=0.02))
+    table = out.table
+    flagged = table.where("forest_outlier = 1")
+    assert flagged.count() == 20
+    mean = out.table.agg(F.avg("revenue")).first()[0]
+    assert [r[0] for r in flagged.select("forest_mod_revenue").distinct().collect()] == pytest.approx([mean])
+    assert table.where("forest_outlier = 0 and forest_mod_revenue <> revenue").isEmpty()
+    assert not [c for c in out.linear.columns if c.startswith(("forest", "anomaly"))]
+    # The same chain, forest included, on new rows.
+    assert out.apply(companies.limit(30)).select("forest_outlier", "forest_mod_revenue").count() == 30
+
+
 def test_sequential_chain(small):
     out = chain(small, [lambda d: d.where("company_id > 1"), lambda d: d.select("company_id")])
     assert sorted(r[0] for r in out.collect()) == [2, 3, 4, 5]

@@ -69,3 +69,27 @@ def test_target_guard(small):
 def test_range_violations(small):
     row = schema.range_violations(small, "environmental_score", 0, 50).first()
     assert (row.violations, row.minimum, row.maximum) == (1, 20.0, 55.0)
+
+
+def test_types_of_text(spark):
+    rows = [
+        ("1", "1.5", "true", "2024-01-31", "2024-01-31 10:00:00", "007", "1", "x", None, "", "9999999999999999999999", "1d"),
+        (" -20 ", ".5", "FALSE", "2023-12-01", "2024-01-31", "12", "n/a", "y", None, " ", "1", "2"),
+        (None, "1e3", "", None, "", "3", "2", None, None, None, "2", "3"),
+    ]
+    names = "whole real flag day time code mixed text none blank wide java".split()
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    assert schema.text_types(df) == dict(
+        whole="bigint", real="double", flag="boolean", day="date", time="timestamp", code="string", mixed="string", text="string",
+        none="string", blank="string", wide="double", java="string",
+    )
+    out = schema.type_strings(df)
+    assert [f.dataType.simpleString() for f in out.schema][:5] == ["bigint", "double", "boolean", "date", "timestamp"]
+    assert [tuple(r)[:3] for r in out.collect()] == [(1, 1.5, True), (-20, 0.5, False), (None, 1000.0, None)]
+    assert schema.type_strings(df, ["code"]).columns == names and schema.text_types(df.select()) == {}
+
+
+def test_identifier_columns(spark):
+    df = spark.range(500).selectExpr("concat('u', id) AS uid", "concat('g', id % 400) AS mostly", "concat('c', id % 9) AS kind", "cast(null AS string) AS none")
+    assert schema.identifier_columns(df, df.columns) == ["uid"]
+    assert schema.identifier_columns(df, df.columns, 0.5) == ["uid", "mostly"] and schema.identifier_columns(df, []) == []
