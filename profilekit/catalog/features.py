@@ -294,12 +294,12 @@ def yj_sql(x: str, lam: str) -> str:
     )
 
 
-def llf_sql(source: str, column: str) -> str:
-    """``(lam, llf)`` over the fixed grid."""
+def llf_sql(source: str, column: str, steps: str = "range(-20, 21)", per_unit: int = 10) -> str:
+    """``(lam, llf)`` over a grid, the fixed one unless others are given."""
     return f"""SELECT lam, -0.5 * count(*) * ln(var_pop({yj_sql('x', 'lam')}))
       + (lam - 1) * sum(sign(x) * ln(1 + abs(x))) AS llf
     FROM (SELECT {column} AS x FROM {source} WHERE {column} IS NOT NULL),
-      (SELECT round(-2.0 + 0.1 * unnest(range(41)), 1)::DOUBLE AS lam) GROUP BY lam"""
+      (SELECT (unnest({steps}) / {per_unit}.0)::DOUBLE AS lam) GROUP BY lam"""
 
 
 @query(
@@ -341,10 +341,22 @@ def yj_fit_transform_grid(spark, sf_dir):
     return rounded(power.YeoJohnson(["value"], grid=power.GRID).fit_transform(events).drop("value"))
 
 
-@query("yj_fit_parameters")
+def yj_fitted_sql(column: str) -> str:
+    """The best of all lambdas with two decimals, and the moments of the transformed column."""
+    return f"""SELECT '{column}' AS variable, {rd('any_value(lam)', 4)} AS lambda, {rd('any_value(median)', 4)} AS median, {rd('avg(y)', 4)} AS mean,
+      {rd('stddev_pop(y)', 4)} AS std FROM (SELECT lam, median, {yj_sql('x', 'lam')} AS y
+        FROM (SELECT *, coalesce({column}, median) AS x FROM ev, (SELECT quantile_cont({column}, 0.5) AS median FROM ev)),
+        (SELECT arg_max(lam, llf) AS lam FROM ({llf_sql('f_' + column, 'x', 'range(-200, 401)', 100)})))"""
+
+
+@query(
+    "yj_fit_parameters",
+    f"""WITH {cte('ev')}, {', '.join(f"f_{c} AS (SELECT coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM ev)) AS x FROM ev)" for c in ('value', 'score'))}
+    {yj_fitted_sql('value')} UNION ALL {yj_fitted_sql('score')}""",
+)
 def yj_fit_parameters(spark, sf_dir):
     events = planted(spark, sf_dir, "ev").select("value", "score")
-    return rounded(power.YeoJohnson(["value", "score"]).fit(events).table(spark), 4)
+    return rounded(power.YeoJohnson(["value", "score"], digits=2).fit(events).table(spark), 4)
 
 
 # --- profiles ----------------------------------------------------------------------
@@ -502,7 +514,8 @@ TYPED = {
 @query(
     "typed_strings",
     f"""WITH t AS (SELECT {', '.join(f'{e} AS {c}' for c, e in TYPED.items())} FROM events)
-    SELECT whole::BIGINT AS whole, real::DOUBLE AS real, nullif(flag, '')::BOOLEAN AS flag, code, mixed FROM t""",
+    SELECT whole::BIGINT AS whole, real::DOUBLE AS real, coalesce(nullif(flag, '')::BOOLEAN::INTEGER, -1) AS flag, code, mixed FROM t""",
 )
 def typed_strings(spark, sf_dir):
-    return schema.type_strings(table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {c}" for c, e in TYPED.items()]))
+    typed = schema.type_strings(table(spark, sf_dir, "events").selectExpr(*[f"{e} AS {c}" for c, e in TYPED.items()]))
+    return typed.withColumn("flag", F.when(~F.col("flag"), 0).when(F.col("flag"), 1).otherwise(-1))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from profilekit.catalog.features import PRIORITIES, STATUSES, dummies, yj_sql
+from profilekit.catalog.features import PRIORITIES, STATUSES, dummies, llf_sql, yj_sql
 from profilekit.catalog.registry import cte, planted, query, rd, rounded, table
 from profilekit.config import Config
 from profilekit.operators import assemble, profile, scale, schema
 from profilekit.operators.encode import OneHot
-from profilekit.operators.power import YeoJohnson
+from profilekit.operators.power import GRID, YeoJohnson
 from profilekit.plans.prepare import prepare
 from profilekit.sources.sinks import split_by_type
 
@@ -128,12 +128,35 @@ def attach_columns(spark, sf_dir):
     return assemble.attach_columns(base, known, "c_custkey", ["c_acctbal"])
 
 
-@query("prepared_tree_table")
+PREPARED = {
+    "p_size": "CASE WHEN (p_partkey * 31) % 10 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END",
+    "p_retailprice": "CASE WHEN (p_partkey * 17) % 10 < 2 THEN NULL ELSE p_retailprice END",
+}
+# A string with a value of its own in each row is an identifier, not a feature.
+IDENTIFIER = "concat('part ', p_partkey)"
+
+
+def prepared_sql() -> str:
+    fills = {
+        "p_size": "coalesce(p_size, round_even(coalesce(gs, (SELECT avg(p_size) FROM src)), 0)::BIGINT)",
+        "p_retailprice": "coalesce(p_retailprice, gp, (SELECT avg(p_retailprice) FROM src))",
+    }
+    parts = [
+        f"""{c}_y AS (SELECT p_partkey, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS z FROM (SELECT p_partkey, {yj_sql(f'{c}::DOUBLE', 'lam')} AS y
+        FROM filled, (SELECT arg_max(lam, llf) AS lam FROM ({llf_sql('filled', f'{c}::DOUBLE')}))))"""
+        for c in PREPARED
+    ]
+    return f"""WITH src AS (SELECT p_partkey, p_brand, p_type, {', '.join(f'{e} AS {c}' for c, e in PREPARED.items())} FROM part),
+    g AS (SELECT p_brand, avg(p_size) AS gs, avg(p_retailprice) AS gp FROM src GROUP BY p_brand),
+    filled AS (SELECT p_partkey, p_brand, p_type, {', '.join(f'{e} AS {c}' for c, e in fills.items())} FROM src JOIN g USING (p_brand)),
+    {', '.join(parts)}
+    SELECT p_partkey, p_size, {rd('p_retailprice')} AS p_retailprice, {rd('s.z')} AS yeo_joh_p_size, {rd('r.z')} AS yeo_joh_p_retailprice,
+      p_brand, p_type FROM filled JOIN p_size_y s USING (p_partkey) JOIN p_retailprice_y r USING (p_partkey)"""
+
+
+@query("prepared_tree_table", prepared_sql())
 def prepared_tree_table(spark, sf_dir):
-    """The whole chain over the parts table: fill, flags, power transform, native categories."""
-    source = table(spark, sf_dir, "part").selectExpr(
-        "p_partkey", "p_brand", "p_type",
-        "CASE WHEN (p_partkey * 31) % 10 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END AS p_size",
-        "CASE WHEN (p_partkey * 17) % 10 < 2 THEN NULL ELSE p_retailprice END AS p_retailprice",
-    )
-    return prepare(source, Config(key="p_partkey", group_col="p_brand")).tree
+    """The whole chain over the parts table: fill, flags, forest, power transform, identifiers out, native categories."""
+    columns = ["p_partkey", "p_brand", "p_type", f"{IDENTIFIER} AS label", *[f"{e} AS {c}" for c, e in PREPARED.items()]]
+    source = table(spark, sf_dir, "part").selectExpr(*columns)
+    return rounded(prepare(source, Config(key="p_partkey", group_col="p_brand", lambda_grid=GRID, forest_contamination=0.05)).tree)

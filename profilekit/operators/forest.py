@@ -7,9 +7,7 @@ that grows with the data reaches one task, the driver or a broadcast.
 
 from __future__ import annotations
 
-import json
 import math
-import os
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -25,9 +23,11 @@ from profilekit.operators.base import Fitted, Learner
 from profilekit.operators.moments import column_moments
 from profilekit.operators.profile import histogram
 from profilekit.operators.quantiles import column_quantiles
-from profilekit.operators.schema import numeric_columns
+from profilekit.operators.schema import null_if_nan, numeric_columns
 from profilekit.operators.trees import NodeArrays, average_path, grow_tree
 from profilekit.runtime import col
+from profilekit.sources.readers import read_params
+from profilekit.sources.sinks import write_manifest
 
 # Trees x rows per tree. Keeps the node arrays at a few tens of megabytes.
 MAX_SAMPLED_ROWS = 1_000_000
@@ -207,19 +207,28 @@ class ForestModel(Fitted):
         return self._per_batch(spark, "array<double>", lambda forest, x: list(forest.attributions(x)))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        distance = F.col("__score") - F.lit(float(self.threshold))
         scored = dataset.withColumn("__score", self.score(dataset.sparkSession))
+        return self.flagged(scored, F.col("__score")).drop("__score")
+
+    def flagged(self, scored: DataFrame, score: Column) -> DataFrame:
+        """``scored`` with the model's columns, from its scores."""
+        distance = score - F.lit(float(self.threshold))
         outlier = distance > 0
         if self.label == "sign":
-            flag, score = F.when(outlier, -1).otherwise(1), -distance
+            flag, anomaly = F.when(outlier, -1).otherwise(1), -distance
         else:
-            flag, score = outlier.cast("int"), distance
+            flag, anomaly = outlier.cast("int"), distance
         added = {self.flag_column: flag}
         if self.score_column:
-            added[self.score_column] = score
+            added[self.score_column] = anomaly
         if self.label == "sign" and self.score_column:
             added["predicted_outlier"] = flag
-        return scored.withColumns(added).drop("__score")
+        return scored.withColumns(added)
+
+    def paths(self, spark) -> Column:
+        """The nodes that a row passes, as one array of structs per row: its splits in every tree, and the leaf of every tree."""
+        kind = "array<struct<tree:int,step:int,feature:int,threshold:double,value:double,side:string,rest:double>>"
+        return self._per_batch(spark, kind, lambda forest, x: forest.paths(x))
 
     def nodes_table(self, spark) -> DataFrame:
         """``(tree, feature, size)`` of all splitting nodes."""
@@ -231,6 +240,58 @@ class ForestModel(Fitted):
         return spark.createDataFrame(pdf, "tree int, feature string, size int")
 
 
+def transform_together(df: DataFrame, models: Sequence[ForestModel]) -> DataFrame:
+    """``df`` with the columns of several forests, all scored by one function over the union of their features.
+
+    Only raw feature columns go to the Python workers, each once; filling and scaling are done there.
+    """
+    df = null_if_nan(df)
+    spark = df.sparkSession
+    columns = list(dict.fromkeys(c for m in models for c in m.features.columns))
+    shipped = [m._shipped(spark) for m in models]
+    trees = [m.trees for m in models]
+    picks = [[columns.index(c) for c in m.features.columns] for m in models]
+    nan = float("nan")
+    fills, shifts, divisors = [], [], []
+    for m in models:
+        means = np.array([nan if m.features.means[c] is None else m.features.means[c] for c in m.features.columns])
+        fills.append(means if m.features.fill else np.full(len(means), nan))
+        shifts.append(means if m.features.scale else np.zeros(len(means)))
+        divisors.append(np.array([m.features.divisors[c] if m.features.scale else 1.0 for c in m.features.columns]))
+
+    @F.pandas_udf("array<double>")
+    def scores(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        forests = [NodeArrays(**s.value) for s in shipped]
+        for batch in batches:
+            parts = [batch] if isinstance(batch, pd.Series) else batch
+            raw = np.column_stack([c.to_numpy(dtype=float, na_value=np.nan) for c in parts])
+            out = np.empty((len(raw), len(forests)))
+            for i, forest in enumerate(forests):
+                x = raw[:, picks[i]]
+                x = (np.where(np.isnan(x), fills[i], x) - shifts[i]) / divisors[i]
+                out[:, i] = forest.scores(x, [trees[i]])[:, 0]
+            yield pd.Series(list(out))
+
+    scored = df.withColumn("__scores", scores(*[col(c).cast("double") for c in columns]))
+    for i, m in enumerate(models):
+        scored = m.flagged(scored, F.col("__scores")[i])
+    return scored.drop("__scores")
+
+
+def decision_paths(df: DataFrame, model: ForestModel, key: str) -> DataFrame:
+    """``(key, tree, step, feature, threshold, value, side, rest)``: how the rows of ``df`` come to their scores.
+
+    A row for each split that a row passes, with the value it is asked for, and one for the leaf of each tree (``side`` is
+    ``leaf``), where ``step`` is the number of splits before and ``rest`` the mean path that the rows of the leaf would still
+    take. Over the trees, the mean of ``step + rest`` at the leaves is the path length of the row. Thresholds and values are
+    in the unit of the model's features, after filling and scaling.
+    """
+    names = F.array(*[F.lit(c) for c in model.features.columns])
+    nodes = null_if_nan(df).select(col(key), model.paths(df.sparkSession).alias("nodes")).select(col(key), F.inline("nodes"))
+    named = F.when(F.col("feature") >= 0, F.get(names, F.col("feature"))).alias("feature")
+    return nodes.select(col(key), "tree", "step", named, "threshold", "value", "side", "rest")
+
+
 class IsolationForest(Learner):
     """Fit trees and, for a numeric ``contamination``, the score threshold.
 
@@ -479,17 +540,14 @@ def tuned_forest(
     **options,
 ) -> tuple[ForestModel, dict]:
     """Forest with parameters from a file, else from a grid search, else the defaults. Returns model and parameters."""
-    if params_file is not None and os.path.exists(params_file):
-        with open(params_file, encoding="utf-8") as f:
-            params = json.load(f)
-    elif tune:
+    spark = df.sparkSession
+    params = read_params(spark, params_file, {}) if params_file is not None else {}
+    if not params and tune:
         table = search_grid(df, key, features, silhouette=objective == "silhouette", **(grid or {}))
         params = best_params(table, objective)
         if params_file is not None:
-            with open(params_file, "w", encoding="utf-8") as f:
-                json.dump(params, f)
-    else:
-        params = dict(DEFAULT_PARAMS)
+            write_manifest(spark, params, params_file)
+    params = params or dict(DEFAULT_PARAMS)
     return IsolationForest(key, features, **{**params, **options}).fit(df), params
 
 

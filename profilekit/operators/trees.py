@@ -113,6 +113,23 @@ class NodeArrays:
     def scores(self, x: np.ndarray, prefixes) -> np.ndarray:
         return np.exp2(-self.path_lengths(x, prefixes) / self.normaliser)
 
+    def paths(self, x: np.ndarray) -> list[list[tuple]]:
+        """For each row its splits and leaves: (tree, step, feature, threshold, value, side, rest of the path)."""
+        out: list[list[tuple]] = [[] for _ in range(len(x))]
+        for tree in range(len(self.roots)):
+            step = np.zeros(len(x), dtype=int)
+            last = np.full(len(x), self.roots[tree])
+            for node, tested, after in self.walk(x, tree):
+                # A leaf leads to itself.
+                for i in np.flatnonzero(after != node):
+                    side = "right" if after[i] > self.left[node[i]] else "left"
+                    out[i].append((tree, int(step[i]), int(tested[i]), float(self.threshold[node[i]]), float(x[i, tested[i]]), side, None))
+                step += after != node
+                last = after
+            for i, leaf in enumerate(last):
+                out[i].append((tree, int(step[i]), -1, None, None, "leaf", float(self.expected[leaf] - step[i])))
+        return out
+
     def attributions(self, x: np.ndarray) -> np.ndarray:
         """Change of the expected path length, credited to the feature tested at each step."""
         out = np.zeros(x.shape)

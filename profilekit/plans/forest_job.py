@@ -59,4 +59,4 @@ def run_forest_job(
         df, key, columns, params_file=params_file, tune=tune, grid=grid,
         label="sign", flag_column="forest_outlier_tuned",
     )
-    return ForestJob(standard, tuned, params, tuned.transform(standard.transform(df)))
+    return ForestJob(standard, tuned, params, forest.transform_together(df, [standard, tuned]))

@@ -226,3 +226,40 @@ def test_default_pairs_and_polynomials_in_the_feature_chain(spark):
     assert info.transformations[0]["interactions"] == [list(p) for p in pairs] and ("a_ratio", "b_ratio") in pairs
     assert info.transformations[1]["columns"] == encode.default_polynomial_columns(["a_ratio", "b_ratio", "c_yield"])
     assert [r.a_ratio_x_b_ratio for r in out.orderBy("k").collect()] == [6.0, 4.0]
+
+
+def plain_llf(x, lam):
+    y = np.where(x >= 0, np.log1p(np.abs(x)) if lam == 0 else np.expm1(lam * np.log1p(np.abs(x))) / (lam or 1),
+                 -np.log1p(np.abs(x)) if lam == 2 else -np.expm1((2 - lam) * np.log1p(np.abs(x))) / ((2 - lam) or 1))
+    return -0.5 * len(x) * np.log(y.var()) + (lam - 1) * float((np.sign(x) * np.log1p(np.abs(x))).sum())
+
+
+@pytest.mark.parametrize("case", ["far below", "far above", "mixed", "narrow"])
+def test_fitted_lambda_is_the_top_wherever_it_lies(spark, case):
+    rng = np.random.default_rng(3)
+    x = {
+        "far below": 1 - 1e-3 * rng.lognormal(0, 0.4, 400), "far above": -(1 - 1e-3 * rng.lognormal(0, 0.4, 400)),
+        "mixed": rng.normal(-1, 3, 400), "narrow": 5000 + rng.lognormal(0, 1, 400),
+    }[case]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").coalesce(1)
+    lam = power.fit_lambdas(df, {"x": F.col("x")})["x"]
+    likelihood = power.Likelihood(df, {"x": F.col("x")})
+    step = 0.01 * max(1.0, abs(lam))
+    likelihood.add({"x": [lam - step, lam, lam + step]})
+    below, at, above = (likelihood.known["x"][v] for v in (lam - step, lam, lam + step))
+    assert at > below and at > above
+    if case == "mixed":
+        assert at == pytest.approx(plain_llf(x, lam), rel=1e-6)
+        # The most likely number of two decimals.
+        assert power.fit_lambdas(df, {"x": F.col("x")}, digits=2)["x"] == pytest.approx(lam, abs=0.0051)
+    else:
+        assert abs(lam) > 32
+
+
+def test_lambda_beyond_the_range_of_doubles(spark):
+    """The plain variance of these candidates overflows."""
+    df = spark.createDataFrame([(float(v),) for v in (1e5, 2e5, 3e5, -1e5)], "x double")
+    llf = {r["lambda"]: r.llf for r in power.lambda_grid(df, ["x"], [1.0, 90.0, -90.0]).collect()}
+    assert all(np.isfinite(v) for v in llf.values()) and llf[1.0] > max(llf[90.0], llf[-90.0])
+    none = spark.createDataFrame([(3.0, None), (3.0, None)], "x double, y double")
+    assert power.fit_lambdas(none, {"x": F.col("x"), "y": F.col("y").cast("double")}) == {"x": 1.0, "y": 1.0}

@@ -11,6 +11,7 @@ from profilekit.operators import forest
 from profilekit.operators.trees import NodeArrays, average_path, grow_tree
 from profilekit.plans.analysis import analyse_outliers
 from profilekit.plans.forest_job import forest_features, run_forest_job
+from profilekit.sources.readers import read_params
 
 
 @pytest.fixture(scope="module")
@@ -177,7 +178,9 @@ def test_tuned_parameters_from_file(points, tmp_path):
     assert model.trees == 12 and model.per_tree == 64 and params["contamination"] == 0.1
     written = tmp_path / "new.json"
     forest.tuned_forest(points, "k", ["x", "y"], str(written), grid={"n_trees": (5,), "contamination": (0.05,)})
-    assert json.loads(written.read_text())["n_trees"] == 5
+    assert read_params(points.sparkSession, str(written))["n_trees"] == 5
+    again, _ = forest.tuned_forest(points, "k", ["x", "y"], str(written), tune=False)
+    assert again.trees == 5
     _, defaults = forest.tuned_forest(points, "k", ["x", "y"], tune=False, n_trees=5)
     assert defaults == forest.DEFAULT_PARAMS
 
@@ -207,3 +210,39 @@ def test_whole_outlier_analysis_with_tuning(points, monkeypatch):
     counts = by_key(result.forest_counts, "variable")
     assert counts["x"]["outliers"] >= counts["y"]["outliers"] > 0
     assert result.tuned_params["n_trees"] in (50, 100, 200)
+
+
+def test_decision_paths_add_up(points):
+    model = small_forest().fit(points)
+    rows = points.where("k % 50 = 1 or k > 5003")
+    paths = forest.decision_paths(rows, model, "k").collect()
+    assert paths[0].asDict().keys() == {"k", "tree", "step", "feature", "threshold", "value", "side", "rest"}
+    lengths = {r.k: r.length for r in rows.select("k", model.path_length(points.sparkSession).alias("length")).collect()}
+    leaves, splits = {}, {}
+    for p in paths:
+        if p.side == "leaf":
+            assert p.feature is None and p.threshold is None and p.value is None
+            leaves.setdefault(p.k, {})[p.tree] = p.step + p.rest
+            splits.setdefault((p.k, p.tree), []).append((p.step, None))
+        else:
+            assert p.feature in ("x", "y") and p.rest is None and p.side == ("left" if p.value <= p.threshold else "right")
+            splits.setdefault((p.k, p.tree), []).append((p.step, p.feature))
+    assert set(leaves) == set(lengths)
+    for k, trees in leaves.items():
+        assert len(trees) == 40 and np.mean(list(trees.values())) == pytest.approx(lengths[k], rel=1e-12)
+    # The splits of a row in a tree are numbered without gaps, the leaf last.
+    for steps in splits.values():
+        assert sorted(s for s, _ in steps) == list(range(len(steps)))
+
+
+def test_forests_together_equal_each_by_itself(points):
+    first = small_forest(flag_column="a", score_column="sa").fit(points)
+    second = forest.IsolationForest("k", ["y"], n_trees=15, contamination=0.05, scale=False, fill=False, label="sign", flag_column="b", score_column="sb", seed=5).fit(points)
+    together = forest.transform_together(points, [first, second])
+    apart = second.transform(first.transform(points))
+    assert together.columns == apart.columns
+    a, b = by_key(together, "k"), by_key(apart, "k")
+    for k, r in a.items():
+        assert (r.a, r.b) == (b[k].a, b[k].b) and (r.sa, r.sb) == pytest.approx((b[k].sa, b[k].sb), abs=1e-9)
+    plan = together.select("k", "a", "b", "sa", "sb")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
