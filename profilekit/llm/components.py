@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from profilekit import runtime
 from profilekit.runtime import cut_lineage
 
+# Classes that are sent to workers have methods that name these modules.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+cloudpickle.register_pickle_by_value(runtime)
+
 
 def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``node`` and ``component`` (one of its nodes) for every node with an edge to another one.

@@ -5,8 +5,7 @@ pages of the site; a line above a ratio on enough pages is boilerplate and is
 dropped from the site's pages. Everything is DataFrame operations.
 
 Pages with the same text count once, so copies of a page don't make its lines
-boilerplate. A page most of which would go is a copy rather than a template's
-page: it stays whole for near-duplicate detection.
+boilerplate.
 """
 
 from __future__ import annotations
@@ -19,8 +18,8 @@ from profilekit.runtime import cut_lineage, hint_if_small, quoted
 
 #: A line is boilerplate on more than this share of a site's pages, and on as many pages at least.
 MOST_RATIO, LEAST_PAGES = 0.05, 3
-#: Of a page's characters, boilerplate may be this share; beyond it the page stays whole.
-MOST_OF_PAGE = 0.5
+#: White space at the ends of a line, which is left out when lines are compared; line ends of CR LF are part of it.
+WHITE = " \t\r\x0b\x0c"
 
 
 def host_of(url: Column) -> Column:
@@ -32,8 +31,12 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(WHITE))
+
+
 def blank(line: Column) -> Column:
-    return F.length(F.trim(line)) == 0
+    return F.length(bare(line)) == 0
 
 
 def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", most_ratio: float = MOST_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
@@ -51,7 +54,7 @@ def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", most
     )
     totals = rows.select("site", "no_site", "page").distinct().groupBy("site", "no_site").agg(F.count("*").alias("n_site"))
     totals = cut_lineage(totals)
-    lines = rows.select("site", "no_site", "page", F.explode(F.array_distinct(F.transform("lines", lambda line: F.trim(line)))).alias("line")).where(F.length("line") > 0)
+    lines = rows.select("site", "no_site", "page", F.explode(F.array_distinct(F.transform("lines", lambda line: bare(line)))).alias("line")).where(F.length("line") > 0)
     held = lines.groupBy("site", "no_site", F.xxhash64("line").alias("key"), "page").agg(F.count("*").alias("k"))
     n = held.groupBy("site", "no_site", "key").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= least_pages)
     ratio = F.col("n_pages") / F.col("n_site")
@@ -59,12 +62,11 @@ def boilerplate(pages: DataFrame, site: str = "source", text: str = "text", most
     return found.select("site", "no_site", "key", "n_pages", "n_site", "ratio")
 
 
-def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text", most_ratio: float = MOST_RATIO, least_pages: int = LEAST_PAGES, most_of_page: float = MOST_OF_PAGE) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text", most_ratio: float = MOST_RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
     """``pages`` with boilerplate lines dropped from ``text``, and ``n_lines``, ``n_dropped`` (columns of these names are replaced).
 
-    A page that would lose more than ``most_of_page`` of its characters is left
-    as it is. Null texts stay null with no lines; every row stays, repeated rows
-    included. A site has at most (lines of a page / ``most_ratio``) such lines.
+    Null texts stay null with no lines; every row stays, repeated rows
+    included, also one that loses all its lines. A site has at most (lines of a page / ``most_ratio``) such lines.
     """
     found = cut_lineage(boilerplate(pages, site, text, most_ratio, least_pages))
     by_site = cut_lineage(found.groupBy("site", "no_site").agg(F.collect_list("key").alias("keys")))
@@ -76,16 +78,15 @@ def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text",
         "left",
     )
     lines = lines_of(F.col(quoted(text)))
-    stays = lambda line: blank(line) | ~F.array_contains("join keys", F.xxhash64(F.trim(line)))
+    stays = lambda line: blank(line) | ~F.array_contains("join keys", F.xxhash64(bare(line)))
     kept = F.when(F.col("join keys").isNull(), lines).otherwise(F.filter(lines, stays))
     out = out.withColumn("join lines", lines).withColumn("join kept", kept)
     rest = F.array_join("join kept", "\n")
-    whole = F.length(rest) < (1 - most_of_page) * F.length(F.col(quoted(text)))
     dropped = F.size("join lines") - F.size("join kept")
     n_lines = F.when(F.col(quoted(text)).isNull(), 0).otherwise(F.size("join lines"))
-    new = F.when((dropped == 0) | whole | F.col(quoted(text)).isNull(), F.col(quoted(text))).otherwise(rest)
+    new = F.when((dropped == 0) | F.col(quoted(text)).isNull(), F.col(quoted(text))).otherwise(rest)
     return out.select(
         *[new.alias(c) if c == text else F.col(quoted(c)) for c in columns],
         n_lines.alias("n_lines"),
-        F.when(whole, 0).otherwise(dropped).alias("n_dropped"),
+        dropped.alias("n_dropped"),
     )

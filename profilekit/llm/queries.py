@@ -91,24 +91,23 @@ def op9_site_lines(spark, sf_dir):
     )
 
 
+BARE = "trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
 ORACLES["op9_site_lines"] = f"""
 WITH pages AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 totals AS (SELECT source, count(DISTINCT text) AS n_site FROM pages GROUP BY source),
 held AS (
   SELECT source, line, count(DISTINCT text) AS n_pages
-  FROM (SELECT source, text, unnest(list_distinct(list_transform(lines, lambda x: trim(x)))) AS line FROM pages)
+  FROM (SELECT source, text, unnest(list_distinct(list_transform(lines, lambda x: {BARE}))) AS line FROM pages)
   WHERE length(line) > 0 GROUP BY source, line),
 boilerplate AS (
   SELECT source, list(line) AS bad FROM held JOIN totals USING (source)
   WHERE n_pages >= {linededup.LEAST_PAGES} AND n_pages / n_site > {linededup.MOST_RATIO} GROUP BY source),
 kept AS (
-  SELECT p.*, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, trim(x)) OR trim(x) = '') END AS rest
-  FROM pages p LEFT JOIN boilerplate USING (source)),
-joined AS (SELECT *, array_to_string(rest, chr(10)) AS new_text FROM kept)
-SELECT doc_id, source, len(lines)::BIGINT AS n_lines,
-  (CASE WHEN length(new_text) < {1 - linededup.MOST_OF_PAGE} * length(text) THEN 0 ELSE len(lines) - len(rest) END)::BIGINT AS n_dropped,
-  CASE WHEN length(new_text) < {1 - linededup.MOST_OF_PAGE} * length(text) OR len(lines) = len(rest) THEN text ELSE new_text END AS text
-FROM joined"""
+  SELECT p.*, CASE WHEN bad IS NULL THEN lines ELSE list_filter(lines, lambda x: NOT list_contains(bad, {BARE}) OR {BARE} = '') END AS rest
+  FROM pages p LEFT JOIN boilerplate USING (source))
+SELECT doc_id, source, len(lines)::BIGINT AS n_lines, (len(lines) - len(rest))::BIGINT AS n_dropped,
+  CASE WHEN len(lines) = len(rest) THEN text ELSE array_to_string(rest, chr(10)) END AS text
+FROM kept"""
 
 
 @query

@@ -142,12 +142,12 @@ def naive_lines(rows):
         pages[site].add(text)
     bad = defaultdict(set)
     for site, texts in pages.items():
-        held = Counter(line for t in texts for line in {x.strip(" ") for x in (t or "").split("\n")} if line)
+        held = Counter(line for t in texts for line in {x.strip(linededup.WHITE) for x in (t or "").split("\n")} if line)
         bad[site] = {x for x, n in held.items() if n >= linededup.LEAST_PAGES and n / len(texts) > linededup.MOST_RATIO}
     out = []
     for site, text in rows:
-        kept = "\n".join(x for x in (text or "").split("\n") if not x.strip(" ") or x.strip(" ") not in bad[site])
-        out.append(text if text is None or len(kept) < (1 - linededup.MOST_OF_PAGE) * len(text) else kept)
+        kept = "\n".join(x for x in (text or "").split("\n") if not x.strip(linededup.WHITE) or x.strip(linededup.WHITE) not in bad[site])
+        out.append(None if text is None else kept)
     return out
 
 
@@ -160,6 +160,12 @@ def test_site_lines_equal_plain_counts(documents):
     assert "Menu" not in got[1] and got[125] == "one\ntwo\nthree"
 
 
+def test_thin_pages_and_crlf(documents):
+    rows = [("s", f"HEADER LINE\r\nown {i}\r\n\r\nFOOTER\t\r\n") for i in range(21)]
+    got = [r.text for r in linededup.drop_boilerplate(documents(*[(i, t, s) for i, (s, t) in enumerate(rows)])).orderBy("doc_id").collect()]
+    assert got == [f"own {i}\r\n\r\n" for i in range(21)]
+
+
 def test_site_lines_equal_their_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")

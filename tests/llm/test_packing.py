@@ -14,13 +14,13 @@ from corpus_fixtures import documents, odd  # noqa: F401
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(VOCABULARY))
 
 
 WORDS = Words(VOCABULARY)
-TEXT = st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t  .,'sdé1<|endoftext|>")), max_size=80)
+TEXT = st.lists(
+    st.one_of(st.characters(codec="utf-8"), st.sampled_from([*" \n\t  .,'sdé1<|>", "<|endoftext|>", "endoftext|>", " word"])), max_size=60
+).map("".join)
 
 
 @settings(max_examples=400, deadline=None)
@@ -29,6 +29,11 @@ def test_ids_are_the_tokenizers(tokenizer, text):
     assert np.frombuffer(WORDS.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_in_texts(tokenizer):
+    assert np.frombuffer(WORDS.ids("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    assert WORDS.added.pattern and tokenizer.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
+
+
 def naive_fit(lengths, length, most_open):
     """Every open sequence is looked at."""
     bins, where, free = [], {}, {}
