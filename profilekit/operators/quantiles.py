@@ -2,8 +2,8 @@
 
 Of whole columns (:func:`column_quantiles`): one aggregation of the table counts and sketches all columns. The sketch's
 pivots enclose the wanted ranks; as literals of the plan they bracket them in a second aggregation, which counts below, at and
-between the pivots of every column and returns the few values between. Where those are too many to return, the bracket is
-sketched anew. Nothing is unpivoted, joined or shuffled but one row for each task.
+between the pivots of every column in generated code. A third scan returns the few values between; where they are too many,
+the bracket is sketched anew. Nothing is unpivoted, joined or shuffled but one row for each task.
 
 Of groups (:func:`grouped_quantiles`): while the input has at most ``DIRECT_ROWS`` rows, the values of a group are
 sorted in one array, which is several times faster than ``percentile`` and its
@@ -19,6 +19,8 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +32,9 @@ PIVOTS = 512
 SKETCH_ACCURACY = 10_000
 #: Values of a column's bracket that the driver sorts.
 SORT_ROWS = 20_000
-#: Sketch steps between a wanted rank and a pivot, and the most that two pivots can be apart.
-MARGIN, APART = 1.5, 6
+#: Size of a column's sketch, and the distance of a pivot from the wanted rank, three times the sketch's usual error. A pivot
+#: that misses costs another scan and nothing else.
+SKETCH_SIZE, MARGIN = 8000, 0.0015
 #: Brackets in one aggregation.
 BRACKETS_PER_SCAN = 150
 
@@ -71,10 +74,7 @@ def column_quantiles(
     for at in range(0, len(names), BRACKETS_PER_SCAN):
         part = names[at:at + BRACKETS_PER_SCAN]
         grid = [share for p in probs for share in _around(float(p), float(p))]
-        first = [
-            F.struct(F.count(exprs[n]).alias("n"), F.percentile_approx(exprs[n].cast("double"), grid, SKETCH_ACCURACY).alias("pivots")).alias(f"c{i}")
-            for i, n in enumerate(part)
-        ]
+        first = [F.struct(F.count(exprs[n]).alias("n"), _sketched(exprs[n].cast("double"), grid)).alias(f"c{i}") for i, n in enumerate(part)]
         row = df.agg(*first).first()
         for i, n in enumerate(part):
             sizes[n], pivots = row[f"c{i}"]["n"], row[f"c{i}"]["pivots"]
@@ -83,9 +83,14 @@ def column_quantiles(
                     _Bracket(n, _ranks(sizes[n], p), 0, sizes[n], pivots=(pivots[2 * k], pivots[2 * k + 1])) for k, p in enumerate(probs)
                 ]
     while brackets:
-        part, rest = brackets[:BRACKETS_PER_SCAN], brackets[BRACKETS_PER_SCAN:]
-        row = df.agg(*[F.struct(*b.aggregates(exprs[b.name].cast("double"), sort_rows)).alias(f"b{i}") for i, b in enumerate(part)]).first()
-        brackets = rest + [after for i, b in enumerate(part) for after in b.narrowed(row[f"b{i}"], found)]
+        # Brackets whose values are returned have a scan of their own, of the rows that lie in one.
+        brackets.sort(key=lambda b: b.returned(sort_rows))
+        returned = brackets[0].returned(sort_rows)
+        part = [b for b in brackets[:BRACKETS_PER_SCAN] if b.returned(sort_rows) == returned]
+        values = [exprs[b.name].cast("double") for b in part]
+        rows = df.where(reduce(or_, [b.inside(v) for b, v in zip(part, values)])) if returned else df
+        row = rows.agg(*[F.struct(*b.aggregates(v, sort_rows)).alias(f"b{i}") for i, (b, v) in enumerate(zip(part, values))]).first()
+        brackets = brackets[len(part):] + [after for i, b in enumerate(part) for after in b.narrowed(row[f"b{i}"], found)]
 
     def quantile(name: str, prob: float) -> float | None:
         if not sizes[name]:
@@ -105,7 +110,13 @@ def _ranks(n: int, prob: float) -> list[int]:
 
 def _around(low: float, high: float) -> list[float]:
     """Shares for a pivot below and one above."""
-    return [max(0.0, low - MARGIN / SKETCH_ACCURACY), min(1.0, high + MARGIN / SKETCH_ACCURACY)]
+    return [max(0.0, low - MARGIN), min(1.0, high + MARGIN)]
+
+
+def _sketched(value: Column, shares: Sequence[float]) -> Column:
+    sketch = F.kll_sketch_agg_double(value, F.lit(SKETCH_SIZE))
+    found = F.kll_sketch_get_quantile_double(sketch, F.array(*[F.lit(s) for s in shares]))
+    return F.when(F.count(value) > 0, found).alias("pivots")
 
 
 @dataclass
@@ -124,27 +135,28 @@ class _Bracket:
     hi: float | None = None
     pivots: tuple[float, float] | None = None
 
-    def _inside(self, value: Column) -> Column:
+    def returned(self, sort_rows: int) -> bool:
+        """Whether the next scan returns the values themselves."""
+        return self.pivots is None and self.rows <= sort_rows
+
+    def inside(self, value: Column) -> Column:
         keep = value.isNotNull()
         if self.lo is not None:
             keep = keep & (value > F.lit(self.lo))
         return keep if self.hi is None else keep & (value < F.lit(self.hi))
 
     def aggregates(self, value: Column, sort_rows: int) -> list[Column]:
-        inside = self._inside(value)
+        inside = self.inside(value)
+        if self.returned(sort_rows):
+            return [F.collect_list(F.when(inside, value)).alias("values")]
         if self.pivots is None:
-            if self.rows <= sort_rows:
-                return [F.collect_list(F.when(inside, value)).alias("values")]
             low, high = ((r - self.below + 0.5) / self.rows for r in (self.ranks[0], self.ranks[-1]))
-            return [F.percentile_approx(F.when(inside, value), _around(low, high), SKETCH_ACCURACY).alias("pivots")]
+            return [_sketched(F.when(inside, value), _around(low, high))]
         low, high = F.lit(self.pivots[0]), F.lit(self.pivots[1])
-        middle = inside & (value > low) & (value < high)
-        counts = [
+        return [
             F.count_if(inside & (value < low)).alias("lt"), F.count_if(inside & (value == low)).alias("at_low"),
-            F.count_if(middle).alias("mid"), F.count_if(inside & (value == high)).alias("at_high"),
+            F.count_if(inside & (value > low) & (value < high)).alias("mid"), F.count_if(inside & (value == high)).alias("at_high"),
         ]
-        apart = self.rows * (APART + (self.ranks[-1] - self.ranks[0]) * SKETCH_ACCURACY / self.rows) / SKETCH_ACCURACY
-        return [*counts, F.collect_list(F.when(middle, value)).alias("values")] if apart <= sort_rows else counts
 
     def narrowed(self, seen, found: dict[tuple[str, int], float]) -> list[_Bracket]:
         """What is left of the bracket after a scan; ranks that the scan answers go to ``found``."""
@@ -160,14 +172,11 @@ class _Bracket:
         sizes = [seen["lt"], seen["at_low"], seen["mid"], seen["at_high"] if high > low else 0]
         starts = [sum(sizes[:k]) + self.below for k in range(5)]
         bounds = {0: (self.lo, low), 2: (low, high), 4: (high, self.hi)}
-        values = sorted(seen["values"]) if "values" in seen else None
         parts: dict[int, list[int]] = {}
         for r in self.ranks:
             k = max(k for k in range(5) if starts[k] <= r)
             if k in (1, 3):
                 found[self.name, r] = low if k == 1 else high
-            elif k == 2 and values is not None:
-                found[self.name, r] = values[r - starts[2]]
             else:
                 parts.setdefault(k, []).append(r)
         rows = [*sizes, self.rows - sum(sizes)]

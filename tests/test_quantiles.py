@@ -42,9 +42,9 @@ def test_direct_matches_numpy(spark, values):
     ],
     ids=["skewed", "constant", "two values", "ties with middle", "nulls"],
 )
-@pytest.mark.parametrize("accuracy", [10_000, 40], ids=["fine sketch", "coarse sketch"])
-def test_selection_matches_numpy(spark, values, accuracy, monkeypatch):
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", accuracy)
+@pytest.mark.parametrize("size", [8000, 8], ids=["fine sketch", "coarse sketch"])
+def test_selection_matches_numpy(spark, values, size, monkeypatch):
+    monkeypatch.setattr(quantiles, "SKETCH_SIZE", size)
     for direct_rows in (100, 3):
         got = column_quantiles(frame(spark, values), {"x": F.col("x")}, PROBS, direct_rows=direct_rows)["x"]
         assert got == pytest.approx(expected(values), rel=1e-12)
@@ -68,10 +68,12 @@ def test_columns_take_no_unpivot_join_or_shuffle_of_rows(spark, monkeypatch):
     agg = kind.agg
     monkeypatch.setattr(kind, "agg", lambda self, *x: (lambda out: plans.append(out._jdf.queryExecution().executedPlan().toString()) or out)(agg(self, *x)))
     column_quantiles(df, {c: F.col(c) for c in df.columns}, [0.25, 0.5, 0.75])
-    assert len(plans) == 2
+    assert 2 <= len(plans) <= 3
     for plan in plans:
         assert "Join" not in plan and "Expand" not in plan and "Generate" not in plan and plan.count("Exchange") == 1
         assert "Exchange SinglePartition" in plan
+    # Counts are computed in generated code.
+    assert "ObjectHashAggregate" not in plans[1]
 
 
 def test_selection_with_a_hot_group(spark):
