@@ -35,6 +35,8 @@ SORT_ROWS = 20_000
 #: Size of a column's sketch, and the distance of a pivot from the wanted rank, three times the sketch's usual error. A pivot
 #: that misses costs another scan and nothing else.
 SKETCH_SIZE, MARGIN = 8000, 0.0015
+#: Rows of a bracket up to which the scan that counts also returns the values between the pivots, which saves the third scan.
+TOGETHER = 200_000
 #: Brackets in one aggregation.
 BRACKETS_PER_SCAN = 150
 
@@ -153,10 +155,12 @@ class _Bracket:
             low, high = ((r - self.below + 0.5) / self.rows for r in (self.ranks[0], self.ranks[-1]))
             return [_sketched(F.when(inside, value), _around(low, high))]
         low, high = F.lit(self.pivots[0]), F.lit(self.pivots[1])
-        return [
+        middle = inside & (value > low) & (value < high)
+        counts = [
             F.count_if(inside & (value < low)).alias("lt"), F.count_if(inside & (value == low)).alias("at_low"),
-            F.count_if(inside & (value > low) & (value < high)).alias("mid"), F.count_if(inside & (value == high)).alias("at_high"),
+            F.count_if(middle).alias("mid"), F.count_if(inside & (value == high)).alias("at_high"),
         ]
+        return [*counts, F.collect_list(F.when(middle, value)).alias("values")] if self.rows <= TOGETHER else counts
 
     def narrowed(self, seen, found: dict[tuple[str, int], float]) -> list[_Bracket]:
         """What is left of the bracket after a scan; ranks that the scan answers go to ``found``."""
@@ -172,11 +176,14 @@ class _Bracket:
         sizes = [seen["lt"], seen["at_low"], seen["mid"], seen["at_high"] if high > low else 0]
         starts = [sum(sizes[:k]) + self.below for k in range(5)]
         bounds = {0: (self.lo, low), 2: (low, high), 4: (high, self.hi)}
+        values = sorted(seen["values"]) if "values" in seen else None
         parts: dict[int, list[int]] = {}
         for r in self.ranks:
             k = max(k for k in range(5) if starts[k] <= r)
             if k in (1, 3):
                 found[self.name, r] = low if k == 1 else high
+            elif k == 2 and values is not None:
+                found[self.name, r] = values[r - starts[2]]
             else:
                 parts.setdefault(k, []).append(r)
         rows = [*sizes, self.rows - sum(sizes)]

@@ -45,7 +45,8 @@ def test_direct_matches_numpy(spark, values):
 @pytest.mark.parametrize("size", [8000, 8], ids=["fine sketch", "coarse sketch"])
 def test_selection_matches_numpy(spark, values, size, monkeypatch):
     monkeypatch.setattr(quantiles, "SKETCH_SIZE", size)
-    for direct_rows in (100, 3):
+    for direct_rows, together in ((100, 0), (3, 0), (100, 10_000)):
+        monkeypatch.setattr(quantiles, "TOGETHER", together)
         got = column_quantiles(frame(spark, values), {"x": F.col("x")}, PROBS, direct_rows=direct_rows)["x"]
         assert got == pytest.approx(expected(values), rel=1e-12)
 
@@ -63,6 +64,7 @@ def test_pivots_that_miss_the_rank_are_mended():
 
 def test_columns_take_no_unpivot_join_or_shuffle_of_rows(spark, monkeypatch):
     plans = []
+    monkeypatch.setattr(quantiles, "TOGETHER", 0)
     df = spark.range(5000).selectExpr("double(id * 7919 % 5003) a", "double(id % 13) b", "if(id % 3 = 0, null, sqrt(id)) c")
     kind = type(df)
     agg = kind.agg
