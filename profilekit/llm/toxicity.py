@@ -1,18 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A text is cut into clauses, and the words of a clause become symbols: insult,
-threat verb, target, negation, reporting verb, intention or other. Four small
-transducers then run over the symbols, each reading what the one before has
-written:
-
-1. ``negation``  turns an insult or threat shortly after a negation into a negated one;
-2. ``report``    does the same for one in reported speech;
-3. ``target``    marks an insult with a target near it (`you ... idiot`, `idiot ... you`);
-4. ``threat``    accepts person, intention, threat verb and target in this order.
-
-The clause's weight follows from the marks, and a text's score is the noisy-or
-of its clauses: ``1 - prod(1 - weight)``. A clause in which nothing matches
-weighs nothing, so isolated words of the grammar's frame count for nothing.
+threat verb, target, negation, reporting verb, intention, person or other. Small
+transducers rewrite them, each reading the tape that the one before has written:
+
+1. ``negation``  marks an insult or threat verb shortly after a negation;
+2. ``report``    marks one in reported speech, to the end of the clause;
+3. ``threat``    marks a threat verb after person and intention, unless the tape says that it is negated;
+4. ``heap``      marks an insult near another one that the tape leaves neither negated nor reported;
+5. ``target``    marks insults, and of the threat verbs those that the tape calls menacing, near a target.
+
+They are composed into two sequential transducers (``compose``): all five read
+from left to right, and what they write is read from right to left by the last
+two, since targets and other insults stand on either side. A weighted acceptor
+then reads the result. An insult with a target or in a heap weighs more than
+the word alone, a bare one less than the threshold for a text, a menacing verb
+counts only with a target, and negation and report take most of a weight away.
+The clause's weight is the noisy-or of these, ``1 - prod(1 - weight)``, and a
+text's score the noisy-or of its clauses.
 
 The frame is written down here. The insults are a short seed list and words and
 stems learned from labelled texts (``learn``): their weight is the share of
@@ -25,7 +30,7 @@ from __future__ import annotations
 import math
 import re
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark import cloudpickle
@@ -54,13 +59,14 @@ FRAME = {
     )
     for w in words
 }
-#: What a transducer may add to an insult or a threat verb.
-NEGATED, REPORTED, TARGETED, MENACING = 1, 2, 4, 8
+#: What a transducer may add to the symbol of an insult or a threat verb.
+NEGATED, REPORTED, TARGETED, MENACING, HEAPED = 8, 16, 32, 64, 128
+MARKS = NEGATED | REPORTED | TARGETED | MENACING | HEAPED
 
-#: How far, in words, a negation or a target reaches.
-REACH_NEGATION, REACH_TARGET = 4, 6
+#: How far, in words, a negation, a target or another insult reaches.
+REACH_NEGATION, REACH_TARGET, REACH_HEAP = 4, 6, 6
 SEED_WEIGHT, THREAT_WEIGHT = 0.9, 0.9
-NEGATED_FACTOR, REPORTED_FACTOR = 0.1, 0.35
+NEGATED_FACTOR, REPORTED_FACTOR, BARE_FACTOR = 0.1, 0.35, 0.7
 
 #: Lengths of learned stems, least contexts, least share of toxic texts, and texts of prior weight.
 STEMS, CONTEXTS, LEAST_SHARE, PRIOR = range(4, 8), 4, 0.6, 4.0
@@ -70,86 +76,100 @@ WORD_PATTERN = r"[^\W\d_]+(?:['’][^\W\d_]+)?"
 WORD = re.compile(WORD_PATTERN)
 
 
-def window(reads: int, reach: int, mark: int) -> dict:
-    """A transducer that marks insults and threats within ``reach`` words after a symbol ``reads``.
+#: A transducer: from state (0 first) and symbol to the next state and the symbol that it writes.
+Machine = Callable[[int, int], tuple[int, int]]
 
-    Its states count down the words that are left: ``(state, symbol) -> (state, mark)``.
-    """
-    step = {}
-    for left in range(reach + 1):
-        for symbol in range(8):
-            after = reach if symbol == reads else max(0, left - 1)
-            step[left, symbol] = (after, mark if left and symbol in (INSULT, THREAT) else 0)
-    return step
-
-
-def threat_machine() -> dict:
-    """Person, then intention, then a threat verb; the verb is marked. Any other word between keeps the state."""
-    step = {}
-    for state in range(3):
-        for symbol in range(8):
-            after, mark = state, 0
-            if symbol == PERSON:
-                after = 1
-            elif symbol == INTENT and state >= 1:
-                after = 2
-            elif symbol == NEGATION:
-                after = 0
-            elif symbol == THREAT:
-                after, mark = 0, MENACING if state == 2 else 0
-            step[state, symbol] = (after, mark)
-    return step
-
-
-NEGATION_MACHINE = window(NEGATION, REACH_NEGATION, NEGATED)
-#: A report reaches to the end of its clause.
-REPORT_MACHINE = {
-    (state, symbol): (1 if symbol == REPORT else state, REPORTED if state and symbol in (INSULT, THREAT) else 0)
-    for state in range(2)
-    for symbol in range(8)
-}
-TARGET_MACHINE = window(TARGET, REACH_TARGET, TARGETED)
-THREAT_MACHINE = threat_machine()
-
-
-def transduce(machine: dict, symbols: Sequence[int]) -> list[int]:
-    state, marks = 0, []
+
+def negation(left: int, symbol: int) -> tuple[int, int]:
+    """The state counts the words that the last negation still reaches."""
+    if symbol == NEGATION:
+        return REACH_NEGATION, symbol
+    return max(0, left - 1), symbol | NEGATED if left and symbol in (INSULT, THREAT) else symbol
+
+
+def report(inside: int, symbol: int) -> tuple[int, int]:
+    if symbol == REPORT:
+        return 1, symbol
+    return inside, symbol | REPORTED if inside and symbol & ~MARKS in (INSULT, THREAT) else symbol
+
+
+def threat(state: int, symbol: int) -> tuple[int, int]:
+    """Person, then intention, then a threat verb that isn't negated. Other words between keep the state."""
+    if symbol == PERSON:
+        return 1, symbol
+    if symbol == INTENT:
+        return 2 if state else 0, symbol
+    if symbol & ~MARKS == THREAT:
+        return 0, symbol | MENACING if state == 2 and not symbol & NEGATED else symbol
+    return state, symbol
+
+
+def heap(left: int, symbol: int) -> tuple[int, int]:
+    if symbol & ~MARKS != INSULT:
+        return max(0, left - 1), symbol
+    speaks = not symbol & (NEGATED | REPORTED)
+    return REACH_HEAP if speaks else max(0, left - 1), symbol | HEAPED if left else symbol
+
+
+def target(left: int, symbol: int) -> tuple[int, int]:
+    if symbol == TARGET:
+        return REACH_TARGET, symbol
+    aimed = symbol & ~MARKS == INSULT or symbol & MENACING
+    return max(0, left - 1), symbol | TARGETED if left and aimed else symbol
+
+
+def compose(machines: Sequence[Machine], alphabet: Iterable[int]) -> list[dict[int, tuple[int, int]]]:
+    """The machines in a row as one: for each reachable state a table from symbol to next state and symbol written."""
+    alphabet, first = list(alphabet), (0,) * len(machines)
+    number, tables = {first: 0}, []
+    for states in (waiting := [first]):
+        table = {}
+        for symbol in alphabet:
+            written, after = symbol, []
+            for machine, state in zip(machines, states, strict=True):
+                state, written = machine(state, written)
+                after.append(state)
+            if tuple(after) not in number:
+                number[tuple(after)] = len(number)
+                waiting.append(tuple(after))
+            table[symbol] = (number[tuple(after)], written)
+        tables.append(table)
+    return tables
+
+
+FORWARD = compose([negation, report, threat, heap, target], range(8))
+#: Reads from the right what the first has written.
+BACKWARD = compose([heap, target], {written for table in FORWARD for _, written in table.values()})
+
+
+def transduce(tables: list[dict[int, tuple[int, int]]], symbols: Iterable[int]) -> list[int]:
+    state, tape = 0, []
     for symbol in symbols:
-        state, mark = machine[state, symbol]
-        marks.append(mark)
-    return marks
-
-
-def clause_weight(symbols: Sequence[int], weights: Sequence[float]) -> tuple[float, int]:
-    """The weight of a clause, and its number of insults and menacing threats."""
-    found = [
-        a | b | c | d | e
-        for a, b, c, d, e in zip(
-            transduce(NEGATION_MACHINE, symbols),
-            transduce(REPORT_MACHINE, symbols),
-            transduce(TARGET_MACHINE, symbols),
-            transduce(TARGET_MACHINE, symbols[::-1])[::-1],
-            transduce(THREAT_MACHINE, symbols),
-            strict=True,
-        )
-    ]
-    rest, n = 1.0, 0
-    for symbol, mark, weight in zip(symbols, found, weights, strict=True):
-        if symbol == THREAT:
-            if not (mark & MENACING and mark & TARGETED):
-                continue
+        state, written = tables[state][symbol]
+        tape.append(written)
+    return tape
+
+
+def clause_weight(symbols: Sequence[int], weights: Sequence[float]) -> tuple[float, int, bool]:
+    """The weight of a clause, its number of insults and aimed threats, and whether one is aimed or heaped and meant."""
+    tape = transduce(BACKWARD, reversed(transduce(FORWARD, symbols)))
+    rest, n, matched = 1.0, 0, False
+    for symbol, weight in zip(reversed(tape), weights, strict=True):
+        kind, strong = symbol & ~MARKS, bool(symbol & (TARGETED | HEAPED))
+        if kind == THREAT and symbol & MENACING and symbol & TARGETED:
             weight = THREAT_WEIGHT
-        elif symbol != INSULT:
+        elif kind == INSULT:
+            weight = 1 - (1 - weight) ** 2 if strong else weight * BARE_FACTOR
+        else:
             continue
-        n += 1
-        if mark & TARGETED:
-            weight = 1 - (1 - weight) ** 2
-        if mark & NEGATED:
+        if symbol & NEGATED:
             weight *= NEGATED_FACTOR
-        if mark & REPORTED:
+        if symbol & REPORTED:
             weight *= REPORTED_FACTOR
+        n += 1
+        matched |= strong and not symbol & (NEGATED | REPORTED)
         rest *= 1 - min(weight, 0.999)
-    return 1 - rest, n
+    return 1 - rest, n, matched
 
 
 @dataclass
@@ -175,7 +195,7 @@ class Grammar:
         return (INSULT, weight) if weight else (FRAME.get(low, OTHER), 0.0)
 
     def score(self, text: str, known: dict[str, tuple[int, float]], hits: set[str]) -> tuple[float, int, int]:
-        """Score in 0 to 1, matched clauses and matched words.
+        """Score in 0 to 1, clauses with an aimed or heaped insult or an aimed threat, and words that carry weight.
 
         ``known`` keeps the symbols of words seen before, ``hits`` those among them that can carry weight.
         """
@@ -193,11 +213,10 @@ class Grammar:
             if hits.isdisjoint(words):
                 continue
             symbols, weights = zip(*[known[w] for w in words], strict=True)
-            weight, matched = clause_weight(symbols, weights)
-            if weight > 0:
-                rest += math.log1p(-min(weight, 0.999999))
-                clauses += 1
-                n += matched
+            weight, carrying, matched = clause_weight(symbols, weights)
+            rest += math.log1p(-min(weight, 0.999999))
+            clauses += matched
+            n += carrying
         return -math.expm1(rest), clauses, n
 
 

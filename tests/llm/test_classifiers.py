@@ -15,7 +15,9 @@ def score(text, grammar=None):
 
 
 def test_grammar_scores_clauses_not_words():
-    assert score("You are an idiot.") > score("What an idiot.") >= 0.7
+    assert score("You are an idiot.") >= 0.7 > score("What an idiot.") > 0.3
+    assert score("What an idiot, what a moron.") >= 0.7
+    assert score("Some idiot wrote this. The moron left.") >= 0.7
     assert score("You are not an idiot.") < 0.2
     assert score("He said they are idiots.") < 0.5
     assert score("You are no fool. They are idiots!") >= 0.7
@@ -29,7 +31,47 @@ def test_grammar_scores_clauses_not_words():
 
 def test_negation_reaches_a_few_words_and_one_clause():
     assert score("Not today; you idiot") >= 0.7
-    assert score("not one two three four five idiot") >= 0.7
+    assert score("not one two three, you four idiot") >= 0.7 > score("not one, you idiot")
+
+
+def by_hand(symbols):
+    """Marks of each symbol by looking at the whole clause, without machines."""
+    T = toxicity
+    out = []
+    for i, kind in enumerate(symbols):
+        marks = 0
+        if kind in (T.INSULT, T.THREAT):
+            marks |= T.NEGATED * (T.NEGATION in symbols[max(0, i - T.REACH_NEGATION) : i])
+            marks |= T.REPORTED * (T.REPORT in symbols[:i])
+        if kind == T.THREAT and not marks & T.NEGATED:
+            since = max([k + 1 for k in range(i) if symbols[k] == T.THREAT], default=0)
+            # An intention after the last person, or before a person none.
+            told = "".join("p" if s == T.PERSON else "i" for s in symbols[since:i] if s in (T.PERSON, T.INTENT))
+            marks |= T.MENACING * ("p" in told and told.endswith("i"))
+        out.append(marks)
+    aimed = lambda i: symbols[i] == T.INSULT or out[i] & T.MENACING
+    meant = lambda k: symbols[k] == T.INSULT and not out[k] & (T.NEGATED | T.REPORTED)
+    near = lambda i, reach: [k for k in range(max(0, i - reach), min(len(symbols), i + reach + 1)) if k != i]
+    more = [
+        T.TARGETED * bool(aimed(i) and any(symbols[k] == T.TARGET for k in near(i, T.REACH_TARGET)))
+        | T.HEAPED * (symbols[i] == T.INSULT and any(meant(k) for k in near(i, T.REACH_HEAP)))
+        for i in range(len(symbols))
+    ]
+    return [s | a | b for s, a, b in zip(symbols, out, more, strict=True)]
+
+
+def test_composed_transducers_equal_a_look_at_the_whole_clause():
+    rng = random.Random(2)
+    for _ in range(20_000):
+        symbols = rng.choices(range(8), weights=[rng.random() ** 2 + 0.01 for _ in range(8)], k=rng.randrange(25))
+        tape = toxicity.transduce(toxicity.BACKWARD, reversed(toxicity.transduce(toxicity.FORWARD, symbols)))[::-1]
+        assert tape == by_hand(symbols), symbols
+
+
+def test_machines_read_what_others_have_written():
+    menaced = lambda text: Grammar().score(text, {}, set())[1]
+    assert menaced("I will kill you") == 1 and menaced("I will never kill you") == 0
+    assert menaced("idiots and morons") == 1 and menaced("no idiots and morons") == menaced("he said idiots and morons") == 0
 
 
 def test_words_are_learned_from_several_contexts(spark, documents):
@@ -48,7 +90,7 @@ def test_words_are_learned_from_several_contexts(spark, documents):
     marked = spark.createDataFrame([*labels, (1, None), (None, 1), (99_999, 1)], "doc_id long, toxic int")
     grammar = toxicity.learn(documents(*rows), marked)
     assert "zorblatt" in grammar.words and "qwmntp" not in grammar.words
-    assert score("a zorblatt b", grammar) >= 0.7
+    assert score("you zorblatt", grammar) >= 0.7 > score("a zorblatt b", grammar) > 0
 
 
 @pytest.mark.parametrize("op", ["op1", "op5"])
