@@ -40,6 +40,14 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(quoted(c)) for c in df.columns if c.lower() not in taken])
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_``, ``name__`` ... that no column of ``df`` has: for a column that only the work needs."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_text_columns(docs: DataFrame, text: str, fields: Sequence[T.StructField], start: Callable[[], Compute]) -> DataFrame:
     """``docs`` with columns computed from each whole text in Arrow batches.
 

@@ -4,7 +4,9 @@ A rule is a regular expression with a keyword, a label, a weight and a
 priority. Of all rules only those whose keyword is in a text are run on it.
 Their detections are intervals: one that lies within another is suppressed (of
 equal ones the rule that comes first stays), and of two that overlap in part
-the one of better priority stays.
+the one of better priority stays. A detection is suppressed only by one that
+stands itself. Any white space, with line breaks and comment marks in it,
+counts as one space, so wrapped notices are found like others.
 
 The rules are written down compactly: each licence is a line with its names,
 identifiers and versions, and each form of words in which licences are named
@@ -21,7 +23,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import lower_ascii, without
+from profilekit.llm.common import free_name, lower_ascii, without
 from profilekit.llm.spans import matches
 from profilekit.runtime import quoted
 
@@ -106,7 +108,15 @@ FORMS = [
     (r"(?:subject to|governed by|see) (?:the )?(?:terms of )?(?:the )?{}", 0.85),
     (r"{}", 0.7),
 ]
-GAP = r"(?:,|;)?\s+(?:\()?(?:version |ver\. ?|v\.? ?)?"
+GAP = r"(?:,|;)? (?:\()?(?:version |ver\. ?|v\.? ?)?"
+
+
+#: What a space of a rule stands for: white space, with comment marks that stand by themselves in it.
+SPACE = r"(?:\s++(?:[#*/;%!>]++\s++)*+)"
+
+
+def spaced(pattern: str) -> str:
+    return pattern.replace("[- ]", "(?:-| )").replace(" ", SPACE)
 
 
 @dataclass(frozen=True)
@@ -133,10 +143,10 @@ def rules() -> list[Rule]:
         for version in versions.split():
             full, with_version = versioned(label, pattern, version)
             named += [Rule(full, keyword, form.format(with_version), weight) for form, weight in FORMS]
-            exact.append(Rule(full, "spdx", rf"spdx-license-identifier:\s*{label}-{version.replace('.', chr(92) + '.')}(?:-only|-or-later|\+)?", 0.99))
+            exact.append(Rule(full, "spdx", rf"spdx-license-identifier: ?{label}-{version.replace('.', chr(92) + '.')}(?:-only|-or-later|\+)?", 0.99))
         bare += [Rule(label, keyword, form.format(f"(?:{pattern})"), weight - 0.1) for form, weight in FORMS]
         if not versions:
-            exact.append(Rule(label, "spdx", rf"spdx-license-identifier:\s*{label}\b", 0.99))
+            exact.append(Rule(label, "spdx", rf"spdx-license-identifier: ?{label}\b", 0.99))
     for kind, words in COMMONS.items():
         name = rf"(?:cc[- ]{kind.replace('-', '[- ]')}|creative commons {words})(?![- ](?:sa|nc|nd)\b)(?:(?: international| unported)? licen[sc]e)?"
         for keyword in ("cc", "creative commons"):
@@ -152,12 +162,43 @@ def rules() -> list[Rule]:
 GATE = r"licen[sc]e|copyright|©|spdx|cc0|\bcc[- ]by|creative ?commons|public domain|rights reserved|bsd|permission|redistribution|free software|proprietary|unauthori"
 
 
-def detections(low: Column) -> Column:
-    """Detections that stand: ``array<struct<start, neg_end, priority, label, weight>>`` by start, in a lower-cased text."""
+def standing(found: Column) -> Column:
+    """Of detections those that stand, by start.
+
+    They are decided in the order of how many others they lie in, then of
+    priority; each stands if it meets none that stands already. What contains a
+    detection lies in fewer, so it is decided before.
+    """
+
+    def holds(c: Column, d: Column) -> Column:
+        within = (c["start"] <= d["start"]) & (c["neg_end"] <= d["neg_end"])
+        same = (c["start"] == d["start"]) & (c["neg_end"] == d["neg_end"])
+        return within & (~same | (c["priority"] < d["priority"]))
+
+    def ranked(d: Column) -> Column:
+        depth = F.size(F.filter(found, lambda c: holds(c, d)))
+        return F.struct(depth.alias("depth"), d["priority"].alias("rank"), d["start"].alias("first"), d.alias("d"))
+
+    def decide(kept: Column, r: Column) -> Column:
+        d = r["d"]
+        met = F.exists(kept, lambda k: (k["start"] < -d["neg_end"]) & (d["start"] < -k["neg_end"]))
+        return F.when(met, kept).otherwise(F.concat(kept, F.array(d)))
+
+    return F.array_sort(F.aggregate(F.array_sort(F.transform(found, ranked)), F.array().cast(DETECTIONS), decide))
+
+
+DETECTIONS = "array<struct<start:int,neg_end:int,priority:int,label:string,weight:double>>"
+
+
+def detections(low: Column, flat: Column) -> Column:
+    """All detections, as ``array<struct<start, neg_end, priority, label, weight>>``, in a lower-cased text.
+
+    ``flat`` is the text with one space for each ``SPACE``, which keywords are looked up in.
+    """
     # One literal: hundreds of nested literals would take the optimiser long.
-    listed = [{"keyword": r.keyword, "pattern": r.pattern, "priority": i, "label": r.label, "weight": r.weight} for i, r in enumerate(rules())]
+    listed = [{"keyword": r.keyword, "pattern": spaced(r.pattern), "priority": i, "label": r.label, "weight": r.weight} for i, r in enumerate(rules())]
     table = F.from_json(F.lit(json.dumps(listed)), "array<struct<keyword:string,pattern:string,priority:int,label:string,weight:double>>")
-    tried = F.filter(table, lambda r: F.contains(low, r["keyword"]))
+    tried = F.filter(table, lambda r: F.contains(flat, r["keyword"]))
     found = F.flatten(
         F.transform(
             tried,
@@ -167,21 +208,7 @@ def detections(low: Column) -> Column:
             ),
         )
     )
-    kind = "array<struct<start:int,neg_end:int,priority:int,label:string,weight:double>>"
-    empty = F.array().cast(kind)
-
-    def sweep(kept: Column, d: Column) -> Column:
-        """In order of start, then the longest, then priority: a contained one goes, of two that overlap the better stays."""
-        last = F.try_element_at(kept, F.lit(-1))
-        apart = last.isNull() | (d["start"] >= -last["neg_end"])
-        better = (d["neg_end"] < last["neg_end"]) & (d["priority"] < last["priority"])
-        return (
-            F.when(apart, F.concat(kept, F.array(d)))
-            .when(better, F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(d)))
-            .otherwise(kept)
-        )
-
-    return F.when(low.rlike(GATE), F.aggregate(F.array_sort(found.cast(kind)), empty, sweep)).otherwise(empty)
+    return F.when(flat.rlike(GATE), found.cast(DETECTIONS)).otherwise(F.array().cast(DETECTIONS))
 
 
 def phrase_places(words: Column) -> Column:
@@ -207,27 +234,29 @@ ADDED = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels"
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score`` and ``detections``.
 
-    Columns of these names are replaced. A null text counts as empty: no words,
+    Columns of these names are replaced, others stay. A null text counts as empty: no words,
     no labels, score 0. Every row stays, repeated rows included. The score is
     the noisy-or of the weights of the detections that stand. No shuffle.
     """
     out = without(docs, ADDED)
     columns = out.columns
-    low = lower_ascii(F.coalesce(F.col(quoted(text)), F.lit("")))
-    out = out.withColumn("low text", low).withColumn("its words", F.regexp_extract_all("low text", F.lit(WORDS), F.lit(0)))
+    low, flat, words, places, found = (free_name(docs, n) for n in ("low text", "flat text", "its words", "places", "found"))
+    out = out.withColumn(low, lower_ascii(F.coalesce(F.col(quoted(text)), F.lit(""))))
+    out = out.withColumn(words, F.regexp_extract_all(low, F.lit(WORDS), F.lit(0))).withColumn(flat, F.regexp_replace(low, SPACE, " "))
     none = F.array().cast("array<struct<at:int,label:string>>")
-    out = out.withColumn("places", F.when(F.col("low text").rlike(PHRASE_GATE), phrase_places(F.col("its words"))).otherwise(none))
-    out = out.withColumn("detections", detections(F.col("low text")))
-    at = F.transform("places", lambda p: p["at"])
-    base = F.transform("places", lambda p: p["label"])
+    out = out.withColumn(places, F.when(F.col(low).rlike(PHRASE_GATE), phrase_places(F.col(words))).otherwise(none))
+    out = out.withColumn(found, detections(F.col(low), F.col(flat)))
+    out = out.withColumn("detections", standing(F.col(found)))
+    at = F.transform(places, lambda p: p["at"])
+    base = F.transform(places, lambda p: p["label"])
     own = F.transform("detections", lambda d: d["label"])
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     score = 1.0 - F.aggregate("detections", F.lit(1.0), lambda a, d: a * (1.0 - d["weight"]))
     shown = F.transform("detections", lambda d: F.struct(d["start"].alias("start"), (-d["neg_end"]).alias("end"), d["label"].alias("label"), d["weight"].alias("weight")))
     return out.select(
         *[F.col(quoted(c)) for c in columns],
-        F.size("its words").cast("long").alias("n_words"),
-        F.size("places").cast("long").alias("n_base"),
+        F.size(words).cast("long").alias("n_words"),
+        F.size(places).cast("long").alias("n_base"),
         F.array_min(at).cast("long").alias("first_word"),
         F.array_max(at).cast("long").alias("last_word"),
         joined(base).alias("base_labels"),

@@ -9,16 +9,22 @@ found only with the entity. Terms above ``GENERALISE`` are replaced by their
 kind, terms above ``REMOVE`` are removed.
 
 Probabilities are shares of all texts; a term counts as being with an entity if
-it stands near it. It must do so in several distinct texts and after several
-different words, so copies of one text are no evidence.
+it stands near it, so what stands farther off can only lower the estimate. It
+must do so in several distinct texts, whose words before the entity or whose
+words after it differ, so copies of one text are no evidence. Which words stand
+beside the term doesn't matter: a surname that always follows the same first
+name is rated like any other. As many pairs are tried as there are, so a pair
+must be surer than the best of them is by chance.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import without
+from profilekit.llm.common import free_name, without
 from profilekit.llm.spans import matches_if
 from profilekit.runtime import cut_lineage, hint_if_small, quoted
 
@@ -26,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: Disclosure (PMI / IC) from which a term is generalised or removed.
 GENERALISE, REMOVE = 0.5, 0.8
-#: Characters on either side of an entity that count as near, texts and contexts that a term needs with it.
+#: Characters on either side of an entity that count as near, distinct texts and surroundings that a term needs with it.
 NEAR, LEAST_TEXTS = 300, 3
 
 # The lookbehinds begin a match where a run of its first characters begins, or where
@@ -100,8 +106,14 @@ def rating(n_ct: Column, n_c: Column, n_t: Column, total: int) -> Column:
     return F.when(information > 0, F.greatest(pmi / information, F.lit(0.0))).otherwise(0.0)
 
 
+def beyond_chance(n: Column, n_ct: Column, n_c: Column, n_t: Column, total: int, pairs: int) -> Column:
+    """Whether ``n`` distinct texts with both are more than chance gives the best of ``pairs`` pairs: a likelihood ratio of Poisson counts."""
+    ratio = n_ct * F.lit(float(total)) / (n_c * n_t)
+    return (ratio > 1) & (2 * n * (F.log(ratio) - 1 + 1 / ratio) >= 2 * math.log(pairs + 1) + 4)
+
+
 def near_terms(found: DataFrame) -> DataFrame:
-    """``entity``, ``term``, ``n_c`` and ``n_ct`` (texts with both) of the pairs with enough distinct texts and contexts."""
+    """``entity``, ``term``, ``n_c``, ``n_ct`` (texts with both) and ``n`` (distinct ones) of the pairs with enough texts and surroundings."""
     # Equal texts are taken once, with their number.
     copies = hint_if_small(cut_lineage(found.groupBy("page").agg(F.count("*").alias("copies"))))
     each = found.select("page", "body", F.explode("base").alias("s"))
@@ -112,13 +124,15 @@ def near_terms(found: DataFrame) -> DataFrame:
     recurring = cut_lineage(counted.where(F.col("n") >= LEAST_TEXTS).drop("n"))
     left = F.substring("body", F.greatest(F.col("start") - NEAR, F.lit(0)) + 1, F.least("start", F.lit(NEAR)))
     right = F.substring("body", F.col("end") + 1, F.lit(NEAR))
-    near = each.join(hint_if_small(recurring), "entity").select("page", "entity", "n_c", F.explode(F.array(words(left), words(right))).alias("w"))
-    pairs = near.select("page", "entity", "n_c", F.explode(F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit("")), "w").alias("before"))).alias("p"))
-    pairs = pairs.where(F.col("p.term").isNotNull()).groupBy("entity", "n_c", F.col("p.term").alias("term"), "page").agg(F.min("p.before").alias("before"))
+    near = each.join(hint_if_small(recurring), "entity").select("page", "entity", "n_c", words(left).alias("before"), words(right).alias("after"))
+    near = near.select("page", "entity", "n_c", F.xxhash64("before").alias("before"), F.xxhash64("after").alias("after"), F.explode(F.array_distinct(F.concat("before", "after"))).alias("term"))
+    # A text that holds an entity several times has one pair of surroundings for each of its terms.
+    pairs = near.groupBy("entity", "n_c", "term", "page").agg(F.min("before").alias("before"), F.min("after").alias("after"))
     both = pairs.join(copies, "page").groupBy("entity", "n_c", "term").agg(
-        F.count("*").alias("n"), F.sum("copies").alias("n_ct"), F.countDistinct("before").alias("contexts")
-    )
-    return both.where((F.col("n") >= LEAST_TEXTS) & (F.col("contexts") >= LEAST_TEXTS)).drop("n", "contexts")
+        F.count("*").alias("n"), F.sum("copies").alias("n_ct"),
+        F.greatest(F.countDistinct("before"), F.countDistinct("after")).alias("contexts"),
+    )
+    return both.where((F.col("n") >= LEAST_TEXTS) & (F.col("contexts") >= LEAST_TEXTS)).drop("contexts")
 
 
 def disclosing(docs: DataFrame, text: str = "text", generalise: float = GENERALISE) -> DataFrame:
@@ -130,14 +144,16 @@ def disclosing(docs: DataFrame, text: str = "text", generalise: float = GENERALI
         return candidates.select("term", F.lit(1.0).alias("disclosure"))
     # All terms are counted, which partial sums make small, and then looked up; frequent ones never become rows of a join.
     counted = rows.select(F.explode(F.array_distinct(words(F.col("body")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    rated = candidates.join(counted, "term").withColumn("disclosure", rating(F.col("n_ct"), F.col("n_c"), F.col("n_t"), rows.count()))
+    counts, total = [F.col(c) for c in ("n_ct", "n_c", "n_t")], rows.count()
+    rated = candidates.join(counted, "term").where(beyond_chance(F.col("n"), *counts, total, candidates.count()))
+    rated = rated.withColumn("disclosure", rating(*counts, total))
     return cut_lineage(rated.groupBy("term").agg(F.max("disclosure").alias("disclosure")).where(F.col("disclosure") >= generalise))
 
 
 def sanitise(docs: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """``docs`` with ``spans`` (list of all spans), ``n_email`` ... ``n_phone``, ``base_sha256`` and ``clean_text``.
 
-    Columns of these names are replaced. A null text counts as empty and stays
+    Columns of these names are replaced, others stay. A null text counts as empty and stays
     null in ``clean_text``. Every row stays, repeated rows included. In
     ``clean_text`` entities become ``[EMAIL]`` and so on, disclosing terms
     ``[NUMBER]``, ``[NAME]`` or ``[WORD]``, or nothing if above ``remove``; of
@@ -146,20 +162,21 @@ def sanitise(docs: DataFrame, text: str = "text", generalise: float = GENERALISE
     names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans", "clean_text"]
     out = without(docs, names)
     columns = out.columns
+    own, its_page, base, both = (free_name(docs, n) for n in ("own terms", "terms page", "base spans", "all spans"))
     body = F.coalesce(F.col(quoted(text)), F.lit(""))
     terms = disclosing(docs, text, generalise)
     empty = F.array().cast("array<struct<term:string,disclosure:double>>")
     if terms.isEmpty():
-        out = out.withColumn("own terms", empty)
+        out = out.withColumn(own, empty)
     else:
         pages = docs.where(F.col(quoted(text)).isNotNull()).select(F.xxhash64(quoted(text)).alias("page"), F.explode(F.array_distinct(words(F.col(quoted(text))))).alias("term"))
         held = pages.join(hint_if_small(terms), "term").groupBy("page", "term").agg(F.first("disclosure").alias("disclosure"))
-        held = cut_lineage(held.groupBy(F.col("page").alias("terms page")).agg(F.collect_list(F.struct("term", "disclosure")).alias("own terms")))
-        out = out.join(hint_if_small(held), F.xxhash64(quoted(text)) == F.col("terms page"), "left").withColumn("own terms", F.coalesce("own terms", empty))
-    any_of = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("own terms", lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
-    added = F.transform(matches_if(F.size("own terms") > 0, body, any_of), lambda m: span(m, len(KINDS), TERM))
-    out = out.withColumn("base spans", base_spans(body)).withColumn("all spans", F.array_sort(F.concat("base spans", added)))
-    surely = F.filter("own terms", lambda t: t["disclosure"] >= remove)
+        held = cut_lineage(held.groupBy(F.col("page").alias(its_page)).agg(F.collect_list(F.struct("term", "disclosure")).alias(own)))
+        out = out.join(hint_if_small(held), F.xxhash64(quoted(text)) == F.col(its_page), "left").withColumn(own, F.coalesce(own, empty))
+    any_of = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(own, lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+    added = F.transform(matches_if(F.size(own) > 0, body, any_of), lambda m: span(m, len(KINDS), TERM))
+    out = out.withColumn(base, base_spans(body)).withColumn(both, F.array_sort(F.concat(base, added)))
+    surely = F.filter(own, lambda t: t["disclosure"] >= remove)
     removed = F.transform(surely, lambda t: t["term"])
     kind_of = lambda s: F.when(s["value"].rlike("^[0-9]+$"), "[NUMBER]").when(s["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[WORD]")
     put = lambda s: F.when(s["kind"] != TERM, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(F.array_contains(removed, F.lower(s["value"])), "").otherwise(kind_of(s))
@@ -171,12 +188,12 @@ def sanitise(docs: DataFrame, text: str = "text", generalise: float = GENERALISE
         )
 
     first = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    clean = F.aggregate("all spans", first, add, lambda state: F.concat(F.array_join(state["out"], ""), F.substr(body, state["pos"] + 1, F.length(body))))
-    count = lambda kind: F.size(F.filter("base spans", lambda s: s["kind"] == kind)).cast("long")
+    clean = F.aggregate(both, first, add, lambda state: F.concat(F.array_join(state["out"], ""), F.substr(body, state["pos"] + 1, F.length(body))))
+    count = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
     return out.select(
         *[F.col(quoted(c)) for c in columns],
         *[count(k).alias(f"n_{k}") for k in KINDS],
-        F.sha2(listed(F.col("base spans")), 256).alias("base_sha256"),
-        listed(F.col("all spans")).alias("spans"),
-        F.when(F.col(quoted(text)).isNotNull(), F.when(F.size("all spans") == 0, body).otherwise(clean)).alias("clean_text"),
+        F.sha2(listed(F.col(base)), 256).alias("base_sha256"),
+        listed(F.col(both)).alias("spans"),
+        F.when(F.col(quoted(text)).isNotNull(), F.when(F.size(both) == 0, body).otherwise(clean)).alias("clean_text"),
     )

@@ -1,6 +1,8 @@
 """Personal data, licences and site lines against plain Python."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -89,6 +91,73 @@ def test_terms_that_give_an_entity_away(documents):
     assert out[50].clean_text == rows[50]
 
 
+def test_terms_are_rated_whatever_stands_beside_them(documents):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("bcdfgaeiou", k=3))
+    prose = lambda: " ".join(word() for _ in range(30))
+    rows = [f"{prose()}\nMaria Kowalczyk, maria@x.com\n{prose()}" for _ in range(60)]
+    rows += [f"{prose()} 10.1.1.{i}" for i in range(400)]
+    out = held_spans(pii.sanitise(documents(*rows)))
+    for i in range(60):
+        assert "Maria" not in out[i].clean_text and "Kowalczyk" not in out[i].clean_text and "[EMAIL]" in out[i].clean_text
+    assert all("term" not in out[i].spans for i in range(60, 460))
+
+
+def naive_disclosing(texts):
+    """Disclosure of each term by plain counts."""
+    spot = {"entity": defaultdict(set), "term": defaultdict(set)}
+    near = defaultdict(dict)
+    words = lambda t: re.findall(r"[^\W_]{3,}", t.lower())
+    for d, text in enumerate(texts):
+        for w in words(text):
+            spot["term"][w].add(d)
+        for s in naive_spans(text):
+            kind, start, end = s.split(":")
+            start, end = int(start), int(end)
+            entity = (kind, text[start:end].lower())
+            spot["entity"][entity].add(d)
+            before, after = words(text[max(0, start - pii.NEAR) : start]), words(text[end : end + pii.NEAR])
+            for w in {*before, *after}:
+                near[entity, w].setdefault(d, (tuple(before), tuple(after)))
+    tried = {
+        pair: held for pair, held in near.items()
+        if len({texts[d] for d in held}) >= pii.LEAST_TEXTS and max(len({x[k] for x in held.values()}) for k in (0, 1)) >= pii.LEAST_TEXTS
+    }
+    out = defaultdict(float)
+    for (entity, w), held in tried.items():
+        n_c, n_t, n = len(spot["entity"][entity]), len(spot["term"][w]), len(texts)
+        ratio = len(held) * n / (n_c * n_t)
+        surprise = 2 * len({texts[d] for d in held}) * (math.log(ratio) - 1 + 1 / ratio)
+        if ratio > 1 and surprise >= 2 * math.log(len(tried) + 1) + 4:
+            out[w] = max(out[w], math.log(ratio) / math.log(n / n_c))
+    return {w: x for w, x in out.items() if x >= pii.GENERALISE}
+
+
+def test_disclosure_equals_plain_counts(documents):
+    rng = random.Random(8)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "klmnpr"]
+    people = [(f"first{i % 5}x", f"last{i}y", f"p{i}@mail.example") for i in range(12)]
+    texts = []
+    for i in range(240):
+        first, last, address = people[rng.randrange(12)]
+        prose = " ".join(rng.choices(vocabulary, k=20))
+        texts.append(f"{prose} {first} {last} {address} {rng.choice(vocabulary)}" if i % 3 == 0 else f"{prose} {first if i % 3 == 1 else ''}")
+    texts += ["only copies beside once@mail.example here"] * 7 + [texts[0]] * 5
+    got = {r.term: r.disclosure for r in pii.disclosing(documents(*texts)).collect()}
+    want = naive_disclosing(texts)
+    assert got == pytest.approx(want) and sum(w.startswith("last") for w in want) >= 8 and "copies" not in want
+
+
+def test_columns_of_the_work_stay(documents):
+    docs = documents("licensed under the apache license, version 2.0", "a@b.cc and more\nFooter")
+    for op, names in (
+        (licences.scan, ["places", "its words", "low text", "found"]), (pii.sanitise, ["own terms", "base spans", "All Spans", "terms page"]),
+    ):
+        own = docs.select("*", *[F.lit(f"mine {n}").alias(n) for n in names])
+        rows = op(own).collect()
+        assert all(r[n] == f"mine {n}" for r in rows for n in names)
+
+
 @pytest.mark.parametrize("op", [pii.sanitise, licences.scan, linededup.drop_boilerplate])
 def test_odd_texts_clashing_columns_and_empty_tables(documents, odd, op):
     docs = odd.withColumn("spans", F.lit(1)).withColumn("labels", F.lit("own")).withColumn("n_dropped", F.lit("x"))
@@ -135,6 +204,42 @@ def test_contained_detections_are_suppressed(documents):
     assert len(licences.rules()) > 300
 
 
+def test_wrapped_notices_are_found_like_others(documents):
+    plain = [
+        "Redistribution and use in source and binary forms, with or without modification", "GNU General Public License version 2",
+        "licensed under the Apache License, Version 2.0", "This program is free software; you can redistribute it", "CC BY-SA 4.0",
+        "released into the public domain", "SPDX-License-Identifier: MPL-2.0",
+    ]
+    marks = ["\n", "\r\n", "  ", "\n# ", "\n *\n * ", "\t// \n// "]
+    texts = [t.replace(" ", m) for t in plain for m in [" ", *marks]]
+    got = {r.doc_id: r for r in licences.scan(documents(*texts)).collect()}
+    for i, text in enumerate(texts):
+        first = got[i - i % (1 + len(marks))]
+        assert first.score > 0.5 and got[i].labels == first.labels and got[i].score == first.score
+        assert [(d.label, text[d.start : d.end].split()) for d in got[i].detections] and got[i].detections[0].start == 0
+
+
+def naive_standing(found):
+    inside = lambda c, d: c[0] <= d[0] and c[1] >= d[1] and ((c[0], c[1]) != (d[0], d[1]) or c[2] < d[2])
+    kept = []
+    for d in sorted(found, key=lambda d: (sum(inside(c, d) for c in found), d[2], d[0])):
+        if all(k[0] >= d[1] or d[0] >= k[1] for k in kept):
+            kept.append(d)
+    return sorted(kept)
+
+
+def test_detections_are_suppressed_only_by_those_that_stand(spark):
+    rng = random.Random(5)
+    sets = [[(0, 10, 3), (5, 20, 2), (15, 30, 1), (2, 4, 9), (21, 22, 8)]]
+    sets += [[(s, s + rng.randint(1, 12), p) for p, s in enumerate(rng.choices(range(40), k=rng.randrange(12)))] for _ in range(60)]
+    rows = [(i, [(s, -e, p, "x", 0.5) for s, e, p in found]) for i, found in enumerate(sets)]
+    table = spark.createDataFrame(rows, f"i int, found {licences.DETECTIONS}")
+    for r in table.select("i", licences.standing(F.col("found")).alias("kept")).collect():
+        assert [(d.start, -d.neg_end, d.priority) for d in r.kept] == naive_standing(sets[r.i])
+    # The middle one goes for the last, so what it alone had met comes back.
+    assert naive_standing(sets[0]) == [(0, 10, 3), (15, 30, 1)]
+
+
 def naive_lines(rows):
     """(site, text) rows to their new texts."""
     pages = defaultdict(set)
