@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from profilekit.llm.common import with_text_columns, without
+from profilekit.llm.common import free_name, with_text_columns, without
 from profilekit.runtime import quoted
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -191,15 +191,17 @@ def slices(benchmark: DataFrame, item_id: str, text: str, most: int) -> list[lis
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", most: int = SLICE) -> DataFrame:
     """``docs`` with ``contaminated`` and the longest overlap: ``overlap_words``, ``overlap_equal``, ``item_id``, ``first_word``.
 
-    Columns of these names are replaced. Null and empty texts and an empty
+    Columns of these names are replaced, others stay. Null and empty texts and an empty
     benchmark give false and zero. Items of fewer than five words are no
     evidence; items of fewer than a window's words must appear as a whole. Every
     row stays, repeated rows included; whole texts are read. No shuffle of ``docs``.
     """
     names = [f.name for f in FIELDS]
     out = without(docs, names)
+    columns = out.columns
+    best = {n: free_name(out, f"best {n}") for n in names}
     empty = [F.lit(False), F.lit(0), F.lit(0.0), F.lit(None).cast("long"), F.lit(None).cast("long")]
-    out = out.select("*", *[e.alias(f"best {n}") for e, n in zip(empty, names, strict=True)])
+    out = out.select("*", *[e.alias(best[n]) for e, n in zip(empty, names, strict=True)])
     for part in slices(benchmark, item_id, item_text, most):
         broadcast = docs.sparkSession.sparkContext.broadcast(part)
 
@@ -213,9 +215,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
             return compute
 
         found = with_text_columns(out, text, FIELDS, start)
-        longer = F.col("overlap_words") > F.col("best overlap_words")
+        longer = F.col("overlap_words") > F.col(quoted(best["overlap_words"]))
+        kept = [c for c in found.columns if c not in names and c not in best.values()]
         out = found.select(
-            *[F.col(quoted(c)) for c in found.columns if c not in names and not c.startswith("best ")],
-            *[F.when(longer, F.col(n)).otherwise(F.col(f"best {n}")).alias(f"best {n}") for n in names],
+            *[F.col(quoted(c)) for c in kept], *[F.when(longer, F.col(n)).otherwise(F.col(quoted(best[n]))).alias(best[n]) for n in names]
         )
-    return out.select(*[F.col(quoted(c)) for c in out.columns if not c.startswith("best ")], *[F.col(f"best {n}").alias(n) for n in names])
+    return out.select(*[F.col(quoted(c)) for c in columns], *[F.col(quoted(best[n])).alias(n) for n in names])

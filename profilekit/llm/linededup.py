@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from profilekit.llm.common import without
+from profilekit.llm.common import free_name, without
 from profilekit.runtime import cut_lineage, hint_if_small, quoted
 
 #: A line is boilerplate on more than this share of a site's pages, and on as many pages at least.
@@ -72,18 +72,19 @@ def drop_boilerplate(pages: DataFrame, site: str = "source", text: str = "text",
     by_site = cut_lineage(found.groupBy("site", "no_site").agg(F.collect_list("key").alias("keys")))
     out = without(pages, ["n_lines", "n_dropped"])
     columns = out.columns
+    its_site, no_site, keys, split, stay = (free_name(pages, f"join {n}") for n in ("site", "no site", "keys", "lines", "kept"))
     out = out.join(
-        hint_if_small(by_site.select(F.col("site").alias("join site"), F.col("no_site").alias("join no site"), "keys").withColumnRenamed("keys", "join keys"), 10_000),
-        (F.coalesce(F.col(quoted(site)).cast("string"), F.lit("")) == F.col("join site")) & (F.col(quoted(site)).isNull() == F.col("join no site")),
+        hint_if_small(by_site.select(F.col("site").alias(its_site), F.col("no_site").alias(no_site), F.col("keys").alias(keys)), 10_000),
+        (F.coalesce(F.col(quoted(site)).cast("string"), F.lit("")) == F.col(its_site)) & (F.col(quoted(site)).isNull() == F.col(no_site)),
         "left",
     )
     lines = lines_of(F.col(quoted(text)))
-    stays = lambda line: blank(line) | ~F.array_contains("join keys", F.xxhash64(bare(line)))
-    kept = F.when(F.col("join keys").isNull(), lines).otherwise(F.filter(lines, stays))
-    out = out.withColumn("join lines", lines).withColumn("join kept", kept)
-    rest = F.array_join("join kept", "\n")
-    dropped = F.size("join lines") - F.size("join kept")
-    n_lines = F.when(F.col(quoted(text)).isNull(), 0).otherwise(F.size("join lines"))
+    stays = lambda line: blank(line) | ~F.array_contains(keys, F.xxhash64(bare(line)))
+    kept = F.when(F.col(keys).isNull(), lines).otherwise(F.filter(lines, stays))
+    out = out.withColumn(split, lines).withColumn(stay, kept)
+    rest = F.array_join(stay, "\n")
+    dropped = F.size(split) - F.size(stay)
+    n_lines = F.when(F.col(quoted(text)).isNull(), 0).otherwise(F.size(split))
     new = F.when((dropped == 0) | F.col(quoted(text)).isNull(), F.col(quoted(text))).otherwise(rest)
     return out.select(
         *[new.alias(c) if c == text else F.col(quoted(c)) for c in columns],

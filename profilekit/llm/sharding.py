@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from profilekit.llm.common import without
+from profilekit.llm.common import free_name, without
 from profilekit.runtime import quoted
 
 #: Virtual slots. Everything the driver holds is a number for each of them.
@@ -144,12 +144,15 @@ class SlotMap:
 def place(slotted: DataFrame, map_table: DataFrame, order: list[str]) -> DataFrame:
     """``slotted`` with ``shard`` and ``slot``, the record's place in its shard, gapless from 0.
 
+    Columns of these names are replaced, others stay. ``order`` may name neither.
     The map is as long as the number of slots, so it is broadcast; places are
     counted slot by slot, not shard by shard. Equal rows take places in any order.
     """
+    kept = without(slotted, ["shard", "slot"])
+    first = free_name(kept, "first row")
     rank = F.row_number().over(W.partitionBy("virtual_slot").orderBy(*order)) - 1
     return (
-        slotted.join(F.broadcast(map_table.select("virtual_slot", "shard", "first_row")), "virtual_slot")
-        .withColumn("slot", F.col("first_row") + rank)
-        .drop("first_row")
+        kept.join(F.broadcast(map_table.select("virtual_slot", "shard", F.col("first_row").alias(first))), "virtual_slot")
+        .withColumn("slot", F.col(quoted(first)) + rank)
+        .drop(first)
     )

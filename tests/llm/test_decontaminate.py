@@ -47,6 +47,12 @@ def test_slices_of_the_benchmark_give_the_same(documents, benchmark, most):
     assert got == {0: (True, 0), 1: (True, 1), 2: (True, 2), 3: (True, 3), 4: (False, None), 5: (False, None)}
 
 
+def test_columns_that_begin_with_best_stay(documents, benchmark):
+    docs = documents("some text").withColumn("best x", F.lit(1)).withColumn("best item_id", F.lit("mine"))
+    row = mark(docs, benchmark, most=30).first()
+    assert row["best x"] == 1 and row["best item_id"] == "mine" and row["item_id"] is None
+
+
 def test_stretch_is_the_longest_good_run():
     rng = np.random.default_rng(3)
     for _ in range(300):

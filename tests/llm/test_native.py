@@ -152,6 +152,7 @@ def test_columns_of_the_work_stay(documents):
     docs = documents("licensed under the apache license, version 2.0", "a@b.cc and more\nFooter")
     for op, names in (
         (licences.scan, ["places", "its words", "low text", "found"]), (pii.sanitise, ["own terms", "base spans", "All Spans", "terms page"]),
+        (linededup.drop_boilerplate, ["join keys", "join lines", "join site"]),
     ):
         own = docs.select("*", *[F.lit(f"mine {n}").alias(n) for n in names])
         rows = op(own).collect()

@@ -35,6 +35,15 @@ def test_odd_rows_have_places(spark, odd):
     assert {r["size"] for r in rows if r.text is None} == {8}
 
 
+def test_columns_of_other_names_stay(spark, documents):
+    docs = documents(*("text %d" % i for i in range(20))).withColumn("shard", F.lit("own")).withColumn("Slot", F.lit(-1)).withColumn("first row", F.lit("mine"))
+    slotted = with_slots(docs, slots=8)
+    out = place(slotted, SlotMap.first(slotted, 3, 8).table(spark), ["doc_id"])
+    assert sorted(c.lower() for c in out.columns) == sorted({c.lower() for c in slotted.columns})
+    rows = out.collect()
+    assert {r["first row"] for r in rows} == {"mine"} and {r.shard for r in rows} == {0, 1, 2} and min(r.slot for r in rows) == 0
+
+
 def test_versions_move_few_slots(spark, documents, tmp_path):
     slotted = with_slots(documents(*[(i, "x" * (50 + i % 400)) for i in range(3000)]), slots=256)
     one = SlotMap.first(slotted, 8, 256)
