@@ -172,7 +172,8 @@ def sanitise(docs: DataFrame, text: str = "text", generalise: float = GENERALISE
         pages = docs.where(F.col(quoted(text)).isNotNull()).select(F.xxhash64(quoted(text)).alias("page"), F.explode(F.array_distinct(words(F.col(quoted(text))))).alias("term"))
         held = pages.join(hint_if_small(terms), "term").groupBy("page", "term").agg(F.first("disclosure").alias("disclosure"))
         held = cut_lineage(held.groupBy(F.col("page").alias(its_page)).agg(F.collect_list(F.struct("term", "disclosure")).alias(own)))
-        out = out.join(hint_if_small(held), F.xxhash64(quoted(text)) == F.col(its_page), "left").withColumn(own, F.coalesce(own, empty))
+        # This table grows with the pages, so it is never broadcast; hot pages are split by AQE.
+        out = out.join(held.hint("merge"), F.xxhash64(quoted(text)) == F.col(its_page), "left").withColumn(own, F.coalesce(own, empty))
     any_of = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(own, lambda t: t["term"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     added = F.transform(matches_if(F.size(own) > 0, body, any_of), lambda m: span(m, len(KINDS), TERM))
     out = out.withColumn(base, base_spans(body)).withColumn(both, F.array_sort(F.concat(base, added)))
