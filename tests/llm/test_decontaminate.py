@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from profilekit.llm import queries
-from profilekit.llm.decontaminate import LEAST_EQUAL, MASKS, SPAN, mark, stretch
+from profilekit.llm.decontaminate import (
+    LEAST_EQUAL, MASKS, SPAN, benchmark_items, benchmark_windows, bit_filter, digest, document_windows, mark, stretch, tagged_masks,
+)
 from corpus_fixtures import documents, odd  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -40,17 +42,17 @@ def test_passages_with_substitutions_are_found_and_clean_text_is_not(documents,
     assert (got[8].overlap_words, got[8].item_id) == (0, None)
 
 
-@pytest.mark.parametrize("most", [30, 1 << 20])
-def test_slices_of_the_benchmark_give_the_same(documents, benchmark, most):
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_shuffled_and_broadcast_joins_give_the_same(documents, benchmark, limit):
     texts = [around(w) for w in ITEMS] + [around([])]
-    got = {r.doc_id: (r.contaminated, r.item_id) for r in mark(documents(*texts), benchmark, most=most).collect()}
+    got = {r.doc_id: (r.contaminated, r.item_id) for r in mark(documents(*texts), benchmark, limit=limit).collect()}
     assert got == {0: (True, 0), 1: (True, 1), 2: (True, 2), 3: (True, 3), 4: (False, None), 5: (False, None)}
 
 
-def test_columns_that_begin_with_best_stay(documents, benchmark):
-    docs = documents("some text").withColumn("best x", F.lit(1)).withColumn("best item_id", F.lit("mine"))
-    row = mark(docs, benchmark, most=30).first()
-    assert row["best x"] == 1 and row["best item_id"] == "mine" and row["item_id"] is None
+def test_columns_named_like_those_of_the_work_stay(documents, benchmark):
+    docs = documents("some text").withColumn("best x", F.lit(1)).withColumn("text digest", F.lit("mine"))
+    row = mark(docs, benchmark).first()
+    assert row["best x"] == 1 and row["text digest"] == "mine" and row["item_id"] is None
 
 
 def test_stretch_is_the_longest_good_run():
@@ -126,3 +128,14 @@ def test_substituted_overlaps_equal_a_plain_scan_of_all_diagonals(documents, ben
                 best = max(best, size if size >= 12 else 0)
         assert got[k] == best
     assert all(got[k] for k in (0, 1, 32, 33))
+
+
+def test_filter_lets_all_benchmark_windows_through(spark, benchmark):
+    items = benchmark_items(benchmark, "item_id", "text")
+    masks = tagged_masks([9])
+    seeds = benchmark_windows(items, masks)
+    texts = benchmark.where("text is not null").select(digest(F.col("text")).alias("digest"), F.col("text").alias("body"))
+    passed = document_windows(texts, masks, *bit_filter(seeds))
+    want = {(bytes(r.item), r.key, r.place) for r in seeds.collect()}
+    got = {(bytes(r.digest), r.key, r.first) for r in passed.collect()}
+    assert len(want) > 9 * 40 and want <= got
