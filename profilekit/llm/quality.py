@@ -141,13 +141,13 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     )
 
     def start():
-        return lambda bodies: [[np.minimum(counts(b), 65535).astype("<u2").tobytes() for b in bodies]]
+        return lambda bodies: [[counts(b).astype("<u4").tobytes() for b in bodies]]
 
     rows = with_text_columns(texts.select("body", "id", "train_label"), "body", [T.StructField("counts", T.BinaryType())], start)
     found = sorted(rows.select("id", "train_label", "counts").toArrow().to_pylist(), key=lambda r: (r["id"], r["train_label"], r["counts"]))
     if not found:
         return Voters(np.ones(TERMS), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    raw = np.stack([np.frombuffer(r["counts"], "<u2") for r in found]).astype(np.float64)
+    raw = np.stack([np.frombuffer(r["counts"], "<u4") for r in found]).astype(np.float64)
     y = np.array([float(r["train_label"] > 0) for r in found])
     idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1.0
     x = weighted(raw, idf).astype(np.float32)

@@ -139,3 +139,15 @@ def test_held_out_accuracy(spark, name, label, least):
     assert rows.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
     held = rows.join(labels, "doc_id").where("held_out").agg(F.avg((F.col("predicted") == F.col("label")).cast("int"))).first()[0]
     assert held >= least
+
+
+def test_a_very_long_labelled_text_equals_itself(spark, documents):
+    """Trigrams counted beyond 16 bits are the same in the sample and in what is scored."""
+    texts = ["ab " * 150_000 + "end", "Plain words about weather.", "Other words, of no note!", "12 34 56"]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    voters = quality.fit(documents(*texts), labels)
+    rows = [quality.counts(t) for t in texts]
+    assert max(r.max() for r in rows) > 65535
+    for row in rows:
+        own = quality.unit(quality.weighted(row[None, :], voters.idf).astype("float32") @ voters.axes)
+        assert (own @ voters.vectors.T).max() > 1 - 1e-5

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from profilekit.llm import toxicity
-from corpus_fixtures import documents  # noqa: F401
+from corpus_fixtures import documents, odd  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 STAGE = dict(corpus_pipeline.STAGES)
@@ -38,6 +38,19 @@ def test_lines_go_and_lengths_follow(spark, documents):
     assert len(out) == 41 and all("Menu" not in r.text and r.n_chars == len(r.text) for r in out.values())
 
 
+def test_stages_take_odd_rows(spark, odd):
+    """Null, empty, very long and repeated texts and ids pass the filtering stages; near-copies keep one row of equal texts."""
+    rows = odd.count()
+    for name in ("toxicity", "line dedup", "benchmark"):
+        out = STAGE[name](spark, odd, SF)
+        assert out.columns == odd.columns and out.count() == rows, name
+    kept = [r.text for r in STAGE["near-copies"](spark, odd, SF).collect()]
+    assert kept.count("same text here") == 1 and {r.text for r in odd.collect() if len((r.text or "").split()) > 2} <= set(kept)
+    pieces = STAGE["packing"](spark, odd, SF)
+    assert pieces.where("piece = 0").count() == rows
+    assert pieces.where("length > 2048 or length < 1").count() == 0
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_near_copies_go(spark, documents, seed):
     rng = random.Random(seed)
