@@ -156,7 +156,7 @@ class SimHash:
         return wild.select(key.alias("key"), "count").groupBy("key").agg(blocks.alias("blocks")).where("blocks > 1")
 
     def links(self, prints: DataFrame) -> DataFrame:
-        """Links ``a``, ``b`` (hexadecimal) between distinct fingerprints, enough of them to connect all that are linked.
+        """Links ``a``, ``b`` (hexadecimal) between distinct fingerprints, enough of them to connect all that are linked; some repeat.
 
         A crowded variant is dealt into blocks by hash; each pair of its blocks is a task's group of bounded size.
         """
@@ -169,7 +169,7 @@ class SimHash:
             if len(a):
                 yield named_forest(part[3:], a, b)
 
-        return rows.mapInArrow(lambda batches: run(batches, forest), schema).distinct()
+        return rows.mapInArrow(lambda batches: run(batches, forest), schema)
 
     def dealt(self, prints: DataFrame) -> DataFrame:
         """The variants by ``key`` and ``pair`` of blocks; ``right`` marks the rows of a pair's second block."""
@@ -266,11 +266,16 @@ class SimHash:
 
 
 def named_forest(columns: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Links ``a``, ``b`` (hexadecimal) that connect the rows which the pairs connect."""
-    root = roots(len(columns[0]), a, b)
+    """Links (hexadecimal) that connect the rows which the pairs connect: of each one ``a`` to the least ``b`` that it is connected to.
+
+    A fingerprint that stands in several rows is one end. Stars around the least are what ``connected`` settles in its first round.
+    """
+    rows, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    names, name = np.unique([x.tobytes().hex() for x in np.stack([c[rows] for c in columns], axis=1).astype(">i8")], return_inverse=True)
+    ends = name[at]
+    root = roots(len(names), ends[: len(a)], ends[len(a) :])
     i = np.flatnonzero(root != np.arange(len(root)))
-    name = lambda at: [x.tobytes().hex() for x in np.stack([c[at] for c in columns], axis=1).astype(">i8")]
-    return pa.RecordBatch.from_arrays([pa.array(name(i), pa.string()), pa.array(name(root[i]), pa.string())], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(names[i], pa.string()), pa.array(names[root[i]], pa.string())], names=["a", "b"])
 
 
 def pairs_in_groups(part: list[np.ndarray], n_lanes: int, distance: int, first_variant) -> tuple[np.ndarray, np.ndarray]:

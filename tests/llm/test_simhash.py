@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from profilekit.llm import components
 from profilekit.llm.components import connected
-from profilekit.llm.simhash import SimHash, fingerprint
+from profilekit.llm.simhash import SimHash, fingerprint, named_forest
 from corpus_fixtures import documents, odd  # noqa: F401
 
 
@@ -70,6 +71,22 @@ def test_long_chains_are_one_component(spark):
     assert len({part[i] for i in range(301)}) == 1 and part[1001] == part[1000] != part[0] and len(part) == 303
 
 
+def test_links_are_stars_around_the_least_fingerprint():
+    values = np.array([9, -1, 5, 9, 2, 7])  # -1 is the largest in hexadecimal; 9 stands in two rows
+    got = named_forest([values], np.array([0, 3, 1]), np.array([1, 2, 2])).to_pydict()
+    name = lambda v: f"{v & (1 << 64) - 1:016x}"
+    assert set(zip(got["a"], got["b"])) == {(name(9), name(5)), (name(-1), name(5))}
+
+
+def test_a_star_takes_one_round_and_no_broadcast(spark, monkeypatch):
+    plans, cut = [], components.cut_lineage
+    monkeypatch.setattr(components, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    edges = spark.createDataFrame([(f"{i:03d}", "000") for i in range(1, 400)] + [("x", "y"), ("x", "y")], "a string, b string")
+    part = {r.node: r.component for r in connected(edges).collect()}
+    assert len(part) == 402 and {part[f"{i:03d}"] for i in range(400)} == {"000"} and part["x"] == part["y"] == "x"
+    assert len(plans) == 5 and not any("Broadcast" in p for p in plans)
+
+
 def test_assign_on_odd_rows(odd):
     rows = SimHash().assign(odd).collect()
     assert len(rows) == odd.count()
