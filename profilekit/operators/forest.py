@@ -12,11 +12,14 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from profilekit.functions.expressions import hash_share, literal
 from profilekit.operators.base import Fitted, Learner
@@ -38,6 +41,10 @@ NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, size int, depth int, expected double"
 )
 
+PATH_SCHEMA = "tree int, step int, feature int, threshold double, value double, side string, rest double"
+# Rows whose paths through one tree are handed on at once.
+PATH_ROWS = 1024
+
 # The search grids and the parameters used when nothing is tuned.
 GRID_TREES = (50, 100, 200, 300)
 GRID_CONTAMINATION = (0.01, 0.025, 0.05, 0.075, 0.1)
@@ -225,11 +232,6 @@ class ForestModel(Fitted):
             added["predicted_outlier"] = flag
         return scored.withColumns(added)
 
-    def paths(self, spark) -> Column:
-        """The nodes that a row passes, as one array of structs per row: its splits in every tree, and the leaf of every tree."""
-        kind = "array<struct<tree:int,step:int,feature:int,threshold:double,value:double,side:string,rest:double>>"
-        return self._per_batch(spark, kind, lambda forest, x: forest.paths(x))
-
     def nodes_table(self, spark) -> DataFrame:
         """``(tree, feature, size)`` of all splitting nodes."""
         split = self.node_feature >= 0
@@ -286,10 +288,33 @@ def decision_paths(df: DataFrame, model: ForestModel, key: str) -> DataFrame:
     take. Over the trees, the mean of ``step + rest`` at the leaves is the path length of the row. Thresholds and values are
     in the unit of the model's features, after filling and scaling.
     """
+    df = null_if_nan(df)
+    features = [f"__f{i}" for i in range(len(model.features.columns))]
+    rows = df.select(col(key).alias("__key"), *[e.alias(f) for f, e in zip(features, model.features.exprs())])
+    schema = T.StructType([T.StructField("__key", rows.schema["__key"].dataType), *T.StructType.fromDDL(PATH_SCHEMA).fields])
+    arrow, shipped = to_arrow_schema(schema), model._shipped(df.sparkSession)
+    types, most = {f.name: f.type for f in arrow}, PATH_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrays = NodeArrays(**shipped.value)
+        sides = pa.array(["left", "right", "leaf"])
+        for batch in batches:
+            for start in range(0, batch.num_rows, most):
+                part = batch.slice(start, most)
+                x = np.column_stack([part.column(f).to_numpy(zero_copy_only=False).astype(float) for f in features])
+                for found in arrays.paths(x):
+                    leaf = found["side"] == 2
+                    masks = {"threshold": leaf, "value": leaf, "rest": ~leaf}
+                    columns = [part.column("__key").take(pa.array(found["row"]))]
+                    for name in arrow.names[1:]:
+                        values = sides.take(pa.array(found["side"])) if name == "side" else pa.array(found[name], mask=masks.get(name))
+                        columns.append(values.cast(types[name]))
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    nodes = rows.mapInArrow(run, schema)
     names = F.array(*[F.lit(c) for c in model.features.columns])
-    nodes = null_if_nan(df).select(col(key), model.paths(df.sparkSession).alias("nodes")).select(col(key), F.inline("nodes"))
     named = F.when(F.col("feature") >= 0, F.get(names, F.col("feature"))).alias("feature")
-    return nodes.select(col(key), "tree", "step", named, "threshold", "value", "side", "rest")
+    return nodes.select(F.col("__key").alias(key), "tree", "step", named, "threshold", "value", "side", "rest")
 
 
 class IsolationForest(Learner):

@@ -7,6 +7,7 @@ sampled rows; all row-scale work is done by the Spark jobs that call this.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -113,22 +114,25 @@ class NodeArrays:
     def scores(self, x: np.ndarray, prefixes) -> np.ndarray:
         return np.exp2(-self.path_lengths(x, prefixes) / self.normaliser)
 
-    def paths(self, x: np.ndarray) -> list[list[tuple]]:
-        """For each row its splits and leaves: (tree, step, feature, threshold, value, side, rest of the path)."""
-        out: list[list[tuple]] = [[] for _ in range(len(x))]
+    def paths(self, x: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+        """For each tree the splits and leaves of all rows: row, tree, step, feature, threshold, value, side (2: leaf), rest of the path.
+
+        What holds for splits alone is NaN at leaves and the other way round; a leaf's feature is -1.
+        """
         for tree in range(len(self.roots)):
-            step = np.zeros(len(x), dtype=int)
-            last = np.full(len(x), self.roots[tree])
+            step, last, parts = np.zeros(len(x), dtype=int), np.full(len(x), self.roots[tree]), []
             for node, tested, after in self.walk(x, tree):
                 # A leaf leads to itself.
-                for i in np.flatnonzero(after != node):
-                    side = "right" if after[i] > self.left[node[i]] else "left"
-                    out[i].append((tree, int(step[i]), int(tested[i]), float(self.threshold[node[i]]), float(x[i, tested[i]]), side, None))
+                i = np.flatnonzero(after != node)
+                at, nan = node[i], np.full(len(i), np.nan)
+                parts.append((i, step[i], tested[i], self.threshold[at], x[i, tested[i]], (after[i] > self.left[at]).astype(int), nan))
                 step += after != node
                 last = after
-            for i, leaf in enumerate(last):
-                out[i].append((tree, int(step[i]), -1, None, None, "leaf", float(self.expected[leaf] - step[i])))
-        return out
+            nan = np.full(len(x), np.nan)
+            parts.append((np.arange(len(x)), step, np.full(len(x), -1), nan, nan, np.full(len(x), 2), self.expected[last] - step))
+            names = ("row", "step", "feature", "threshold", "value", "side", "rest")
+            out = {n: np.concatenate(p) for n, p in zip(names, zip(*parts))}
+            yield out | {"tree": np.full(len(out["row"]), tree)}
 
     def attributions(self, x: np.ndarray) -> np.ndarray:
         """Change of the expected path length, credited to the feature tested at each step."""

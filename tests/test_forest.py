@@ -246,3 +246,22 @@ def test_forests_together_equal_each_by_itself(points):
         assert (r.a, r.b) == (b[k].a, b[k].b) and (r.sa, r.sb) == pytest.approx((b[k].sa, b[k].sb), abs=1e-9)
     plan = together.select("k", "a", "b", "sa", "sb")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_paths_are_handed_on_tree_by_tree_as_arrays():
+    import numpy as np
+
+    from profilekit.operators.trees import NodeArrays, average_path, grow_tree
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 2))
+    nodes = {k: np.array(v) for k, v in grow_tree(x, rng, 8, np.arange(2)).items()}
+    forest_of_one = NodeArrays(
+        np.array([0]), np.maximum(nodes["feature"], 0), nodes["threshold"], nodes["left"], nodes["expected"], 8, float(average_path(200))
+    )
+    (found,) = forest_of_one.paths(x)
+    leaf = found["side"] == 2
+    assert leaf.sum() == 200 and all(isinstance(v, np.ndarray) for v in found.values())
+    whole = forest_of_one.path_lengths(x, [1])[:, 0]
+    assert np.allclose((found["step"] + found["rest"])[leaf][np.argsort(found["row"][leaf])], whole)
+    assert ((found["value"] > found["threshold"])[~leaf] == (found["side"][~leaf] == 1)).all()
