@@ -425,6 +425,8 @@ def search_grid(
     spark = df.sparkSession
     sizes = sorted(n_trees)
     columns = list(features) if features is not None else numeric_columns(df, [key] if isinstance(key, str) else key)
+    # A small file is one task, and scoring with every tree costs more than the exchange.
+    df = df.repartition(spark.sparkContext.defaultParallelism)
     n = df.count()
     rows = []
     grown: dict[int, list] = {}
